@@ -57,6 +57,7 @@ def _(spark, sf):
         models.logistic(TEXT_FEATURES),
         MIN_POSITIVES,
         raw_reference=True,
+        min_train_years=2,
         calibration="chronological_holdout",
     )
 
@@ -105,6 +106,7 @@ def _(spark, sf):
         models.logistic(TEXT_FEATURES),
         MIN_POSITIVES,
         raw_reference=True,
+        min_train_years=2,
         calibration="chronological_holdout",
     )
     return metrics.compare_calibration(predictions, "raw_probability", metrics.SCORE)

@@ -251,10 +251,13 @@ def walk_forward(
     min_positives: int = fv.MIN_POSITIVES_PER_FOLD,
     threshold: float = fv.DECISION_THRESHOLD,
     raw_reference: bool = False,
+    min_train_years: int = 1,
     **calibration,
 ) -> DataFrame:
     """Predictions of every fold, fitted on earlier years only.
 
+    Chronological calibration needs two training years, so folds can be asked to have them.
+
     With `raw_reference`, an uncalibrated model is fitted too and its score is kept in
     `raw_probability`. Folds whose training years have one class are skipped.
     """
@@ -264,6 +267,9 @@ def walk_forward(
         if not 0 < fold.train_positives < fold.train_n:
             continue
         train = table.where(F.col(YEAR) < fold.test_year)
+        if min_train_years > 1:
+            if train.select(YEAR).distinct().limit(min_train_years).count() < min_train_years:
+                continue
         test = table.where(F.col(YEAR) == fold.test_year)
         scored = fit_scorer(estimator, train, **calibration)(test)
         if raw_reference:
