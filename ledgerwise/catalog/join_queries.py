@@ -17,6 +17,7 @@ from ledgerwise.operators import (
     selection,
     validation,
 )
+from ledgerwise.scale import cut_lineage
 
 C = F.col
 LABEL_VIEWS = "filings typed_filings period_source typed_periods clean_periods matches labeled"
@@ -139,7 +140,7 @@ def linked_positives(spark, sf):
         "matched_fraud_start",
         "matched_fraud_end",
     ).withColumn("filing_year", F.year("filing_date"))
-    return maturity.link_periods(positives, maturity.period_lookup(records))
+    return cut_lineage(maturity.link_periods(positives, maturity.period_lookup(records)))
 
 
 @query(

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerwise.functions import dates, keys
-from ledgerwise.scale import BROADCAST_ROWS, attach_unique, fits_broadcast
+from ledgerwise.scale import BROADCAST_ROWS, attach_unique, checked_broadcast
 
 _MATCH_COLUMNS = ("matched_fraud_start", "matched_fraud_end", "certainty_start", "certainty_end")
 _DAY_CELLS = 10_000_000
@@ -118,9 +118,9 @@ def label_filings(
     filings: DataFrame, periods: DataFrame, seq: str = "seq", max_rows: int = BROADCAST_ROWS
 ) -> DataFrame:
     """All filings, with `fraudulent` 0/1 and the attributes of the winning period."""
-    matches = match_periods(filings, periods, seq, max_rows).withColumn("fraudulent", F.lit(1))
-    small = F.broadcast(matches) if fits_broadcast(matches, max_rows) else matches
-    return filings.join(small, seq, "left").withColumns(
+    found = match_periods(filings, periods, seq, max_rows).withColumn("fraudulent", F.lit(1))
+    matches, _ = checked_broadcast(found, max_rows)
+    return filings.join(matches, seq, "left").withColumns(
         {
             "fraudulent": F.coalesce("fraudulent", F.lit(0)),
             "multiple_matches": F.coalesce("multiple_matches", F.lit(False)),

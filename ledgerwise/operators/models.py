@@ -31,10 +31,14 @@ Scorer = Callable[[DataFrame], DataFrame]
 
 @dataclass(frozen=True)
 class Estimator:
-    """How to build an unfitted pipeline for a training table of a given size."""
+    """How to build an unfitted pipeline for a training table of a given size.
+
+    `weigh` adds the `weight` column that the pipeline uses, if it uses one.
+    """
 
     features: tuple[str, ...]
     build: Callable[[int], Pipeline]
+    weigh: Callable[[DataFrame], DataFrame] | None = None
 
 
 def model_table(df: DataFrame, features, label: str, year: str, row_id: str) -> DataFrame:
@@ -70,7 +74,7 @@ def logistic(
             model = model.setWeightCol("weight")
         return Pipeline(stages=[_assembler(features), scaler, model])
 
-    return Estimator(tuple(features), build)
+    return Estimator(tuple(features), build, balanced_weights if balanced else None)
 
 
 # Defaults of the boosted trees.
@@ -101,6 +105,7 @@ def validate_parameters(parameters: dict) -> dict:
 def boosted_trees(features, seed: int = 42, **overrides) -> Estimator:
     """Gradient-boosted trees. Trees of Spark ML, so scores are not those of other engines."""
     p = validate_parameters({**TREE_DEFAULTS, **overrides})
+    positive_weight = float(p["scale_pos_weight"])
 
     def build(rows: int) -> Pipeline:
         share = p["colsample_bytree"]
@@ -111,11 +116,14 @@ def boosted_trees(features, seed: int = 42, **overrides) -> Estimator:
             featureSubsetStrategy="all" if share == 1 else str(share),
             minInstancesPerNode=max(1, int(p["min_child_weight"])), seed=seed,
         )
-        if p["scale_pos_weight"] != 1.0:
+        if positive_weight != 1.0:
             model = model.setWeightCol("weight")
         return Pipeline(stages=[_assembler(features), model])
 
-    return Estimator(tuple(features), build)
+    def weigh(df: DataFrame) -> DataFrame:
+        return df.withColumn("weight", F.when(F.col(LABEL) == 1, positive_weight).otherwise(1.0))
+
+    return Estimator(tuple(features), build, None if positive_weight == 1.0 else weigh)
 
 
 def balanced_weights(df: DataFrame, label: str = LABEL) -> DataFrame:
@@ -143,7 +151,7 @@ def prior_predictions(
 
 
 def _fit(estimator: Estimator, train: DataFrame) -> PipelineModel:
-    weighted = balanced_weights(train)
+    weighted = estimator.weigh(train) if estimator.weigh else train
     return estimator.build(train.count()).fit(weighted)
 
 

@@ -30,6 +30,16 @@ def fits_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
     return df.limit(max_rows + 1).count() <= max_rows
 
 
+def checked_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> tuple[DataFrame, bool]:
+    """A narrow table, materialized once, hinted for broadcast if its size allows it.
+
+    Without the materialization the size check and the join would each compute it.
+    """
+    narrow = cut_lineage(df)
+    small = fits_broadcast(narrow, max_rows)
+    return (F.broadcast(narrow) if small else narrow), small
+
+
 def hot_keys(df: DataFrame, keys: list[str], share: float = HOT_SHARE) -> DataFrame:
     """Keys that hold more than a share of all rows: at most 1 / share of them."""
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
@@ -51,8 +61,9 @@ def attach_unique(
     A small right side is broadcast. Otherwise both sides are shuffled, and only the hot
     keys of the left side are spread over salts, to which their one right row is copied.
     """
-    if fits_broadcast(right, max_rows):
-        return left.join(F.broadcast(right), keys, how)
+    right, small = checked_broadcast(right, max_rows)
+    if small:
+        return left.join(right, keys, how)
     hot = F.broadcast(hot_keys(left, keys).withColumn("_hot", F.lit(True)))
     salt = F.when(F.col("_hot"), F.pmod(F.xxhash64(row_id), F.lit(salts))).otherwise(F.lit(0))
     copies = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(
@@ -81,15 +92,13 @@ def keep_first(
 ) -> DataFrame:
     """First row per key, by the unique column `seq`.
 
-    Only keys and sequence numbers are shuffled to find the copies. When the copies are
+    Only keys and sequence numbers are shuffled to find the later copies. When those are
     few, the wide rows are not shuffled at all; when they are many, the wide rows move
     once, by `seq`, which cannot be skewed.
     """
     narrow = df.select(seq, *[k for k in keys if k != seq])
-    losers = later_copies(narrow, keys, seq)
-    if fits_broadcast(losers, max_rows):
-        return df.join(F.broadcast(losers), seq, "left_anti")
-    return df.join(first_per_key(narrow, keys, seq), seq, "left_semi")
+    losers, _ = checked_broadcast(later_copies(narrow, keys, seq), max_rows)
+    return df.join(losers, seq, "left_anti")
 
 
 def flag_later_copies(
@@ -98,9 +107,8 @@ def flag_later_copies(
     """Boolean column: the row repeats an identifier seen at a smaller `seq`."""
     narrow = df.select(F.col(seq), identifier.alias("_id"), applies.alias("_applies"))
     losers = later_copies(narrow.where("_applies"), ["_id"], seq)
-    marked = losers.withColumn("_later", F.lit(True))
-    hint = F.broadcast(marked) if fits_broadcast(losers) else marked
-    return df.join(hint, seq, "left").withColumn(
+    marked, _ = checked_broadcast(losers.withColumn("_later", F.lit(True)))
+    return df.join(marked, seq, "left").withColumn(
         flag, F.coalesce(F.col("_later"), F.lit(False))
     ).drop("_later")
 
