@@ -12,6 +12,7 @@ from ledgerwise.catalog.registry import query
 from ledgerwise.functions import dates, keys
 from ledgerwise.operators import features, hypothesis, metrics, models, selection
 from ledgerwise.plans import audits, data_stages
+from ledgerwise.scale import spread
 
 C = F.col
 MIN_POSITIVES = 3
@@ -161,7 +162,7 @@ def _stage_tables(spark, sf):
     """Documents as filings with a company name, and orders as periods and lexicon."""
     key = C("doc_id")
     day = F.date_add(F.lit("1995-01-01").cast("date"), (key * 37 % 2500).cast("int"))
-    filings = v.table(spark, sf, "documents").select(
+    filings = spread(v.table(spark, sf, "documents"), "doc_id").select(
         key.alias("seq"),
         (key % 900).cast("string").alias("cik"),
         F.concat(F.lit("Firm "), (key % 900).cast("string")).alias("name"),

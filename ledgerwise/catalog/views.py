@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ledgerwise import fixed_values as fv
 from ledgerwise.functions import keys
 from ledgerwise.operators import ingest
+from ledgerwise.scale import spread
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -106,7 +107,7 @@ def period_source(spark: SparkSession, sf: str) -> DataFrame:
     day = F.to_date("o_orderdate")
     certainty = F.when(key % 4 == 0, "").otherwise(_text(key % 4))
     stamp = F.date_format(F.date_add(day, (key % 2500).cast("int")), "yyyy-MM-dd'T'10:11:12")
-    return table(spark, sf, "orders").where("o_orderstatus = 'F'").select(
+    return spread(table(spark, sf, "orders"), "o_orderkey").where("o_orderstatus = 'F'").select(
         key.alias("seq"),
         _text(F.col("o_custkey")).alias("cik"),
         F.date_format(day, "MM-yyyy").alias("fraud_start"),
@@ -170,15 +171,17 @@ def raw_enforcement(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def texts(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "documents").select(
+    columns = table(spark, sf, "documents").select(
         F.col("doc_id").alias("seq"), F.col("text").alias("mda")
     )
+    return spread(columns, "seq")
 
 
 def raw_html(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "pages").select(
+    columns = table(spark, sf, "pages").select(
         F.col("page_id").alias("seq"), F.col("html").alias("mda")
     )
+    return spread(columns, "seq")
 
 
 def text_filings(spark: SparkSession, sf: str) -> DataFrame:
@@ -189,7 +192,7 @@ def text_filings(spark: SparkSession, sf: str) -> DataFrame:
     written_date = F.when(key % 6 == 0, F.date_format(day, styles[0]))
     for i, style in enumerate(styles[1:], start=1):
         written_date = written_date.when(key % 6 == i, F.date_format(day, style))
-    return table(spark, sf, "documents").select(
+    return spread(table(spark, sf, "documents"), "doc_id").select(
         key.alias("seq"),
         _text(key % 50).alias("cik"),
         F.when(key % 5 == 0, "10-K").when(key % 5 == 1, "10-K/A").when(key % 5 == 2, "10-K405")

@@ -183,11 +183,13 @@ def syllables(word: Column) -> Column:
 
 def count_characters(text: Column, char_class: str) -> Column:
     """How many characters of the text are in a regex class."""
-    return F.length(F.regexp_replace(text, f"[^{char_class}]+", ""))
+    return F.length(text) - F.length(F.regexp_replace(text, f"[{char_class}]+", ""))
 
 
 def digit_ratio(text: Column) -> Column:
-    return count_characters(text, fv.DIGIT_CHARS) / F.length(text)
+    """Share of digits. ASCII other than digits is skipped before the long class is tried."""
+    others = rf"(?:[\x00-/:-\x7f]++|[^{fv.DIGIT_CHARS}])++"
+    return F.length(F.regexp_replace(text, others, "")) / F.length(text)
 
 
 def punctuation_ratio(text: Column) -> Column:

@@ -16,9 +16,8 @@ from ledgerwise.functions import text
 # Over lower-case words joined by single spaces: V is a vowel, C anything else in a word.
 _V, _C = "[aeiouy]", "[^aeiouy ]"
 _START, _END = "(?<![^ ])", r"(?=\x20|\z)"
-_VOWEL_GROUP = f"{_V}+"
 _NO_VOWEL_WORD = f"{_START}{_C}++{_END}"
-_SILENT_E_WORD = f"{_START}{_C}*+(?:{_V}++{_C}++)+{_V}*e{_END}"
+_SILENT_E_WORD = f"{_START}{_C}*+(?:{_V}++{_C}++)++{_V}*e{_END}"
 # Three syllables or more: four vowel groups, or three that do not end the word in e.
 _COMPLEX_WORD = (
     f"{_START}{_C}*+(?:{_V}++{_C}++){{2}}"
@@ -26,6 +25,12 @@ _COMPLEX_WORD = (
 )
 
 
+def _vowel_groups(joined: Column) -> Column:
+    """Each run up to and including a vowel group becomes one character."""
+    marked = F.regexp_replace(F.concat(joined, F.lit(" a")), f"[^aeiouy]*+{_V}++", "x")
+    return F.length(marked) - 1
+
+
 def _matches(value: Column, pattern: str) -> Column:
     return F.regexp_count(value, F.lit(pattern))
 
@@ -49,7 +54,7 @@ def add_text_features(df: DataFrame, text_column: str = "mda") -> DataFrame:
     words = F.when(usable, F.col("_n_words")).cast("double")
     sentence_count = F.when(usable, F.col("_n_sentences")).cast("double")
     syllable_count = (
-        _matches(joined, _VOWEL_GROUP)
+        _vowel_groups(joined)
         - _matches(joined, _SILENT_E_WORD)
         + _matches(joined, _NO_VOWEL_WORD)
     )

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerwise.functions import dates, keys
-from ledgerwise.scale import BROADCAST_ROWS, attach_unique, checked_broadcast
+from ledgerwise.scale import BROADCAST_ROWS, checked_broadcast, join_unique
 
 _MATCH_COLUMNS = ("matched_fraud_start", "matched_fraud_end", "certainty_start", "certainty_end")
 _DAY_CELLS = 10_000_000
@@ -82,25 +82,22 @@ def match_periods(
     Reads only keys and dates of the filings, never their text. `cik` must be normalized
     on both sides and dates typed.
     """
+    cells, small = checked_broadcast(period_cells(periods, seq), max_rows)
     fiscal_end = dates.fiscal_year_end(F.col("reporting_date"), F.col("fye"))
-
-    def lookups(side: str, date: Column) -> list[Column]:
-        return [
-            F.struct(F.lit(side).alias("side"), _month_cell(date).alias("cell")),
-            F.struct(F.lit(side).alias("side"), _day_cell(date).alias("cell")),
-        ]
-
+    # Periods of whole months leave no day cells, so days need no lookup.
+    kinds = [_month_cell]
+    if not cells.where(F.col("cell") >= _DAY_CELLS).isEmpty():
+        kinds.append(_day_cell)
+    lookups = [
+        F.struct(F.lit(side).alias("side"), kind(date).alias("cell"))
+        for side, date in (("report", F.col("reporting_date")), ("fiscal", fiscal_end))
+        for kind in kinds
+    ]
     points = filings.select(
-        F.col(seq).alias("filing_seq"),
-        "cik",
-        F.explode(
-            F.array(*lookups("report", F.col("reporting_date")), *lookups("fiscal", fiscal_end))
-        ).alias("point"),
+        F.col(seq).alias("filing_seq"), "cik", F.explode(F.array(*lookups)).alias("point")
     ).select("filing_seq", "cik", "point.side", "point.cell").where("cell IS NOT NULL")
 
-    hits = attach_unique(
-        points, period_cells(periods), ["cik", "cell"], "filing_seq", "inner", max_rows
-    )
+    hits = join_unique(points, cells, small, ["cik", "cell"], "filing_seq", "inner")
     per_side = [
         F.coalesce(F.sum(F.when(F.col("side") == side, F.col("periods"))), F.lit(0)) > 1
         for side in ("report", "fiscal")

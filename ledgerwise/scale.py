@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 # Rows of narrow, fixed-width columns; a few dozen MB at most.
-BROADCAST_ROWS = 500_000
+BROADCAST_ROWS = 1_000_000
 # A key is hot above this share, so there are at most 1 / HOT_SHARE hot keys.
 HOT_SHARE = 0.002
 SALTS = 64
@@ -25,6 +25,17 @@ SALTS = 64
 SLICES = 64
 
 
+def spread(df: DataFrame, key: str, bytes_per_core: int = 16 << 20) -> DataFrame:
+    """Spread a small scan over all cores before work that is heavy per row.
+
+    A few large row groups would keep most cores idle. Where the input fills the cluster
+    anyway, the table is returned as it is and nothing is shuffled.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(2 * cores, key) if size < cores * bytes_per_core else df
+
+
 def fits_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
     """Check the size before broadcasting. Stops reading once the limit is passed."""
     return df.limit(max_rows + 1).count() <= max_rows
@@ -54,14 +65,26 @@ def attach_unique(
     row_id: str,
     how: str = "left",
     max_rows: int = BROADCAST_ROWS,
+) -> DataFrame:
+    """Join many rows to a narrow table that is unique on the keys."""
+    right, small = checked_broadcast(right, max_rows)
+    return join_unique(left, right, small, keys, row_id, how)
+
+
+def join_unique(
+    left: DataFrame,
+    right: DataFrame,
+    small: bool,
+    keys: list[str],
+    row_id: str,
+    how: str = "left",
     salts: int = SALTS,
 ) -> DataFrame:
-    """Join many rows to a narrow table that is unique on the keys.
+    """As `attach_unique`, for a right side that went through `checked_broadcast`.
 
     A small right side is broadcast. Otherwise both sides are shuffled, and only the hot
     keys of the left side are spread over salts, to which their one right row is copied.
     """
-    right, small = checked_broadcast(right, max_rows)
     if small:
         return left.join(right, keys, how)
     hot = F.broadcast(hot_keys(left, keys).withColumn("_hot", F.lit(True)))
