@@ -12,7 +12,7 @@ from ledgerwise.catalog.registry import query
 from ledgerwise.functions import dates, keys
 from ledgerwise.operators import features, hypothesis, metrics, models, selection
 from ledgerwise.plans import audits, data_stages
-from ledgerwise.scale import spread
+from ledgerwise.scale import cut_lineage, spread
 
 C = F.col
 MIN_POSITIVES = 3
@@ -232,7 +232,7 @@ def _(spark, sf):
     audit = maturity(spark, sf)
     importances = selection.mean_absolute_importance(v.density_rows(spark, sf), FEATURES)
     scored = metrics.apply_threshold(v.predictions(spark, sf)).withColumn("test_year", F.lit(2001))
-    holdout = metrics.fold_metrics(scored)
+    holdout = metrics.fold_metrics(cut_lineage(scored))
     return audits.evidence_snapshot(selected, holdout, audit.delays, importances).select(
         "candidate.selected_trial_number",
         "holdout.recall_at_5_percent",

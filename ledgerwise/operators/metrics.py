@@ -45,11 +45,10 @@ def score_histogram(predictions: DataFrame, score: str = SCORE) -> DataFrame:
     )
 
 
-def ranked_histogram(histogram: DataFrame, slices: int | None = None) -> DataFrame:
+def ranked_histogram(histogram: DataFrame) -> DataFrame:
     """Histogram with the rows and positives scored at least as high."""
-    extra = {} if slices is None else {"slices": slices}
     return running_totals(
-        histogram, [YEAR], "score", {"n_upto": "n", "pos_upto": "pos"}, descending=True, **extra
+        histogram, [YEAR], "score", {"n_upto": "n", "pos_upto": "pos"}, descending=True
     )
 
 

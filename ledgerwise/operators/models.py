@@ -1,8 +1,8 @@
 """Walk-forward models on Spark ML.
 
 The driver loops over folds, which are calendar years; fitting and scoring of each fold
-are Spark jobs. The feature table is checkpointed once before the loop, so folds do not
-repeat the text work and lost executors do not restart it.
+are Spark jobs. The feature table is written once before the loop, so folds do not repeat
+the text work and lost executors do not restart it.
 """
 
 from __future__ import annotations
@@ -10,20 +10,22 @@ from __future__ import annotations
 import random
 from collections.abc import Callable
 from dataclasses import dataclass
+from multiprocessing.pool import ThreadPool
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import IsotonicRegression
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerwise import fixed_values as fv
 from ledgerwise.functions import keys
 from ledgerwise.functions.numbers import differing_keys
 from ledgerwise.operators import contracts, folds, metrics
-from ledgerwise.scale import cut_lineage, running_totals, union_all
+from ledgerwise.scale import cut_lineage, running_totals, union_all, written
 
 YEAR, ROW, LABEL = "filing_year", "row_id", "label"
 Scorer = Callable[[DataFrame], DataFrame]
@@ -42,15 +44,19 @@ class Estimator:
 
 
 def model_table(df: DataFrame, features, label: str, year: str, row_id: str) -> DataFrame:
-    """Row id, year, label and features without gaps, checked and checkpointed."""
+    """Row id, year, label and features without gaps: written once, partitioned by year.
+
+    A fold then reads only its own years.
+    """
     slim = df.select(
         F.col(row_id).alias(ROW),
         F.col(year).alias(YEAR),
         F.col(label).cast("double").alias(LABEL),
         *features,
     )
-    contracts.validate_target(slim.drop(ROW), features, LABEL)
-    return cut_lineage(contracts.fill_missing(slim, features))
+    stored = written(slim, "model-table", YEAR, ROW)
+    contracts.validate_target(stored.drop(ROW), features, LABEL)
+    return contracts.fill_missing(stored, features)
 
 
 def _assembler(features) -> VectorAssembler:
@@ -240,11 +246,13 @@ def _cross_validated(estimator: Estimator, train: DataFrame, method: str, cv: in
     if k < 2:
         return fit_scorer(estimator, train)
     dealt = cut_lineage(stratified_folds(train, k))
-    parts = []
-    for fold in range(k):
+
+    def fit_part(fold: int):
         model = _fit(estimator, dealt.where(F.col("fold") != fold).drop("fold"))
         held_out = dealt.where(F.col("fold") == fold).drop("fold")
-        parts.append((model, fit_mapper(_score(model, held_out), method)))
+        return model, fit_mapper(_score(model, held_out), method)
+
+    parts = _at_once(train.sparkSession, fit_part, list(range(k)), k)
 
     def score(df: DataFrame) -> DataFrame:
         all_models = union_all([mapper(_score(model, df)) for model, mapper in parts])
@@ -253,6 +261,14 @@ def _cross_validated(estimator: Estimator, train: DataFrame, method: str, cv: in
     return score
 
 
+def _at_once(spark: SparkSession, function, items: list, parallelism: int) -> list:
+    """Submit the Spark jobs of several independent fits at the same time."""
+    if not items:
+        return []
+    with ThreadPool(min(parallelism, len(items))) as pool:
+        return pool.map(inheritable_thread_target(spark)(function), items)
+
+
 def walk_forward(
     table: DataFrame,
     estimator: Estimator,
@@ -260,6 +276,7 @@ def walk_forward(
     threshold: float = fv.DECISION_THRESHOLD,
     raw_reference: bool = False,
     min_train_years: int = 1,
+    parallelism: int = 4,
     **calibration,
 ) -> DataFrame:
     """Predictions of every fold, fitted on earlier years only.
@@ -270,20 +287,24 @@ def walk_forward(
     `raw_probability`. Folds whose training years have one class are skipped.
     """
     fold_table = folds.walk_forward_folds(table, YEAR, LABEL, min_positives).orderBy("test_year")
-    fragments = []
-    for fold in fold_table.collect():  # one row per calendar year
-        if not 0 < fold.train_positives < fold.train_n:
-            continue
+
+    def fit_fold(fold) -> DataFrame | None:
         train = table.where(F.col(YEAR) < fold.test_year)
+        if not 0 < fold.train_positives < fold.train_n:
+            return None
         if min_train_years > 1:
             if train.select(YEAR).distinct().limit(min_train_years).count() < min_train_years:
-                continue
+                return None
         test = table.where(F.col(YEAR) == fold.test_year)
         scored = fit_scorer(estimator, train, **calibration)(test)
         if raw_reference:
             raw = fit_scorer(estimator, train)(test).select(ROW, F.col("score").alias("raw_probability"))
             scored = scored.join(raw, ROW)
-        fragments.append(scored.withColumn("train_n", F.lit(fold.train_n)))
+        return scored.withColumn("train_n", F.lit(fold.train_n))
+
+    # One row per calendar year. Folds are independent, so several are fitted at a time.
+    found = _at_once(table.sparkSession, fit_fold, fold_table.collect(), parallelism)
+    fragments = [scored for scored in found if scored is not None]
     if not fragments:
         raise ValueError("no fold has enough positives and earlier rows")
     predictions = metrics.combine_predictions(fragments).select(
@@ -372,8 +393,6 @@ def save_model(model: PipelineModel, path: str) -> None:
 
 def feature_importances(model: PipelineModel, features) -> DataFrame:
     """Gain-based importance of every feature of a fitted tree model, largest first."""
-    from pyspark.sql import SparkSession
-
     values = model.stages[-1].featureImportances.toArray()
     rows = [(name, float(value)) for name, value in zip(features, values)]
     spark = SparkSession.getActiveSession()

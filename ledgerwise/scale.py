@@ -21,8 +21,8 @@ BROADCAST_ROWS = 1_000_000
 # A key is hot above this share, so there are at most 1 / HOT_SHARE hot keys.
 HOT_SHARE = 0.002
 SALTS = 64
-# Slices per group for distributed running totals.
-SLICES = 64
+# Slices per group for distributed running totals; grows with the cluster between these.
+MIN_SLICES, MAX_SLICES = 64, 4096
 
 
 def spread(df: DataFrame, key: str, bytes_per_core: int = 16 << 20) -> DataFrame:
@@ -148,6 +148,12 @@ def calendar_year(year: Column) -> Column:
     )
 
 
+def _slices(spark: SparkSession) -> int:
+    """A power of two near the number of cores, so that one huge group uses them all."""
+    cores = spark.sparkContext.defaultParallelism
+    return min(MAX_SLICES, max(MIN_SLICES, 1 << (cores - 1).bit_length()))
+
+
 def _count_below(bounds: Column, value: Column, slices: int) -> Column:
     """How many of the sorted bounds lie below the value, by halving; slices is 2^k."""
     below, step = F.lit(0), slices // 2
@@ -163,7 +169,7 @@ def running_totals(
     order: str,
     totals: dict[str, str],
     descending: bool = False,
-    slices: int = SLICES,
+    slices: int | None = None,
 ) -> DataFrame:
     """Inclusive running sums per group, without putting a group into one task.
 
@@ -173,6 +179,7 @@ def running_totals(
     slice come from a window over that slice, and the sum of all earlier slices is added
     from a table of one row per slice. The result is exact; only the cuts are approximate.
     """
+    slices = slices or _slices(table.sparkSession)
     cuts = [k / slices for k in range(1, slices)]
     bounds = table.groupBy(*groups).agg(
         F.percentile_approx(order, cuts, 10 * slices).alias("_bounds")
@@ -268,14 +275,20 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write a wide table to the shared folder and read it back.
+def written(
+    df: DataFrame, name: str, partition_by: str | None = None, row_id: str | None = None
+) -> DataFrame:
+    """Write a table to the shared folder and read it back.
 
-    Later steps read only the columns they need, and lost executors do not repeat the
-    text work that produced it.
+    Later steps read only the columns and partitions they need, and lost executors do not
+    repeat the work that produced it. Rows are ranged by partition and row id first, so a
+    partition is written by few tasks and a large one by many.
     """
     path = f"{shared_folder(df.sparkSession)}/tables/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    if partition_by:
+        df.repartitionByRange(partition_by, row_id).write.partitionBy(partition_by).parquet(path)
+    else:
+        df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
