@@ -143,6 +143,13 @@ def _(spark, sf):
     return selection.mean_absolute_importance(contributions, TEXT_FEATURES)
 
 
+@query("permutation_importances_l14")
+def _(spark, sf):
+    rows = table(spark, sf)
+    model = models.fit_full(rows, models.boosted_trees(TEXT_FEATURES, **SMALL_TREES))
+    return models.permutation_importances(rows, model, TEXT_FEATURES)
+
+
 def _holdout(spark, sf):
     rows = table(spark, sf)
     return models.score_holdout(

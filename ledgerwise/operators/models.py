@@ -417,6 +417,43 @@ def linear_contributions(df: DataFrame, model: PipelineModel, features) -> DataF
     )
 
 
+def _partners(df: DataFrame, features, seed: int) -> DataFrame:
+    """Every row next to the features of another row, each row used once.
+
+    Rows are numbered in row order and again in hash order, and joined by number.
+    """
+    table = cut_lineage(
+        df.select(ROW, *features, F.xxhash64(F.lit(seed), F.col(ROW)).alias("_hash"))
+        .withColumns({"_all": F.lit(0), "_one": F.lit(1)})
+    )
+    by_row = running_totals(table.select(ROW, "_all", "_one"), ["_all"], ROW, {"_rank": "_one"})
+    by_hash = running_totals(table, ["_all"], "_hash", {"_rank": "_one"})
+    partner = by_hash.select("_rank", *[F.col(f).alias(f"{f}__other") for f in features])
+    return by_row.select(ROW, "_rank").join(partner, "_rank").drop("_rank")
+
+
+def permutation_importances(
+    df: DataFrame, model: PipelineModel, features, seed: int = 42
+) -> DataFrame:
+    """Rise of the Brier score when one feature takes the values of other rows.
+
+    Works for any model. All versions of the table are scored in one job per feature.
+    """
+    features = list(features)
+    paired = cut_lineage(df.join(_partners(df, features, seed), ROW))
+    gap = F.pow(vector_to_array("probability")[1] - F.col(LABEL), F.lit(2))
+
+    def brier(changed: str | None) -> float:
+        rows = paired if changed is None else paired.withColumn(changed, F.col(f"{changed}__other"))
+        return model.transform(rows).agg(F.avg(gap)).first()[0]
+
+    scores = _at_once(df.sparkSession, brier, [None, *features], 4)
+    rows = [(f, float(score - scores[0])) for f, score in zip(features, scores[1:])]
+    return df.sparkSession.createDataFrame(rows, "feature string, importance double").orderBy(
+        F.desc("importance"), "feature"
+    )
+
+
 def score_holdout(
     development: DataFrame,
     holdout: DataFrame,

@@ -12,7 +12,9 @@ from ledgerwise.session import local_session  # noqa: E402
 
 @pytest.fixture(scope="session")
 def spark():
-    return local_session()
+    session = local_session()
+    session.conf.set("spark.sql.shuffle.partitions", "4")
+    return session
 
 
 @pytest.fixture

@@ -200,6 +200,15 @@ def test_trees_and_importances(table):
         models.boosted_trees(["a"], learning_rate=0)
     model = models.fit_full(table, models.boosted_trees(["a", "b"], n_estimators=3, max_depth=2, scale_pos_weight=2.0))
     assert models.feature_importances(model, ["a", "b"]).first().feature == "a"
+    permuted = {r.feature: r.importance for r in models.permutation_importances(table, model, ["a", "b"]).collect()}
+    assert permuted["a"] > 0.01 and permuted["a"] > permuted["b"]
+
+
+def test_partners_are_a_permutation(table):
+    pairs = models._partners(table, ["a"], 1).join(table.select("row_id", "a"), "row_id").collect()
+    assert len(pairs) == table.count()
+    assert sorted(r.a for r in pairs) == sorted(r["a__other"] for r in pairs)
+    assert any(r.a != r["a__other"] for r in pairs)
 
 
 def test_linear_contributions_sum_to_the_margin(table):
