@@ -45,24 +45,26 @@ def score_histogram(predictions: DataFrame, score: str = SCORE) -> DataFrame:
     )
 
 
-def ranked_histogram(histogram: DataFrame) -> DataFrame:
+def ranked_scores(predictions: DataFrame) -> DataFrame:
     """Histogram with the rows and positives scored at least as high."""
     return running_totals(
-        histogram, [YEAR], "score", {"n_upto": "n", "pos_upto": "pos"}, descending=True
+        score_histogram(predictions),
+        [YEAR],
+        "score",
+        {"n_upto": "n", "pos_upto": "pos"},
+        descending=True,
     )
 
 
-def ranking_metrics(predictions: DataFrame) -> DataFrame:
+def ranking_metrics(predictions: DataFrame, ranked: DataFrame | None = None) -> DataFrame:
     """ROC-AUC (ties count one half) and average precision (ties are one step).
 
-    Both are NULL in a year with one class.
+    Both are NULL in a year with one class. `ranked` may pass in `ranked_scores`.
     """
-    return ranking_from_histogram(score_histogram(predictions))
-
-
-def ranking_from_histogram(histogram: DataFrame) -> DataFrame:
-    ranked = ranked_histogram(histogram)
-    totals = histogram.groupBy(YEAR).agg(F.sum("pos").alias("_p"), F.sum(F.col("n") - F.col("pos")).alias("_q"))
+    ranked = cut_lineage(ranked_scores(predictions)) if ranked is None else ranked
+    totals = ranked.groupBy(YEAR).agg(
+        F.sum("pos").alias("_p"), F.sum(F.col("n") - F.col("pos")).alias("_q")
+    )
     # One row per calendar year: bounded, so broadcast.
     scored = ranked.join(F.broadcast(totals), YEAR)
     pos, neg = F.col("pos").cast("double"), (F.col("n") - F.col("pos")).cast("double")
@@ -149,20 +151,19 @@ def _review_size(rows: Column) -> Column:
     return F.greatest(F.lit(1), F.floor((rows * fv.REVIEW_PERCENT + 99) / 100))
 
 
-def queue_cutoffs(predictions: DataFrame, histogram: DataFrame | None = None) -> DataFrame:
+def queue_cutoffs(predictions: DataFrame, ranked: DataFrame | None = None) -> DataFrame:
     """Per year: the score and row id at which the review queue ends.
 
     The queue holds every row above `cut_score` and, of the rows on it, those up to
     `cut_row`. Only rows tied on the cut score are ranked by row id, again distributed.
     """
-    histogram = score_histogram(predictions) if histogram is None else histogram
-    totals = histogram.groupBy(YEAR).agg(
+    ranked = cut_lineage(ranked_scores(predictions)) if ranked is None else ranked
+    totals = ranked.groupBy(YEAR).agg(
         F.sum("n").alias("_rows"), F.sum("pos").alias("positives")
     )
     size = _review_size(F.col("_rows"))
     cut = (
-        ranked_histogram(histogram)
-        .join(F.broadcast(totals), YEAR)
+        ranked.join(F.broadcast(totals), YEAR)
         .withColumn("review_n", size)
         .where((F.col("n_upto") >= F.col("review_n")) & (F.col("n_upto") - F.col("n") < F.col("review_n")))
         .select(
@@ -198,9 +199,9 @@ def queue_cutoffs(predictions: DataFrame, histogram: DataFrame | None = None) ->
     )
 
 
-def review_metrics(predictions: DataFrame, histogram: DataFrame | None = None) -> DataFrame:
+def review_metrics(predictions: DataFrame, ranked: DataFrame | None = None) -> DataFrame:
     """Queue size, and recall and precision of the top five percent."""
-    return queue_cutoffs(predictions, histogram).select(
+    return queue_cutoffs(predictions, ranked).select(
         YEAR,
         F.col("review_n").alias("review_n_at_5_percent"),
         safe_ratio(F.col("found"), F.col("positives")).alias("recall_at_5_percent"),
@@ -326,12 +327,12 @@ def best_threshold(
 
 def fold_metrics(predictions: DataFrame, n_bins: int = fv.CALIBRATION_BINS) -> DataFrame:
     """The full metric row per year. Every joined table has one row per calendar year."""
-    histogram = score_histogram(predictions)
+    ranked = cut_lineage(ranked_scores(predictions))
     tables = [
         brier_metrics(predictions),
-        ranking_from_histogram(histogram),
+        ranking_metrics(predictions, ranked),
         classification_metrics(predictions).drop("tp", "fp", "fn", "tn"),
-        review_metrics(predictions, histogram),
+        review_metrics(predictions, ranked),
         calibration_error(predictions, n_bins),
     ]
     joined = reduce(lambda a, b: a.join(F.broadcast(b), YEAR), tables)
