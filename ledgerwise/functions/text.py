@@ -56,8 +56,14 @@ def _decode_markup(texts: pd.Series) -> pd.Series:
 
 
 def _through_python(text: Column, needed: Column, udf, otherwise: Column) -> Column:
-    """Send only the rows that need it through the UDF; the others stay in the JVM."""
-    return F.coalesce(udf(F.when(needed, text)), otherwise)
+    """Send only the rows that need it through the UDF; the others stay in the JVM.
+
+    The UDF is declared nondeterministic, which it is not, so that the optimizer computes
+    its column once. Otherwise a filter on the result would be pushed below it, and the
+    text would go through Python a second time. Chain such functions over columns
+    (`withColumn`), not inside one expression.
+    """
+    return F.coalesce(udf.asNondeterministic()(F.when(needed, text)), otherwise)
 
 
 def unescape_html(text: Column) -> Column:

@@ -44,15 +44,25 @@ def quality_flags(
     )
 
 
-def quality_filter(filings: DataFrame, **limits) -> DataFrame:
-    """Rows that break no rule."""
-    return (
-        quality_flags(filings, **limits)
-        .where("keep")
-        .drop("reference_only", "short_text", "amended", "too_early", "keep")
+def metadata_filter(filings: DataFrame, first_year: int = fv.FIRST_FILING_YEAR) -> DataFrame:
+    """The rules that need no text; apply them before the text work where that is possible."""
+    return filings.where(
+        ~is_amended(F.col("filing_type")) & filed_since(F.col("filing_date"), first_year)
     )
 
 
+def quality_filter(filings: DataFrame, first_year: int = fv.FIRST_FILING_YEAR) -> DataFrame:
+    """Rows that break no rule."""
+    return metadata_filter(filings, first_year).where(has_enough_words(F.col("mda")))
+
+
+def clean_and_filter(filings: DataFrame, first_year: int = fv.FIRST_FILING_YEAR) -> DataFrame:
+    """Clean, normalize and filter, on batch or stream; text is touched once per kept row."""
+    cleaned = metadata_filter(filings, first_year).withColumn("mda", text.clean_text(F.col("mda")))
+    normalized = cleaned.withColumn("mda", text.normalize_text(F.col("mda")))
+    return normalized.where(has_enough_words(F.col("mda")))
+
+
 def quality_report(filings: DataFrame, **limits) -> DataFrame:
     """One row of removal counters; they may add up to more than the removed rows."""
     return quality_flags(filings, **limits).agg(

@@ -55,8 +55,9 @@ def _normalize(t: Tables) -> Tables:
 
 
 def _quality(t: Tables) -> Tables:
-    # Written once: the next stage reads only its keys, and the text work is not repeated.
-    return {"checked": written(quality.quality_filter(t["normalized"]), "checked")}
+    # Same rows as filtering `normalized`, but rows that fail on type or date are dropped
+    # before the text work. Written once, so the next stage reads only its keys.
+    return {"checked": written(quality.clean_and_filter(t["labeled"]), "checked")}
 
 
 def _deduplicate(t: Tables) -> Tables:

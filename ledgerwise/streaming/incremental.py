@@ -5,10 +5,8 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerwise.functions import text
 from ledgerwise.operators import quality
 from ledgerwise.scale import shared_folder
 
@@ -25,9 +23,8 @@ def file_stream(
 
 
 def clean_and_filter(filings: DataFrame, **limits) -> DataFrame:
-    """Stateless: the same column functions as the batch steps, on batch or stream."""
-    cleaned = filings.withColumn("mda", text.normalize_text(text.clean_text(F.col("mda"))))
-    return quality.quality_filter(cleaned, **limits)
+    """Stateless: the batch function works on a stream as it is."""
+    return quality.clean_and_filter(filings, **limits)
 
 
 def first_seen(stream: DataFrame, keys: list[str]) -> DataFrame:
