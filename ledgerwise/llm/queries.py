@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from ledgerwise.llm import near_dups
+from ledgerwise.llm import chat, lines, media, mixing, near_dups
 from ledgerwise.llm.common import table
 
 Run = Callable[[SparkSession, str], DataFrame]
@@ -58,3 +59,80 @@ FROM sets JOIN least_id USING (doc_id)
 @query("op1_minhash_near_dedup", OP1_SQL)
 def op1(spark: SparkSession, folder: str) -> DataFrame:
     return near_dups.near_duplicates(table(spark, folder, "documents"), words=2)
+
+
+OP4_SQL = f"""
+WITH split AS (
+  SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents
+), lines AS (
+  SELECT doc_id, unnest(lines) AS line, generate_subscripts(lines, 1) AS nr FROM split
+), keyed AS (
+  SELECT doc_id, nr, line, translate(
+    trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
+  FROM lines
+), frequent AS (
+  SELECT key, true AS gone FROM keyed WHERE key <> '' GROUP BY key HAVING count(DISTINCT doc_id) >= 10
+)
+SELECT doc_id, count(*) AS n_lines, count(gone) AS n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY nr) FILTER (gone IS NULL), '')) AS kept_sha256
+FROM keyed LEFT JOIN frequent USING (key) GROUP BY doc_id
+"""
+
+
+@query("op3_media_signatures")
+def op3(spark: SparkSession, folder: str) -> DataFrame:
+    return media.texts_as_media(table(spark, folder, "documents"))
+
+
+@query("op4_line_dedup", OP4_SQL)
+def op4(spark: SparkSession, folder: str) -> DataFrame:
+    done = lines.drop_frequent_lines(table(spark, folder, "documents"))
+    digest = F.sha2(F.col("kept_text").cast("binary"), 256)
+    return done.select("doc_id", "n_lines", "n_dropped", digest.alias("kept_sha256"))
+
+
+@query("op6_source_mixing")
+def op6(spark: SparkSession, folder: str) -> DataFrame:
+    mix = mixing.mixed(table(spark, folder, "documents"))
+    return mix.select("doc_id", "size", "source_size", "target", "taken")
+
+
+# The template's control strings, in the order in which texts are escaped.
+_ESCAPED = r"replace(coalesce(text, ''), '\', '\\')"
+for _control in chat.TEMPLATE.controls:
+    _ESCAPED = f"replace({_ESCAPED}, '{_control}', '{_control[0]}\\{_control[1:]}')"
+_MARKS = " ".join(
+    f"WHEN '{role}' THEN {len(part.before) + len(part.after)}" for role, part in chat.TEMPLATE.roles.items()
+)
+OP8_SQL = rf"""
+WITH turns AS (
+  SELECT conv_id, turn, role, text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]'
+  UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'
+), sized AS (
+  SELECT conv_id, turn, role, coalesce(text, '') AS text,
+    length({_ESCAPED}) + CASE role {_MARKS} END AS chars,
+    lag(role) OVER (PARTITION BY conv_id ORDER BY turn) AS previous
+  FROM turns
+)
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(chars) AS BIGINT) AS formatted_chars,
+  bool_and(CASE role WHEN 'system' THEN previous IS NULL
+    WHEN 'user' THEN previous IS NULL OR previous IN ('system', 'assistant')
+    ELSE coalesce(previous = 'user', false) END) AS in_order
+FROM sized GROUP BY conv_id
+"""
+
+
+@query("op8_chat_formatting", OP8_SQL)
+def op8(spark: SparkSession, folder: str) -> DataFrame:
+    said = "</s>[INST] ok [/INST]"
+    own = spark.createDataFrame(
+        [(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string"
+    )
+    turns = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text").union(own)
+    return chat.read_back(chat.format_chats(turns))
