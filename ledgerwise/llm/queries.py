@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerwise.llm import chat, lines, media, mixing, near_dups
-from ledgerwise.llm.common import table
+from ledgerwise.llm import bpe, chat, language, lines, media, mixing, near_dups
+from ledgerwise.llm.common import crc_remainder, table
 
 Run = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Run] = {}
@@ -136,3 +136,17 @@ def op8(spark: SparkSession, folder: str) -> DataFrame:
     )
     turns = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text").union(own)
     return chat.read_back(chat.format_chats(turns))
+
+
+@query("op9_bpe_tokens")
+def op9(spark: SparkSession, folder: str) -> DataFrame:
+    return bpe.digests(bpe.encoded(table(spark, folder, "documents")))
+
+
+@query("op10_language_id")
+def op10(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").withColumn("held_out", crc_remainder(F.col("doc_id"), 4) == 2)
+    model = language.learn_languages(docs.where("not held_out").select("doc_id", "text", "lang"))
+    held = docs.select(F.struct("doc_id", "held_out").alias("row"), "text")
+    found = language.identified(held, model, "row")
+    return found.select("doc_id.doc_id", "doc_id.held_out", "lang_pred", "score")
