@@ -75,9 +75,11 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _UP, _DOWN
 
 
-def hash_words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+def hash_words(texts: list[bytes], prefix: int | None = None) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of all words of some texts, and where each text's words begin.
 
+    With `prefix`, hashes of the first so many bytes of each word.
+
     All words are hashed at once: a polynomial over the bytes is summed up along the buffer,
     and a word's hash is the difference of two sums, shifted back to the word's start.
     """
@@ -89,6 +91,8 @@ def hash_words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         return np.empty(0, np.uint64), np.zeros(len(texts) + 1, np.int64)
     edges = np.diff((~_SPACE[data]).view(np.int8), prepend=0, append=0)
     starts, ends = np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)
+    if prefix is not None:
+        ends = np.minimum(ends, starts + prefix)
     up, down = _powers(len(data))
     sums = np.zeros(len(data) + 1, np.uint64)
     np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=sums[1:])

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerwise.llm import bpe, chat, language, lines, media, mixing, near_dups
+from ledgerwise.llm import bpe, chat, cotraining, language, lines, media, mixing, near_dups
 from ledgerwise.llm.common import crc_remainder, table
 
 Run = Callable[[SparkSession, str], DataFrame]
@@ -150,3 +150,10 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
     held = docs.select(F.struct("doc_id", "held_out").alias("row"), "text")
     found = language.identified(held, model, "row")
     return found.select("doc_id.doc_id", "doc_id.held_out", "lang_pred", "score")
+
+
+@query("op5_quality_cotraining")
+def op5(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    model = cotraining.learn_quality(docs, table(spark, folder, "labels"))
+    return cotraining.scored(docs, model).withColumn("accepted", F.col("score") >= cotraining.THRESHOLD)
