@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerwise.llm import bpe, chat, cotraining, language, lines, media, mixing, near_dups
+from ledgerwise.llm import binary_codes, bpe, chat, cotraining, language, lines, media, mixing, near_dups
 from ledgerwise.llm.common import crc_remainder, table
 
 Run = Callable[[SparkSession, str], DataFrame]
@@ -157,3 +157,32 @@ def op5(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     model = cotraining.learn_quality(docs, table(spark, folder, "labels"))
     return cotraining.scored(docs, model).withColumn("accepted", F.col("score") >= cotraining.THRESHOLD)
+
+
+OP7_SQL = """
+WITH RECURSIVE usable AS (
+  SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
+  WHERE label IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), links AS (
+  SELECT x.vec_id AS a, y.vec_id AS b FROM usable x JOIN usable y
+    ON x.label = y.label AND x.vec_id <> y.vec_id AND len(x.v) = len(y.v)
+  WHERE list_cosine_similarity(x.v, y.v) >= 0.93
+), reach AS (
+  SELECT vec_id, vec_id AS other FROM embeddings
+  UNION
+  SELECT reach.vec_id, links.b FROM reach JOIN links ON reach.other = links.a
+), least_id AS (
+  SELECT vec_id, min(other) AS component_id FROM reach GROUP BY vec_id
+), degrees AS (
+  SELECT a AS vec_id, count(*) AS n FROM links GROUP BY a
+)
+SELECT vec_id, coalesce(n, 0) AS n_links, component_id, component_id = vec_id AS kept
+FROM least_id LEFT JOIN degrees USING (vec_id)
+"""
+
+
+@query("op7_embedding_near_dedup", OP7_SQL)
+def op7(spark: SparkSession, folder: str) -> DataFrame:
+    return binary_codes.near_vectors(table(spark, folder, "embeddings"))
