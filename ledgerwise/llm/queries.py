@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerwise.llm import binary_codes, bpe, chat, cotraining, language, lines, media, mixing, near_dups
+from ledgerwise.llm import binary_codes, bpe, chat, class_lm, cotraining, language, lines, media, mixing, near_dups
 from ledgerwise.llm.common import crc_remainder, table
 
 Run = Callable[[SparkSession, str], DataFrame]
@@ -186,3 +186,9 @@ FROM least_id LEFT JOIN degrees USING (vec_id)
 @query("op7_embedding_near_dedup", OP7_SQL)
 def op7(spark: SparkSession, folder: str) -> DataFrame:
     return binary_codes.near_vectors(table(spark, folder, "embeddings"))
+
+
+@query("op2_brown_class_scores")
+def op2(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    return class_lm.class_scores(docs.withColumn("held_out", crc_remainder(F.col("doc_id"), 7) == 2))
