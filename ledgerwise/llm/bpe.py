@@ -381,8 +381,8 @@ def encoded(
 def _digests(description):
     def run(batches):
         encoder = encoder_of(description.value)
-        names = np.array([encoder.names.get(i, "") for i in range(max(encoder.names) + 1)], object)
-        numbers = np.array([str(i) for i in range(len(names))], object)
+        names = np.array([encoder.names.get(i, "") for i in range(encoder.width)], object)
+        numbers = np.array([str(i) for i in range(encoder.width)], object)
         for batch in batches:
             counts, ids_hex, texts_hex = [], [], []
             column = batch.column("ids")
@@ -393,17 +393,17 @@ def _digests(description):
                 ids_hex.append(hashlib.sha256(" ".join(numbers[ids]).encode()).hexdigest())
                 texts_hex.append(hashlib.sha256(" ".join(names[ids]).encode()).hexdigest())
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(ids_hex), pa.array(texts_hex)],
-                ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
+                [*batch.columns, pa.array(counts, pa.int64()), pa.array(ids_hex), pa.array(texts_hex)],
+                [*batch.schema.names, "n_tokens", "ids_sha256", "decoded_sha256"],
             )
 
     return run
 
 
 def digests(tokens: DataFrame, path: str = VOCABULARY) -> DataFrame:
-    """Per row of `encoded`: doc_id, n_tokens, and digests of the ids and of the decoded text."""
+    """Rows of `encoded` with n_tokens and digests of the ids and of the text that they decode to."""
     kind = dict(tokens.dtypes)["doc_id"]
     return tokens.select("doc_id", "ids").mapInArrow(
         _digests(load(tokens.sparkSession, path)),
-        f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string",
+        f"doc_id {kind}, ids array<int>, n_tokens long, ids_sha256 string, decoded_sha256 string",
     )

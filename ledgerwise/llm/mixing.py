@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ledgerwise.llm.common import WORD
-from ledgerwise.scale import cut_lineage
+from ledgerwise.scale import checked_broadcast, cut_lineage
 
 # Weights by rank of the source, repeating.
 WEIGHTS = (5, 2, 1)
@@ -56,7 +56,7 @@ def _ranked(sources: DataFrame) -> DataFrame:
 
 
 def source_targets(sizes: DataFrame) -> DataFrame:
-    """Columns source, source_size, docs and target for a table of sources with their sizes.
+    """Columns source, name, source_size, docs and target for a table of sources with their sizes.
 
     The excess of capped sources is shared again by weight until no source is above its cap. Each
     round is one pass over the source table and gives the driver one row.
@@ -80,7 +80,7 @@ def source_targets(sizes: DataFrame) -> DataFrame:
         capped = row[0]
         rate = (total * SHARE_PERCENT / 100 - row[1]) / row[2]
     target = F.least(F.col("cap").cast("double"), F.col("weight") * F.lit(float(rate)))
-    return sources.select("source", "source_size", "docs", target.alias("target"))
+    return sources.select("source", "name", "source_size", "docs", target.alias("target"))
 
 
 def apportioned(entries: DataFrame, group: list[str], share: str, seats: str, order: str) -> DataFrame:
@@ -129,8 +129,9 @@ def mixed(
     id_column: str = "doc_id",
     source_column: str = "source",
     text_column: str = "text",
+    keep: tuple[str, ...] = (),
 ) -> DataFrame:
-    """Per row: doc_id, size, source_size, target, taken, and the run as stream positions.
+    """Per row: doc_id, size, source_size, target, taken, the run it lies in, and the columns `keep`.
 
     `taken` counts the words that the mix takes from the row, at most twice its size. The words of
     the row are number `begins` to `begins + size` of its shard's stream of `stream` words, and the
@@ -139,54 +140,88 @@ def mixed(
     null ids are rows of their own, in an order that texts decide; rows that agree in both may
     change places, but not results. Other columns are not read. No rows give no rows.
     """
+    text = F.coalesce(F.col(text_column), F.lit(""))
+    marked = F.concat(F.coalesce(F.col(id_column).cast("string"), F.lit("")), F.lit(f" {seed}"))
+    # A null source gets a name that no source can have, for joins.
+    source = F.col(source_column).cast("string")
     rows = docs.select(
         F.col(id_column).alias("doc_id"),
-        F.col(source_column).cast("string").alias("source"),
-        word_count(F.col(text_column)).alias("size"),
-        F.md5(
-            F.concat(F.coalesce(F.col(id_column).cast("string"), F.lit("")), F.lit(f" {seed}")).cast("binary")
-        ).alias("_mark"),
-        F.xxhash64(F.col(text_column)).alias("_text"),
+        source.alias("_source"),
+        F.coalesce(F.concat(F.lit("s"), source), F.lit("null")).alias("name"),
+        word_count(text).alias("size"),
+        F.md5(marked.cast("binary")).alias("_mark"),
+        F.xxhash64(text).alias("_text"),
+        *[F.col(c).alias(f"_keep_{c}") for c in keep],
     )
-    rows = cut_lineage(rows)
-    sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("docs"))
-    targets = source_targets(sizes)
-    # A null source gets a name that no source can have, for joins.
-    name = F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("null"))
-    targets = targets.withColumn("name", name).withColumn("_all", F.lit(0))
+    narrow = cut_lineage(rows.select("_source", "name", "size", "_mark"))
+    sizes = narrow.groupBy(F.col("_source").alias("source"), "name").agg(
+        F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("docs")
+    )
+    targets = source_targets(sizes).withColumn("_all", F.lit(0))
     blocks = F.floor(F.sum("target").over(Window.partitionBy("_all")) / block_words + 0.5).cast("long")
     dealt = apportioned(targets.withColumn("_blocks", blocks), ["_all"], "target", "_blocks", "name")
     shards = F.least(F.ceil(F.col("docs") / SHARD_DOCS), F.lit(MAX_SHARDS)).cast("long")
-    dealt = cut_lineage(
+    dealt, _ = checked_broadcast(
         dealt.select("name", "source_size", "target", F.col("quota").alias("_blocks"), shards.alias("_shards"))
     )
-    placed = rows.withColumn("name", name).drop("source").join(dealt, "name")
-    mark = F.conv(F.substring("_mark", 1, 8), 16, 10).cast("long")
-    placed = placed.withColumn("shard", mark % F.col("_shards"))
-    streams = placed.groupBy("name", "shard", "_blocks", "target", "source_size").agg(
-        F.sum("size").alias("stream"), F.sum(F.lit(0)).alias("_zero")
+    number = F.conv(F.substring("_mark", 1, 8), 16, 10).cast("long")
+
+    def in_shards(table: DataFrame) -> DataFrame:
+        placed = table.join(dealt, "name").withColumn("shard", number % F.col("_shards"))
+        return placed.withColumn("_stream", F.concat_ws(" ", F.col("shard"), "name"))
+
+    streams = in_shards(narrow).groupBy("_stream", "name", "shard", "_blocks", "target", "source_size").agg(
+        F.sum("size").alias("stream")
     )
     streams = streams.withColumn("share", F.col("target") * F.col("stream") / F.greatest("source_size", F.lit(1)))
     quotas = apportioned(streams, ["name"], "share", "_blocks", "shard")
     run = F.least(F.col("quota") * block_words, CAP * F.col("stream"))
-    start = F.conv(
-        F.substring(F.md5(F.concat_ws(" ", "name", "shard", F.lit(seed)).cast("binary")), 1, 8), 16, 10
-    ).cast("long")
+    begin = F.md5(F.concat_ws(" ", "_stream", F.lit(seed)).cast("binary"))
+    start = F.conv(F.substring(begin, 1, 8), 16, 10).cast("long")
     start = F.when(F.col("stream") > 0, F.pmod(start * block_words, F.col("stream"))).otherwise(F.lit(0))
-    quotas = quotas.select("name", "shard", "stream", run.alias("run"), start.alias("start"))
-    before = (
-        Window.partitionBy("name", "shard")
-        .orderBy("_mark", "_text", "size")
-        .rowsBetween(Window.unboundedPreceding, -1)
-    )
-    ordered = placed.withColumn("begins", F.coalesce(F.sum("size").over(before), F.lit(0)).cast("long"))
-    done = ordered.join(quotas, ["name", "shard"])
+    quotas = quotas.select("_stream", "stream", run.alias("run"), start.alias("start"))
+    # The key of a stream holds its source and shard, so that rows are dealt out by both.
+    order = Window.partitionBy("_stream").orderBy("_mark", "_text", "size")
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    ordered = in_shards(rows).withColumn("begins", F.coalesce(F.sum("size").over(before), F.lit(0)).cast("long"))
+    done = ordered.join(quotas, "_stream")
     return done.select(
         "doc_id", "size", "source_size", "target", taken().alias("taken"), "begins", "stream", "run",
-        "start", F.col("name").alias("source_name"), "shard",
+        "start", *[F.col(f"_keep_{c}").alias(c) for c in keep],
     )
 
 
+def mixed_texts(docs: DataFrame, seed: int = 0) -> DataFrame:
+    """The mix itself, with the columns of documents: a row for each time that a text is taken.
+
+    A text that the run takes whole stays as it is. Of a text at an end of the run the words inside
+    the run stay, joined by blanks. `n_chars` is the length of what stays.
+    """
+    kept = tuple(c for c in docs.columns if c != "doc_id")
+    mix = mixed(docs, seed=seed, keep=kept)
+    size, begins, stream = F.col("size"), F.col("begins"), F.col("stream")
+    turns = F.floor(F.col("run") / stream).cast("int")
+    end = F.col("start") + F.col("run") - turns * stream
+    whole = F.struct(F.lit(0).cast("long").alias("first"), size.alias("last"))
+    direct = F.struct(
+        F.greatest(F.col("start") - begins, F.lit(0)).alias("first"),
+        (F.least(begins + size, end, stream) - begins).alias("last"),
+    )
+    around = F.struct(
+        F.lit(0).cast("long").alias("first"), (F.least(begins + size, end - stream) - begins).alias("last")
+    )
+    pieces = F.concat(F.array_repeat(whole, turns), F.array(direct, around))
+    pieces = F.filter(pieces, lambda p: p["last"] > p["first"])
+    taken_rows = mix.where("taken > 0").withColumn("_piece", F.explode(pieces))
+    first, last = F.col("_piece.first"), F.col("_piece.last")
+    words = F.regexp_extract_all("text", F.lit(f"({WORD})"), F.lit(1))
+    part = F.array_join(F.slice(words, (first + 1).cast("int"), (last - first).cast("int")), " ")
+    text = F.when(last - first == size, F.col("text")).otherwise(part)
+    return taken_rows.withColumn("text", text).withColumn("n_chars", F.length("text").cast("long")).select(
+        *docs.columns
+    )
+
+
 def taken() -> Column:
     """Words of a row inside the run: whole turns of the stream and the part of a turn."""
     size, begins, stream = F.col("size"), F.col("begins"), F.col("stream")
