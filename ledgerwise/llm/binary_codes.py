@@ -1,8 +1,9 @@
 """Embedding near-duplicates: learned binary codes, multi-index Hamming tables, exact reranking.
 
-Unit vectors are centred, turned by principal components and then by a rotation that iterative
-quantisation learns, so that signs make balanced codes. A code is cut into substrings; vectors
-that agree in a whole substring meet in a table. Pairs that meet are filtered by Hamming distance
+Unit vectors are turned by principal components and then by a rotation that iterative quantisation
+learns, so that signs make balanced codes. They are not centred: equal signs have to mean a small
+angle, also where most vectors are copies of one. A code is cut into substrings; vectors that agree
+in a whole substring meet in a table. Pairs that meet are filtered by Hamming distance
 and confirmed by the cosine of the original vectors in double precision.
 
 Pairs are never emitted. A bucket is compared as blocks of a matrix, in which each vector counts
@@ -34,14 +35,13 @@ MAX_DIMENSIONS = 64
 
 @dataclass(frozen=True)
 class Codes:
-    """Centre and projection of one dimension; a code's bits are the signs of the projection."""
+    """The projection for vectors of one length; a code's bits are its signs."""
 
-    centre: np.ndarray
     projection: np.ndarray
 
     def of(self, vectors: np.ndarray) -> np.ndarray:
         """Codes of unit vectors as 64-bit numbers, TABLES substrings of BITS / TABLES bits each."""
-        signs = (vectors - self.centre) @ self.projection >= 0
+        signs = vectors @ self.projection >= 0
         return np.packbits(signs, axis=1).view(np.uint64).ravel()
 
 
@@ -52,20 +52,18 @@ def learn_codes(vectors: np.ndarray, rounds: int = ROUNDS, seed: int = 7) -> Cod
     """
     rng = np.random.default_rng(seed)
     size = vectors.shape[1]
-    centre = vectors.mean(axis=0)
-    centred = vectors - centre
     if size >= BITS:
-        _, directions = np.linalg.eigh(centred.T @ centred)
+        _, directions = np.linalg.eigh(vectors.T @ vectors)
         frame = directions[:, ::-1][:, :BITS]
     else:
         frame = rng.standard_normal((size, BITS))
-    flat = centred @ frame
+    flat = vectors @ frame
     rotation, _ = np.linalg.qr(rng.standard_normal((BITS, BITS)))
     for _ in range(rounds):
         signs = np.where(flat @ rotation >= 0, 1.0, -1.0)
         left, _, right = np.linalg.svd(flat.T @ signs)
         rotation = left @ right
-    return Codes(centre, frame @ rotation)
+    return Codes(frame @ rotation)
 
 
 def _unit_rows(batches):
