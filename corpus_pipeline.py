@@ -13,20 +13,28 @@ from ledgerwise.llm.common import table
 from ledgerwise.scale import written
 
 
+def carried(docs: DataFrame, own: tuple[str, ...]) -> tuple[DataFrame, dict[str, str]]:
+    """Documents whose other columns have names that no operator uses, and those names."""
+    names = {c: f"_carried_{k}" for k, c in enumerate(docs.columns) if c not in own}
+    return docs.withColumnsRenamed(names), names
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the co-trained classifier accepts; the labels are those of `sf_dir`."""
     model = cotraining.learn_quality(docs, table(spark, sf_dir, "labels"))
-    others = tuple(c for c in docs.columns if c != "doc_id")
-    scored = cotraining.scored(docs, model, keep=others)
-    return scored.where(F.col("score") >= cotraining.THRESHOLD).select(*docs.columns)
+    own = ("doc_id", "text", "source", "lang")
+    renamed, names = carried(docs, own)
+    scored = cotraining.scored(renamed, model, keep=(*own[1:], *names.values()))
+    accepted = scored.where(F.col("score") >= cotraining.THRESHOLD)
+    return accepted.select(*[F.col(names.get(c, c)).alias(c) for c in docs.columns])
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents without the lines that ten of them share; `n_chars` is the new length."""
-    others = tuple(c for c in docs.columns if c not in ("doc_id", "text", "n_chars"))
-    done = lines.drop_frequent_lines(docs, keep=others)
-    done = done.withColumnRenamed("kept_text", "text")
-    return done.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    renamed, names = carried(docs, ("doc_id", "text"))
+    done = lines.drop_frequent_lines(renamed, keep=tuple(names.values()))
+    made = {"text": F.col("kept_text"), "n_chars": F.length("kept_text").cast("long")}
+    return done.select(*[made.get(c, F.col(names.get(c, c))).alias(c) for c in docs.columns])
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -169,6 +169,7 @@ def learn_languages(
     a hash of their id, at most `document_points` of one; `points` of them are learned. So the driver
     holds a bounded number of characters for each of at most MAX_LANGUAGES languages.
     """
+    labelled = labelled.select("doc_id", "text", "lang")
     usable = labelled.where("text is not null and lang is not null and length(text) > 0")
     capped = F.least(F.length("text"), F.lit(document_points))
     totals = usable.groupBy("lang").agg(F.sum(capped).alias("points")).limit(MAX_LANGUAGES + 1).collect()

@@ -129,17 +129,19 @@ def mixed(
     id_column: str = "doc_id",
     source_column: str = "source",
     text_column: str = "text",
-    keep: tuple[str, ...] = (),
+    keep: dict[str, str] | None = None,
 ) -> DataFrame:
-    """Per row: doc_id, size, source_size, target, taken, the run it lies in, and the columns `keep`.
+    """Per row: doc_id, size, source_size, target, taken, and the run it lies in.
 
     `taken` counts the words that the mix takes from the row, at most twice its size. The words of
     the row are number `begins` to `begins + size` of its shard's stream of `stream` words, and the
     run takes `run` words from number `start`, going on at 0 after the end. Null texts have size 0
     and nothing is taken; a null source is a source of its own, ranked last; rows with equal or
     null ids are rows of their own, in an order that texts decide; rows that agree in both may
-    change places, but not results. Other columns are not read. No rows give no rows.
+    change places, but not results. No rows give no rows. `keep` names columns to carry along, and
+    what to call them; other columns are not read.
     """
+    keep = keep or {}
     text = F.coalesce(F.col(text_column), F.lit(""))
     marked = F.concat(F.coalesce(F.col(id_column).cast("string"), F.lit("")), F.lit(f" {seed}"))
     # A null source gets a name that no source can have, for joins.
@@ -151,7 +153,7 @@ def mixed(
         word_count(text).alias("size"),
         F.md5(marked.cast("binary")).alias("_mark"),
         F.xxhash64(text).alias("_text"),
-        *[F.col(c).alias(f"_keep_{c}") for c in keep],
+        *[F.col(c).alias(f"_keep_{k}") for k, c in enumerate(keep)],
     )
     narrow = cut_lineage(rows.select("_source", "name", "size", "_mark"))
     sizes = narrow.groupBy(F.col("_source").alias("source"), "name").agg(
@@ -187,7 +189,7 @@ def mixed(
     done = ordered.join(quotas, "_stream")
     return done.select(
         "doc_id", "size", "source_size", "target", taken().alias("taken"), "begins", "stream", "run",
-        "start", *[F.col(f"_keep_{c}").alias(c) for c in keep],
+        "start", *[F.col(f"_keep_{k}").alias(name) for k, name in enumerate(keep.values())],
     )
 
 
@@ -197,8 +199,9 @@ def mixed_texts(docs: DataFrame, seed: int = 0) -> DataFrame:
     A text that the run takes whole stays as it is. Of a text at an end of the run the words inside
     the run stay, joined by blanks. `n_chars` is the length of what stays.
     """
-    kept = tuple(c for c in docs.columns if c != "doc_id")
-    mix = mixed(docs, seed=seed, keep=kept)
+    carried = {c: f"_carried_{k}" for k, c in enumerate(docs.columns)}
+    mix = mixed(docs, seed=seed, keep=carried)
+    own = F.col(carried["text"])
     size, begins, stream = F.col("size"), F.col("begins"), F.col("stream")
     turns = F.floor(F.col("run") / stream).cast("int")
     end = F.col("start") + F.col("run") - turns * stream
@@ -214,12 +217,11 @@ def mixed_texts(docs: DataFrame, seed: int = 0) -> DataFrame:
     pieces = F.filter(pieces, lambda p: p["last"] > p["first"])
     taken_rows = mix.where("taken > 0").withColumn("_piece", F.explode(pieces))
     first, last = F.col("_piece.first"), F.col("_piece.last")
-    words = F.regexp_extract_all("text", F.lit(f"({WORD})"), F.lit(1))
+    words = F.regexp_extract_all(own, F.lit(f"({WORD})"), F.lit(1))
     part = F.array_join(F.slice(words, (first + 1).cast("int"), (last - first).cast("int")), " ")
-    text = F.when(last - first == size, F.col("text")).otherwise(part)
-    return taken_rows.withColumn("text", text).withColumn("n_chars", F.length("text").cast("long")).select(
-        *docs.columns
-    )
+    text = F.when(last - first == size, own).otherwise(part)
+    made = {"text": text, "n_chars": F.length(text).cast("long")}
+    return taken_rows.select(*[made.get(c, F.col(name)).alias(c) for c, name in carried.items()])
 
 
 def taken() -> Column:
