@@ -2,8 +2,11 @@
 
 1. A text becomes the set of hashes of its word runs. Equal sets are one node.
 2. MinHash minima are cut into bands; nodes that agree in a whole band are candidates.
-3. A candidate pair is compared in batches of 64 signature bits. After each batch it goes if the
-   posterior probability that its similarity reaches the threshold is below `miss`.
+3. A candidate pair is compared in batches of signature bits, each as large as all before. After
+   each batch it goes if the posterior probability that its similarity reaches the threshold is
+   below `miss`.
+   It also goes when parity bits of the two sets differ in more places than similar sets can differ
+   in elements, which is certain.
 4. Survivors are confirmed on their full sets, and links are joined to components.
 
 A bucket is never expanded into all its pairs. Every member is compared to one hub, links are
@@ -26,22 +29,30 @@ from ledgerwise.scale import checked_broadcast, cut_lineage, written
 
 # At similarity 0.8 a pair shares no band with probability (1 - 0.8^5)^32 = 3e-6.
 BANDS, BAND_ROWS = 32, 5
-BATCHES, BATCH_BITS = 4, 64
+# Signature bits are kept in longs; a test follows after so many of them.
+LONGS, TESTS = 16, (1, 2, 4, 8, 16)
+# Bits that each element of a set flips one of, also kept in longs.
+PARITIES = 16
 MISS = 1e-5
-_HASHES = BATCHES * BATCH_BITS
+_HASHES = 64 * LONGS
 _FACTORS = np.random.default_rng(20011).integers(0, 1 << 32, _HASHES, np.uint32) | np.uint32(1)
 
+SIGNS = [*(f"s{k}" for k in range(LONGS)), *(f"p{k}" for k in range(PARITIES))]
 _ROWS = "doc_id long, n_shingles long, set_hash long, bands array<long>, " + ", ".join(
-    f"s{k} long" for k in range(BATCHES)
+    f"{name} long" for name in SIGNS
 )
 
 
 def _minima(shingles: np.ndarray) -> np.ndarray:
-    short = (shingles >> np.uint64(32)).astype(np.uint32)
-    least = np.full(_HASHES, 0xFFFFFFFF, np.uint32)
-    for first in range(0, len(short), 512):
-        least = np.minimum(least, (short[first : first + 512, None] * _FACTORS).min(axis=0))
-    return least
+    """Minima of the shingles' hashes under many orders; each half of a hash serves half of them."""
+    least = np.full((2, _HASHES // 2), 0xFFFFFFFF, np.uint32)
+    factors = _FACTORS.reshape(2, -1)
+    for half, part in enumerate((shingles >> np.uint64(32), shingles)):
+        short = part.astype(np.uint32)
+        for first in range(0, len(short), 128):
+            own = (short[first : first + 128, None] * factors[half]).min(axis=0)
+            np.minimum(least[half], own, out=least[half])
+    return least.ravel()
 
 
 def _signatures(words: int):
@@ -54,7 +65,8 @@ def _signatures(words: int):
                 column = least[:, k : BANDS * BAND_ROWS : BAND_ROWS].astype(np.uint64)
                 keys = common.chain(keys, column)
             bits = (least * np.uint32(0x9E3779B1)) >> np.uint32(31)
-            packed = np.packbits(bits.astype(bool), axis=1).view(np.int64)
+            flips = np.stack([np.bincount(s % np.uint64(64 * PARITIES), minlength=64 * PARITIES) for s in sets])
+            packed = np.packbits(np.hstack((bits, flips & 1)).astype(bool), axis=1).view(np.int64)
             flat = pa.array(np.ascontiguousarray(keys).view(np.int64).ravel())
             bands = pa.ListArray.from_arrays(
                 pa.array(np.arange(len(sets) + 1, dtype=np.int32) * BANDS), flat
@@ -66,9 +78,9 @@ def _signatures(words: int):
                     pa.array([len(s) for s in sets], pa.int64()),
                     pa.array(np.array(marks, np.uint64).view(np.int64)),
                     bands,
-                    *[pa.array(np.ascontiguousarray(packed[:, k])) for k in range(BATCHES)],
+                    *[pa.array(np.ascontiguousarray(packed[:, k])) for k in range(len(SIGNS))],
                 ],
-                ["doc_id", "n_shingles", "set_hash", "bands", *[f"s{k}" for k in range(BATCHES)]],
+                ["doc_id", "n_shingles", "set_hash", "bands", *SIGNS],
             )
 
     return run
@@ -89,14 +101,28 @@ def least_agreement(bits: int, threshold: float, miss: float) -> int:
     return bits
 
 
-def may_be_similar(threshold: float, miss: float, left: str = "x", right: str = "y") -> Column:
-    """The sequential test: batch by batch, and later batches only for pairs that remain."""
-    agree, tests = F.lit(0), []
-    for k in range(BATCHES):
-        unequal = F.bit_count(F.col(f"{left}.s{k}").bitwiseXOR(F.col(f"{right}.s{k}")))
-        agree = agree + F.lit(BATCH_BITS) - unequal
-        tests.append(agree >= least_agreement(BATCH_BITS * (k + 1), threshold, miss))
-    return reduce(lambda a, b: a & b, tests)
+def _unequal_bits(name: str, n: int, left: str, right: str) -> list[Column]:
+    return [
+        F.bit_count(F.col(f"{left}.{name}{k}").bitwiseXOR(F.col(f"{right}.{name}{k}"))) for k in range(n)
+    ]
+
+
+def may_be_similar(percent: int, miss: float, left: str = "x", right: str = "y") -> Column:
+    """Whether a pair stays: by size and parity, which never err, and by the sequential test.
+
+    Each test of the sequence compares one more batch, and later ones run only for pairs that remain.
+    """
+    unequal = _unequal_bits("s", LONGS, left, right)
+    tests = [
+        reduce(lambda a, b: a + b, unequal[:n]) <= 64 * n - least_agreement(64 * n, percent / 100, miss)
+        for n in TESTS
+    ]
+    one, two = F.col(f"{left}.n_shingles"), F.col(f"{right}.n_shingles")
+    sizes = 100 * F.least(one, two) >= percent * F.greatest(one, two)
+    # Sets of that similarity differ in (1 - s) / (1 + s) of their sizes' sum at most.
+    apart = reduce(lambda a, b: a + b, _unequal_bits("p", PARITIES, left, right))
+    parity = (100 + percent) * apart <= (100 - percent) * (one + two)
+    return reduce(lambda a, b: a & b, [sizes, *tests, parity])
 
 
 def _sets(words: int):
@@ -127,7 +153,8 @@ def _confirm(percent: int):
 def _confirmed(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
     """Pairs whose full shingle sets reach the threshold."""
     pairs = cut_lineage(pairs)
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    ends = [pairs.select(F.col(end).alias("doc_id")).distinct() for end in ("a", "b")]
+    needed = ends[0].union(ends[1]).distinct()
     needed, _ = checked_broadcast(needed)
     sets = docs.join(needed, "doc_id", "left_semi").mapInArrow(_sets(words), "node long, shingles binary")
     sets = written(sets, "near-duplicate-sets")
@@ -164,19 +191,17 @@ def near_duplicates(
         usable.join(firsts, ["set_hash", "doc_id"]).withColumnRenamed("doc_id", "node").drop("set_hash"),
         "node-signatures",
     )
-    signs = [f"s{k}" for k in range(BATCHES)]
+    signs = ["n_shingles", *SIGNS]
     members = nodes_signed.select("node", F.explode("bands").alias("bucket"))
-    # The hub is the least node after flipping bits by the bucket's key: another one in each bucket.
-    hub = F.min(F.col("node").bitwiseXOR(F.col("bucket"))).alias("hub")
+    # One hub for all buckets of a group, so that a group gives few different pairs.
+    hub = F.min("node").alias("hub")
     buckets = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), hub).where("n > 1")
-    shared = cut_lineage(
-        members.join(buckets, "bucket").withColumn("hub", F.col("hub").bitwiseXOR(F.col("bucket")))
-    )
+    shared = cut_lineage(members.join(buckets, "bucket"))
 
     def signed(pairs: DataFrame) -> DataFrame:
         x, y = nodes_signed.select("node", *signs).alias("x"), nodes_signed.select("node", *signs).alias("y")
         met = pairs.join(x, F.col("a") == F.col("x.node")).join(y, F.col("b") == F.col("y.node"))
-        return met.where(may_be_similar(percent / 100, miss)).select("a", "b")
+        return met.where(may_be_similar(percent, miss)).select("a", "b")
 
     stars = shared.where("node <> hub").select(
         F.greatest("node", "hub").alias("a"), F.least("node", "hub").alias("b")
@@ -196,8 +221,9 @@ def near_duplicates(
     )
     open_rows = (
         labelled.join(main.where("parts > 1"), "bucket")
-        .join(nodes_signed.select("node", *signs), "node")
-        .select("bucket", "node", "part", (F.col("part") == F.col("main")).alias("in_main"), *signs)
+        .join(nodes_signed.select("node", "bands", *signs), "node")
+        .withColumn("in_main", F.col("part") == F.col("main"))
+        .select("bucket", "node", "part", "in_main", "bands", *signs)
     )
     open_rows = cut_lineage(open_rows)
     across = open_rows.where("not in_main").alias("x").join(
@@ -205,7 +231,9 @@ def near_duplicates(
         (F.col("x.bucket") == F.col("y.bucket"))
         & (F.col("x.part") != F.col("y.part"))
         & (F.col("y.in_main") | (F.col("x.node") > F.col("y.node")))
-        & may_be_similar(percent / 100, miss),
+        & may_be_similar(percent, miss)
+        # A pair may share many buckets; it is emitted in the first of them only.
+        & (F.array_intersect("x.bands", "y.bands")[0] == F.col("x.bucket")),
     )
     pairs = across.select(
         F.greatest("x.node", "y.node").alias("a"), F.least("x.node", "y.node").alias("b")

@@ -50,7 +50,7 @@ def test_components_of_a_chain_a_star_and_loops(spark):
 
 def test_pairs_that_go_early_are_rarely_similar():
     assert near_dups.least_agreement(64, 0.8, 1e-5) < near_dups.least_agreement(64, 0.8, 1e-2)
-    for bits in (64, 512, 2048):
+    for bits in (64, 512, 1024):
         agree = near_dups.least_agreement(bits, 0.8, 1e-5)
         # A pair of similarity 0.8 agrees in a bit with probability 0.9; one of 0.3 with 0.65.
         assert agree < 0.9 * bits and (bits < 512 or agree > 0.65 * bits)
