@@ -117,11 +117,13 @@ def _(spark, sf):
     "labels_known_by_year_a26",
     views=LABEL_VIEWS,
     sql=f"""WITH {LINK_SQL},
-      y AS (SELECT CAST(unnest(range({YEARS[0]}, (SELECT max(year(source_record_first)) FROM linked) + 1)) AS INTEGER) AS year)
+      y AS (SELECT CAST(unnest(range({YEARS[0]}, (SELECT max(year(record_time)) FROM r) + 1)) AS INTEGER) AS year)
       SELECT year, (SELECT count(*) FROM linked WHERE source_record_first <= make_date(year, 12, 31)) AS labels_known FROM y""",
 )
 def _(spark, sf):
-    return maturity_ops.known_by_year_end(linked_positives(spark, sf), YEARS[0])
+    records = maturity_ops.key_source_records(v.period_source(spark, sf))
+    newest = maturity_ops.source_metadata(records)
+    return maturity_ops.known_by_year_end(linked_positives(spark, sf), newest, YEARS[0])
 
 
 @query(

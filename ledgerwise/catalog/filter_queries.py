@@ -352,11 +352,12 @@ def _(spark, sf):
 @query(
     "fill_missing_f24",
     views="lexicon_source density_rows",
-    sql="""SELECT seq, coalesce(negative_density, 0.0) AS negative_density,
-           coalesce(positive_density, 0.0) AS positive_density FROM density_rows""",
+    sql="SELECT seq, {} FROM density_rows".format(
+        ", ".join(f"coalesce({n}, 0.0) AS {n}" for n in fv.LEXICON_DENSITIES)
+    ),
 )
 def _(spark, sf):
-    names = ["negative_density", "positive_density"]
+    names = list(fv.LEXICON_DENSITIES)
     return contracts.fill_missing(v.density_rows(spark, sf).select("seq", *names), names)
 
 
@@ -365,13 +366,16 @@ def _(spark, sf):
     views="lexicon_source density_rows",
     sql="""SELECT count(*) AS rows, count(*) FILTER (fraudulent IS NULL) AS null_labels,
            count(DISTINCT fraudulent) = 2 AND min(fraudulent) = 0 AND max(fraudulent) = 1 AS labels_are_binary,
-           concat_ws(',', CASE WHEN count(negative_density) = 0 THEN 'negative_density' END) AS empty_features,
-           count(*) - count(DISTINCT (fraudulent, coalesce(negative_density, -1))) AS duplicate_rows
-           FROM density_rows""",
+           concat_ws(',', {}) AS empty_features,
+           count(*) - count(DISTINCT (fraudulent, {})) AS duplicate_rows
+           FROM density_rows""".format(
+        ", ".join(f"CASE WHEN count({n}) = 0 THEN '{n}' END" for n in fv.LEXICON_DENSITIES),
+        ", ".join(f"coalesce({n}, -1)" for n in fv.LEXICON_DENSITIES),
+    ),
 )
 def _(spark, sf):
-    rows = v.density_rows(spark, sf).select("fraudulent", "negative_density")
-    return contracts.target_report(rows, ["negative_density"], "fraudulent")
+    rows = v.density_rows(spark, sf).select("fraudulent", *fv.LEXICON_DENSITIES)
+    return contracts.target_report(rows, list(fv.LEXICON_DENSITIES), "fraudulent")
 
 
 @query(

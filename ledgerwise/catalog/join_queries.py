@@ -17,7 +17,7 @@ from ledgerwise.operators import (
     selection,
     validation,
 )
-from ledgerwise.scale import cut_lineage
+from ledgerwise.scale import calendar_year, cut_lineage
 
 C = F.col
 LABEL_VIEWS = "filings typed_filings period_source typed_periods clean_periods matches labeled"
@@ -240,7 +240,8 @@ def _(spark, sf):
     from ledgerwise.operators.metrics import combine_predictions
 
     rows = v.predictions(spark, sf).select("test_year", "row_id", "true_label", "predicted_probability")
-    return combine_predictions([rows.where(C("test_year") == y) for y in range(1995, 2002)])
+    years = rows.select(calendar_year(C("test_year")).alias("year")).distinct().orderBy("year")
+    return combine_predictions([rows.where(C("test_year") == r.year) for r in years.collect()])
 
 
 @query(

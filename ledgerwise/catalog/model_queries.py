@@ -92,8 +92,15 @@ def _(spark, sf):
 @query(
     "stratified_folds_l9",
     views="predictions",
-    sql="""SELECT row_id, true_label, CAST((row_number() OVER (PARTITION BY true_label ORDER BY row_id) - 1) % 5 AS INTEGER) AS fold
-           FROM predictions""",
+    # Classes lie end to end; fold i gets as many rows of a class as places of it leave remainder i.
+    sql="""WITH c AS (SELECT true_label, count(*) AS n, min(row_id) AS first FROM predictions GROUP BY true_label),
+           o AS (SELECT *, coalesce(sum(n) OVER (ORDER BY first ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM c),
+           f AS (SELECT true_label, i, floor((before + n - 1 - i) / 5.0) - floor((before - 1 - i) / 5.0) AS run
+                 FROM o CROSS JOIN (SELECT unnest(range(5)) AS i)),
+           e AS (SELECT true_label, i, sum(run) OVER (PARTITION BY true_label ORDER BY i) AS upto FROM f),
+           r AS (SELECT row_id, true_label, row_number() OVER (PARTITION BY true_label ORDER BY row_id) AS k FROM predictions)
+           SELECT row_id, true_label, CAST(count(*) FILTER (k > upto) AS INTEGER) AS fold
+           FROM r JOIN e USING (true_label) GROUP BY row_id, true_label""",
 )
 def _(spark, sf):
     rows = v.predictions(spark, sf).select("row_id", "true_label")

@@ -278,8 +278,8 @@ def _(spark, sf):
 @query(
     "integer_or_zero_n1",
     views="period_source",
-    sql="""SELECT seq, CAST(coalesce(try_cast(nullif(certainty_start, '') AS DOUBLE), 0) AS INTEGER) AS start_certainty,
-           CAST(coalesce(try_cast(certainty_end AS DOUBLE), 0) AS INTEGER) AS end_certainty FROM period_source""",
+    sql="""SELECT seq, CAST(coalesce(try_cast(nullif(certainty_start, '') AS DOUBLE), 0) AS BIGINT) AS start_certainty,
+           CAST(coalesce(try_cast(certainty_end AS DOUBLE), 0) AS BIGINT) AS end_certainty FROM period_source""",
 )
 def _(spark, sf):
     return v.period_source(spark, sf).select(

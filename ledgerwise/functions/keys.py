@@ -79,17 +79,16 @@ def schema_hash(columns: tuple[str, ...]) -> Column:
 def content_fingerprint(df: DataFrame) -> DataFrame:
     """One row (rows, fingerprint) that ignores row order but counts copies.
 
-    Row hashes are summed as decimals, so partial sums combine in any order.
+    A row is written as JSON with its NULLs and hashed with SHA-256. The four quarters of the row
+    hashes are summed as decimals, so partial sums combine in any order.
     """
-    row_hash = F.xxhash64(*[F.col(f"`{name}`") for name in df.columns])
-    wide = F.coalesce(F.sum(row_hash.cast("decimal(20,0)")), F.lit(0).cast("decimal(30,0)"))
-    return df.agg(
-        F.count(F.lit(1)).alias("rows"),
-        F.sha2(
-            F.concat_ws(
-                ":", F.lit(",".join(df.columns)), F.count(F.lit(1)).cast("string"),
-                wide.cast("string"),
-            ),
-            256,
-        ).alias("fingerprint"),
-    )
+    row = F.to_json(F.struct(*[F.col(f"`{name}`") for name in df.columns]), {"ignoreNullFields": "false"})
+    digest = F.sha2(row, 256)
+
+    def total(quarter: int) -> Column:
+        number = F.conv(F.substring(digest, 16 * quarter + 1, 16), 16, 10).cast("decimal(20,0)")
+        return F.coalesce(F.sum(number).cast("string"), F.lit("0"))
+
+    rows = F.count(F.lit(1))
+    whole = F.concat_ws(":", F.lit(",".join(df.columns)), rows.cast("string"), *[total(k) for k in range(4)])
+    return df.agg(rows.alias("rows"), F.sha2(whole, 256).alias("fingerprint"))

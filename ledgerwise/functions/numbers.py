@@ -16,8 +16,8 @@ def nan_to_null(value: Column) -> Column:
 
 
 def integer_or_zero(value: Column) -> Column:
-    """Text or number as an integer; anything unreadable becomes 0."""
-    return F.coalesce(nan_to_null(value.try_cast("double")), F.lit(0.0)).cast("int")
+    """Text or number as a 64-bit integer; anything unreadable or too large becomes 0."""
+    return F.coalesce(nan_to_null(value.try_cast("double")).try_cast("bigint"), F.lit(0).cast("bigint"))
 
 
 def safe_ratio(numerator: Column, denominator: Column) -> Column:
@@ -82,7 +82,7 @@ def _beta_fraction(a: float, b: float, x: float) -> float:
     c, d = 1.0, 1.0 - (a + b) * x / (a + 1.0)
     d = 1.0 / (d if abs(d) > tiny else tiny)
     value = d
-    for m in range(1, 1000):
+    for m in range(1, 10_000):
         for step in (
             m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)),
             -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1)),
@@ -93,8 +93,8 @@ def _beta_fraction(a: float, b: float, x: float) -> float:
             c = c if abs(c) > tiny else tiny
             value *= c * d
         if abs(c * d - 1.0) < 1e-15:
-            break
-    return value
+            return value
+    raise ArithmeticError(f"incomplete beta function does not converge at {a}, {b}, {x}")
 
 
 def _incomplete_beta(a: float, b: float, x: float) -> float:
@@ -110,10 +110,27 @@ def _incomplete_beta(a: float, b: float, x: float) -> float:
     return 1.0 - front * _beta_fraction(b, a, 1.0 - x) / b
 
 
+# From here on the normal tail with two correction terms is exact to some 1e-12.
+LARGE_DF = 1e4
+
+
+def _nearly_normal_tail(t: float, df: float) -> float:
+    """Two-sided tail for many degrees of freedom, expanded around the normal one.
+
+    Differences of log-gamma values of the size of `df` would cancel there.
+    """
+    density = math.exp(-t * t / 2) / math.sqrt(2 * math.pi)
+    first = t * (t**2 + 1) / (4 * df)
+    second = t * (3 * t**6 - 7 * t**4 - 5 * t**2 - 3) / (96 * df**2)
+    return min(1.0, max(0.0, math.erfc(t / math.sqrt(2)) + 2 * density * (first + second)))
+
+
 def two_sided_t(t: float, df: float) -> float:
     """P(|T| >= |t|) for Student's t with df degrees of freedom."""
     if not (math.isfinite(t) and math.isfinite(df)) or df <= 0:
         return 0.0 if math.isinf(t) else math.nan
+    if df > LARGE_DF:
+        return _nearly_normal_tail(abs(t), df)
     return _incomplete_beta(df / 2.0, 0.5, df / (df + t * t))
 
 

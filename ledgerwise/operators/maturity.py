@@ -144,25 +144,27 @@ def delay_statistics(positives: DataFrame, fixed_date: str) -> DataFrame:
     )
 
 
-def known_by_year_end(positives: DataFrame, first_year: int) -> DataFrame:
-    """Labels known by the end of each year, up to the year of the last record.
+def known_by_year_end(positives: DataFrame, reference: DataFrame, first_year: int) -> DataFrame:
+    """Labels known by the end of each year, up to the year of the newest source record.
 
-    Records are counted per year they first appear in; a running sum over those years
-    does the rest. A record on 31 December after midnight counts for the next year end.
+    `reference` is one row with the newest record time in `timestamp_max`; if that lies before
+    `first_year`, there are no rows. Records are counted per year they first appear in; a running
+    sum over those years does the rest. A record on 31 December after midnight counts for the next
+    year end.
     """
     year_of = F.year("source_record_first")
     late = F.col("source_record_first") > dates.year_end(year_of)
     counted = positives.groupBy(
         calendar_year((year_of + late.cast("int"))).alias("known_year")
-    ).agg(F.count(F.lit(1)).alias("n"), F.max(year_of).alias("_last"))
-    last_year = counted.agg(F.max("_last")).scalar()
-    spine = counted.agg(F.max("_last").alias("_last")).select(
-        F.explode(F.sequence(F.lit(first_year), F.col("_last"))).alias("year")
+    ).agg(F.count(F.lit(1)).alias("n"))
+    last = calendar_year(F.year("timestamp_max"))
+    spine = reference.where(last >= first_year).select(
+        F.explode(F.sequence(F.lit(first_year), last)).alias("year")
     )
     # Years known before the spine starts still count: they fold into its first year.
-    folded = counted.where(F.col("known_year") <= last_year).groupBy(
-        F.greatest("known_year", F.lit(first_year)).alias("year")
-    ).agg(F.sum("n").alias("n"))
+    folded = counted.groupBy(F.greatest("known_year", F.lit(first_year)).alias("year")).agg(
+        F.sum("n").alias("n")
+    )
     upto = Window.orderBy("year").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return spine.join(F.broadcast(folded), "year", "left").select(
         "year", F.coalesce(F.sum("n").over(upto), F.lit(0)).alias("labels_known")

@@ -10,6 +10,7 @@ from __future__ import annotations
 import random
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 from multiprocessing.pool import ThreadPool
 
 from pyspark import inheritable_thread_target
@@ -231,11 +232,28 @@ def _calibrated(df: DataFrame) -> DataFrame:
 
 
 def stratified_folds(df: DataFrame, k: int, label: str = LABEL, row_id: str = ROW) -> DataFrame:
-    """Add `fold`: rows of each class dealt out in row order, k at a time."""
+    """Add `fold`: in row order, each class is cut into k runs of nearly equal length.
+
+    Classes are laid end to end, the class of the first row first, and places are dealt to folds in
+    turn; how many places a class gets in a fold is how long its run in that fold is.
+    """
     numbered = running_totals(
         cut_lineage(df.withColumn("_one", F.lit(1))), [label], row_id, {"_rank": "_one"}
     )
-    return numbered.withColumn("fold", ((F.col("_rank") - 1) % k).cast("int")).drop("_one", "_rank")
+    # One row for each of the classes of a classifier.
+    classes = df.groupBy(label).agg(F.count(F.lit(1)).alias("n"), F.min(row_id).alias("first"))
+    fold, offset = F.lit(None).cast("int"), 0
+    for row in classes.orderBy("first").collect():
+        places = [offset + i for i in range(k)]
+        runs = [0] * k
+        for at in places:
+            runs[at % k] = len(range(at, offset + row.n, k))
+        ends = [sum(runs[: i + 1]) for i in range(k)]
+        passed = [(F.col("_rank") > end).cast("int") for end in ends[:-1]]
+        own = reduce(lambda a, b: a + b, passed, F.lit(0))
+        fold = F.when(F.col(label) == row[label], own).otherwise(fold)
+        offset += row.n
+    return numbered.withColumn("fold", fold).drop("_one", "_rank")
 
 
 def _cross_validated(estimator: Estimator, train: DataFrame, method: str, cv: int) -> Scorer:

@@ -51,7 +51,7 @@ def maturity_audit(
         yearly=maturity.yearly_delays(window, linked, first_year, last_year),
         delays=maturity.delay_statistics(linked, fixed_date),
         cutoffs=maturity.maturity_cutoffs(linked, metadata, first_year, last_year),
-        known=maturity.known_by_year_end(linked, first_year),
+        known=maturity.known_by_year_end(linked, metadata, first_year),
         coverage=maturity.linked_period_count(linked),
     )
 

@@ -153,3 +153,25 @@ def test_student_t_tail(t, df, p):
 def test_integer_or_zero(one):
     for value, expected in (("3", 3), ("2.9", 2), ("", 0), (None, 0), ("n/a", 0), ("NaN", 0)):
         assert one(numbers.integer_or_zero(C("s")), s=value) == expected
+
+
+def test_student_t_tail_of_many_degrees_of_freedom():
+    """At t = 2 the tail falls towards the normal one, 0.0455002638963584, from above."""
+    for df in (2e4, 1e6, 1e9, 1e11, 1e12):
+        p = numbers.two_sided_t(2.0, df)
+        assert p == pytest.approx(0.0455002638963584 + 2 * 0.05399096651318806 * 10 / (4 * df), abs=1e-9)
+    # Both ways to compute it agree where one takes over from the other.
+    assert numbers.two_sided_t(2.5, 9_999) == pytest.approx(numbers.two_sided_t(2.5, 10_001), rel=1e-5)
+    assert numbers._nearly_normal_tail(3.0, 9_999) == pytest.approx(numbers.two_sided_t(3.0, 9_999), rel=1e-8)
+
+
+def test_integers_keep_64_bits(one):
+    assert one(numbers.integer_or_zero(C("s")), s="3000000000") == 3_000_000_000
+    assert one(numbers.integer_or_zero(C("s")), s="1e300") == 0
+
+
+def test_fingerprint_tells_where_a_null_stands(spark):
+    def mark(row):
+        return keys.content_fingerprint(spark.createDataFrame([row], "a string, b string")).first()
+
+    assert mark(("x", None)) != mark((None, "x"))

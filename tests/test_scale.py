@@ -102,3 +102,21 @@ def test_spread_leaves_large_inputs_alone(spark):
     df = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     assert "Repartition" not in scale.spread(df, "doc_id", 0)._jdf.queryExecution().toString()
     assert "Repartition" in scale.spread(df, "doc_id")._jdf.queryExecution().toString()
+
+
+def test_running_totals_by_text(spark):
+    import hashlib
+
+    names = [hashlib.sha256(str(k).encode()).hexdigest() for k in range(500)] + ["", "a", "ab"]
+    df = spark.createDataFrame([(k % 2, n, 1) for k, n in enumerate(names)], "g int, name string, n int")
+    got = {(r.g, r.name): r.upto for r in scale.running_totals(df, ["g"], "name", {"upto": "n"}).collect()}
+    for g in (0, 1):
+        for rank, name in enumerate(sorted(n for k, n in enumerate(names) if k % 2 == g), 1):
+            assert got[g, name] == rank
+
+
+def test_null_keys_are_spread_and_kept(spark):
+    left = spark.createDataFrame([(None if k % 3 else "k", k) for k in range(300)], "key string, id int")
+    right = spark.createDataFrame([("k", 1), ("other", 2)], "key string, v int")
+    joined = scale.join_unique(left, right, False, ["key"], "id")
+    assert joined.count() == 300 and joined.where("v = 1").count() == 100

@@ -250,3 +250,38 @@ def test_contract_gate(spark, table):
     models.require_same_contract(expected, models.artifact_contract(table, ["a", "b"], "x"))
     with pytest.raises(RuntimeError, match="development_data, feature_schema"):
         models.require_same_contract(expected, models.artifact_contract(table.where("label = 1"), ["b", "a"], "x"))
+
+
+def test_stratified_folds_are_runs_in_row_order(spark):
+    """Counts and order of unshuffled stratified folds, for classes of uneven sizes."""
+    labels = [1.0, 0.0, 0.0, 1.0, 0.0, 0.0, 0.0, 1.0, 1.0, 0.0, 0.0, 0.0]
+    df = spark.createDataFrame(list(enumerate(labels)), "row_id long, label double")
+    got = [r.fold for r in models.stratified_folds(df, 3).orderBy("row_id").collect()]
+    # Class 1 comes first, with 4 rows at places 0 to 3: folds get 2, 1 and 1 of them. Class 0 has
+    # places 4 to 11: folds get 2, 3 and 3.
+    assert [f for f, y in zip(got, labels) if y == 1.0] == [0, 0, 1, 2]
+    assert [f for f, y in zip(got, labels) if y == 0.0] == [0, 0, 1, 1, 1, 2, 2, 2]
+
+
+def test_labels_known_by_year_end_run_to_the_newest_record(spark):
+    from datetime import datetime
+
+    from ledgerwise.operators import maturity
+
+    first = [(datetime(1995, 5, 1),), (datetime(1998, 12, 31),), (datetime(1998, 12, 31, 8),)]
+    positives = spark.createDataFrame(first, "source_record_first timestamp")
+
+    def known(newest):
+        reference = spark.createDataFrame([(newest,)], "timestamp_max timestamp")
+        return [tuple(r) for r in maturity.known_by_year_end(positives, reference, 1997).orderBy("year").collect()]
+
+    assert known(datetime(2000, 2, 1)) == [(1997, 1), (1998, 2), (1999, 3), (2000, 3)]
+    assert known(datetime(1996, 2, 1)) == []
+
+
+def test_string_row_ids_in_the_review_queue(spark):
+    from ledgerwise.operators import metrics
+
+    rows = [(2000, f"id{k:03d}", int(k % 5 == 0), (k * 37 % 100) / 100) for k in range(100)]
+    df = spark.createDataFrame(rows, "test_year int, row_id string, true_label int, predicted_probability double")
+    assert metrics.review_metrics(df).count() == 1
