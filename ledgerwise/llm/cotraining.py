@@ -26,6 +26,8 @@ ROUNDS, SURE = 3, 0.95
 # A feature has to occur in so many documents of the sample, and at most so many features count.
 LEAST_DOCUMENTS, MOST_FEATURES = 3, 50_000
 CALIBRATION_SHARE = 5
+# Rows of the sample that are worked on at a time, which bounds the driver's memory.
+PART = 500
 # Steps of the first fit of a view, and of later ones, which start where the last one ended.
 STEPS, MORE_STEPS = 150, 50
 # Beginnings of words, in bytes, that count like words.
@@ -71,7 +73,12 @@ def text_features(texts: list[bytes]) -> list[np.ndarray]:
         repeats.append(f"again={_level(again)}")
         begun = [s[at[k] : at[k + 1]] for s in starts]
         out.append(np.concatenate((own, *begun, marks[mark_at[k] : mark_at[k + 1]])))
-    return [np.unique(np.append(f, tag)) for f, tag in zip(out, _tag(repeats))] if texts else []
+    return [_distinct(np.append(f, tag)) for f, tag in zip(out, _tag(repeats))] if texts else []
+
+
+def _distinct(hashes: np.ndarray) -> np.ndarray:
+    """Distinct features in 32 bits, which a sample of bounded size fills thinly."""
+    return np.unique((hashes >> np.uint64(32)).astype(np.uint32))
 
 
 def page_features(texts: list[bytes], sources: list, langs: list) -> list[np.ndarray]:
@@ -93,7 +100,7 @@ def page_features(texts: list[bytes], sources: list, langs: list) -> list[np.nda
         counts.append(len(own))
     tags, out, at = _tag(names), [], 0
     for n in counts:
-        out.append(np.unique(tags[at : at + n]))
+        out.append(_distinct(tags[at : at + n]))
         at += n
     return out
 
@@ -112,7 +119,7 @@ class View:
         if not len(self.hashes):
             return np.full(len(rows), self.constant)
         counts = np.fromiter(map(len, rows), np.int64, len(rows))
-        flat = np.concatenate(rows) if rows else np.empty(0, np.uint64)
+        flat = np.concatenate(rows) if rows else np.empty(0, np.uint32)
         places = np.minimum(np.searchsorted(self.hashes, flat), len(self.hashes) - 1)
         worth = np.where(self.hashes[places] == flat, self.weights[places], 0.0)
         return self.constant + np.bincount(np.repeat(np.arange(len(rows)), counts), worth, len(rows))
@@ -130,37 +137,47 @@ class ViewRows:
     """The sample's rows in one view, on the features that enough of them hold, and a model of them."""
 
     def __init__(self, rows: list[np.ndarray]):
-        counts = np.fromiter(map(len, rows), np.int64, len(rows))
-        hashes, column, n = np.unique(np.concatenate(rows), return_inverse=True, return_counts=True)
+        hashes, n = np.unique(np.concatenate(rows), return_counts=True)
         often = np.flatnonzero(n >= LEAST_DOCUMENTS)
         if len(often) > MOST_FEATURES:
             often = np.sort(often[np.argsort(-n[often], kind="stable")[:MOST_FEATURES]])
-        number = np.full(len(hashes), -1, np.int32)
-        number[often] = np.arange(len(often), dtype=np.int32)
-        column, row = number[column], np.repeat(np.arange(len(rows), dtype=np.int32), counts)
-        self.row, self.column, self.n = row[column >= 0], column[column >= 0], len(rows)
-        self.hashes, self.weights, self.constant = hashes[often], np.zeros(len(often)), 0.0
+        self.hashes, self.n = hashes[often], len(rows)
+        self.weights, self.constant = np.zeros(len(often)), 0.0
+        # Row within the part and feature of every entry, part by part.
+        self.parts: list[tuple[np.ndarray, np.ndarray]] = []
+        for first in range(0, len(rows), PART):
+            part = rows[first : first + PART]
+            counts = np.fromiter(map(len, part), np.int64, len(part))
+            flat, row = np.concatenate(part), np.repeat(np.arange(len(part), dtype=np.int32), counts)
+            column = np.searchsorted(self.hashes, flat).astype(np.int32)
+            own = column < len(self.hashes)
+            own[own] = self.hashes[column[own]] == flat[own]
+            self.parts.append((row[own], column[own]))
 
     def margins(self) -> np.ndarray:
-        return self.constant + np.bincount(self.row, self.weights[self.column], self.n)
+        sums = [np.bincount(row, self.weights[column], PART) for row, column in self.parts]
+        return self.constant + np.concatenate(sums)[: self.n]
 
     def fit(self, which: np.ndarray, labels: np.ndarray, steps: int, rate: float, penalty: float = 0.3) -> None:
         """L2-penalised logistic regression by Adam on some of the rows, from the last weights on.
 
         The step width falls to zero along a straight line.
         """
-        chosen, y = np.zeros(self.n, bool), np.zeros(self.n)
+        size = len(self.parts) * PART
+        chosen, y = np.zeros(size, bool), np.zeros(size)
         chosen[which], y[which] = True, labels
-        own = chosen[self.row]
-        row, column = self.row[own], self.column[own]
         mean, spread = np.zeros(len(self.weights) + 1), np.zeros(len(self.weights) + 1)
         for step in range(1, steps + 1):
-            margins = self.constant + np.bincount(row, self.weights[column], self.n)
-            error = np.where(chosen, _sigmoid(margins) - y, 0.0)
-            slope = np.bincount(column, error[row], len(self.weights)) + penalty * self.weights
-            slope = np.append(slope, error.sum())
+            slope = np.append(penalty * self.weights, 0.0)
+            for k, (row, column) in enumerate(self.parts):
+                own = slice(k * PART, (k + 1) * PART)
+                margins = self.constant + np.bincount(row, self.weights[column], PART)
+                error = np.where(chosen[own], _sigmoid(margins) - y[own], 0.0)
+                slope[:-1] += np.bincount(column, error[row], len(self.weights))
+                slope[-1] += error.sum()
             mean, spread = 0.9 * mean + 0.1 * slope, 0.999 * spread + 0.001 * slope**2
-            move = rate * (1 - (step - 1) / steps) * (mean / (1 - 0.9**step)) / (np.sqrt(spread / (1 - 0.999**step)) + 1e-8)
+            pace = rate * (1 - (step - 1) / steps)
+            move = pace * (mean / (1 - 0.9**step)) / (np.sqrt(spread / (1 - 0.999**step)) + 1e-8)
             self.weights, self.constant = self.weights - move[:-1], self.constant - move[-1]
 
 
@@ -209,7 +226,7 @@ def co_train(
     known = np.flatnonzero(labels >= 0)
     held, used = known[::CALIBRATION_SHARE], np.setdiff1d(known, known[::CALIBRATION_SHARE])
     pool = np.flatnonzero(labels < 0)
-    none = np.empty(0, np.uint64)
+    none = np.empty(0, np.uint32)
     if len(set(labels[used].tolist())) < 2 or len(set(labels[held].tolist())) < 2:
         share = float(labels[known].mean()) if len(known) else 1.0
         odds = float(np.log(max(share, 1e-9) / max(1 - share, 1e-9)))
@@ -296,8 +313,8 @@ def learn_quality(
     # At most sample + pool rows of two numbers are broadcast.
     rows = _narrow(docs).join(F.broadcast(chosen), "doc_id").mapInArrow(_feature_rows, _FEATURES)
     got = sorted(rows.collect(), key=lambda r: (hash_order(r.doc_id), r.text_features, r.page_features))
-    text = [np.frombuffer(r.text_features, np.uint64) for r in got]
-    page = [np.frombuffer(r.page_features, np.uint64) for r in got]
+    text = [np.frombuffer(r.text_features, np.uint32) for r in got]
+    page = [np.frombuffer(r.page_features, np.uint32) for r in got]
     return co_train(text, page, np.array([r.label for r in got], np.int64), rounds)
 
 
