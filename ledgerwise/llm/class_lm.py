@@ -28,7 +28,7 @@ from ledgerwise.scale import cut_lineage, written
 CLASSES = 64
 # Rounds of exchange, first with frequent words as neighbours, then with classes as neighbours.
 ROUNDS = (4, 2)
-BLOCK_TOKENS = 2 << 20
+BLOCK_TOKENS = 3 << 19
 # Each block proposes so many of its most frequent words as the first classes.
 PROPOSED = 512
 ADDED = 0.5
@@ -53,6 +53,14 @@ def _numbers(planes: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(4, -1).T).view("<u4").ravel()
 
 
+def _planes_of_long(numbers: np.ndarray) -> bytes:
+    return np.ascontiguousarray(numbers.astype("<i8").view(np.uint8).reshape(-1, 8).T).tobytes()
+
+
+def _longs(planes: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(8, -1).T).view("<i8").ravel()
+
+
 def _blocks(batches):
     ids, held, lengths, words, size = [], [], [], [], 0
 
@@ -108,9 +116,10 @@ class Block:
 
     @staticmethod
     def of(row: dict) -> Block:
-        vocabulary, tokens = np.frombuffer(row["vocabulary"], np.uint64), _numbers(row["tokens"]).astype(np.int64)
+        # A block's vocabulary times the places is far below 2^31.
+        vocabulary, tokens = np.frombuffer(row["vocabulary"], np.uint64), _numbers(row["tokens"]).view(np.int32)
         # Every text ends with END, so that is also what stands before its first word.
-        before = np.concatenate((np.flatnonzero(vocabulary == END), tokens[:-1]))
+        before = np.concatenate((np.flatnonzero(vocabulary == END).astype(np.int32), tokens[:-1]))
         trains = np.repeat(~np.array(row["held"], bool), row["lengths"])
         return Block(vocabulary, tokens, before, trains)
 
@@ -143,8 +152,8 @@ def _neighbours(block: Block, classes: np.ndarray, shards: int) -> pa.RecordBatc
     Place c stands for class c before the word, place CLASSES + c for class c after it.
     """
     now, last = block.tokens[block.trains], block.before[block.trains]
-    width = 2 * CLASSES
-    keys = np.concatenate((now * width + classes[last], last * width + CLASSES + classes[now]))
+    width, classes = np.int32(2 * CLASSES), classes.astype(np.int32)
+    keys = np.concatenate((now * width + classes[last], last * width + np.int32(CLASSES) + classes[now]))
     keys, numbers = np.unique(keys, return_counts=True)
     word, place = keys // width, (keys % width).astype(np.uint8)
     counts = np.bincount(now, minlength=len(block.vocabulary))
@@ -181,14 +190,16 @@ def _added_up(messages: pa.Table) -> pa.Table:
     totals = np.bincount(number, counts, len(words)).astype(np.int64)
     keys = np.repeat(number, sizes) * (2 * CLASSES) + joined("places", np.uint8)
     keys, entry = np.unique(keys, return_inverse=True)
-    numbers = np.bincount(entry, joined("numbers", np.uint32), len(keys)).astype(np.int64)
+    numbers = np.bincount(entry, joined("numbers", np.uint32), len(keys))
+    widths = np.bincount(keys // (2 * CLASSES), minlength=len(words))
     return pa.table(
         {
             "shard": pa.array([messages.column("shard")[0].as_py()], pa.int32()),
             "words": pa.array([words.tobytes()], pa.binary()),
             "counts": pa.array([totals.tobytes()], pa.binary()),
-            "keys": pa.array([keys.tobytes()], pa.binary()),
-            "numbers": pa.array([numbers.tobytes()], pa.binary()),
+            "sizes": pa.array([widths.astype(np.uint16).tobytes()], pa.binary()),
+            "places": pa.array([(keys % (2 * CLASSES)).astype(np.uint8).tobytes()], pa.binary()),
+            "numbers": pa.array([_planes_of_long(numbers)], pa.binary()),
             "starting": pa.array([None], pa.binary()),
         }
     )
@@ -206,13 +217,13 @@ class Shard:
 
     @staticmethod
     def of(row: dict) -> Shard:
-        keys = np.frombuffer(row["keys"], np.int64)
+        words, sizes = np.frombuffer(row["words"], np.uint64), np.frombuffer(row["sizes"], np.uint16)
         return Shard(
-            np.frombuffer(row["words"], np.uint64),
+            words,
             np.frombuffer(row["counts"], np.int64),
-            keys // (2 * CLASSES),
-            keys % (2 * CLASSES),
-            np.frombuffer(row["numbers"], np.int64).astype(float),
+            np.repeat(np.arange(len(words)), sizes),
+            np.frombuffer(row["places"], np.uint8).astype(np.int64),
+            _longs(row["numbers"]).astype(float),
         )
 
     def sums(self, classes: np.ndarray) -> np.ndarray:
@@ -411,7 +422,9 @@ def _restart(shard: pa.Table, before: pa.Table) -> pa.Table:
     )
 
 
-_SHARD = "shard int, words binary, counts binary, keys binary, numbers binary, starting binary"
+_SHARD = (
+    "shard int, words binary, counts binary, sizes binary, places binary, numbers binary, starting binary"
+)
 
 
 @dataclass(frozen=True)
@@ -441,7 +454,7 @@ def _coded(shards: int, model):
         own = model.value
         for row in _rows(batches):
             classes, counts = _vocabulary_answers(row, shards)
-            tokens = _numbers(row["tokens"]).astype(np.int64)
+            tokens = _numbers(row["tokens"])
             seen = counts > 0
             inside = np.where(seen, classes, 0)
             emitted = np.where(
