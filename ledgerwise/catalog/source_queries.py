@@ -230,9 +230,8 @@ def _(spark, sf):
     stream = incremental.file_stream(spark, sf, schema, "events.parquet").withColumn(
         "day", F.to_date("ts")
     )
-    return incremental.run_available(
-        incremental.first_seen(stream, ["user_id", "event_type", "day"]), "first-seen"
-    )
+    keys = ["user_id", "event_type", "day"]
+    return incremental.run_available(incremental.first_seen(stream, keys), "first-seen").select(*keys)
 
 
 @query("stream_clean_filter_t1")

@@ -129,7 +129,7 @@ def calibration_start_year(
     row counts of the year table.
     """
     if not 0 < holdout_fraction < 1:
-        raise ValueError("holdout_fraction must lie in (0, 1)")
+        raise ValueError("the share of years to calibrate on is not between 0 and 1")
     years = df.groupBy(calendar_year(F.col(year)).alias("year")).agg(
         F.count(F.lit(1)).alias("rows")
     )
@@ -160,7 +160,7 @@ def split_for_calibration(
     found = calibration_start_year(df, year, holdout_fraction).first()
     start = found.calibration_start_year
     if start is None or start <= found.first_year:
-        raise ValueError("chronological calibration split cannot be empty")
+        raise ValueError("too few training years to set some aside for calibration")
     return df.where(F.col(year) < start), df.where(F.col(year) >= start)
 
 

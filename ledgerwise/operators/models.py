@@ -7,6 +7,7 @@ the text work and lost executors do not restart it.
 
 from __future__ import annotations
 
+import math
 import random
 from collections.abc import Callable
 from dataclasses import dataclass
@@ -96,16 +97,16 @@ TREE_DEFAULTS = {
 }
 
 
+# Parameters that are shares of rows or columns; all others only have to be positive.
+SHARES = {"subsample", "colsample_bytree"}
+
+
 def validate_parameters(parameters: dict) -> dict:
-    """Positive sizes and rates, sampling shares in (0, 1]."""
-    for name in (
-        "learning_rate", "n_estimators", "max_depth", "min_child_weight", "scale_pos_weight"
-    ):
-        if parameters[name] <= 0:
-            raise ValueError(f"{name} must be greater than zero")
-    for name in ("subsample", "colsample_bytree"):
-        if not 0 < parameters[name] <= 1:
-            raise ValueError(f"{name} must lie in (0, 1]")
+    """Check every tree parameter against its range, and name all that lie outside."""
+    highest = {name: 1.0 if name in SHARES else math.inf for name in TREE_DEFAULTS}
+    outside = [f"{n} = {parameters[n]}" for n, top in highest.items() if not 0 < parameters[n] <= top]
+    if outside:
+        raise ValueError("tree parameters out of range: " + ", ".join(outside))
     return parameters
 
 
@@ -195,7 +196,7 @@ def fit_mapper(scores: DataFrame, method: str) -> Scorer:
             featuresCol="score_vector", labelCol=LABEL, weightCol="w", predictionCol="calibrated"
         ).fit(vectorize.transform(merged))
         return lambda df: model.transform(vectorize.transform(df)).select(*df.columns, "calibrated")
-    raise ValueError(f"Unsupported calibration method: {method}")
+    raise ValueError(f"no such way to map scores: {method}")
 
 
 def fit_scorer(
@@ -224,7 +225,7 @@ def fit_scorer(
         return lambda df: _calibrated(mapper(_score(full, df)))
     if calibration == "cross_validation":
         return _cross_validated(estimator, train, method, cv)
-    raise ValueError(f"Unsupported calibration strategy: {calibration}")
+    raise ValueError(f"no such calibration: {calibration}")
 
 
 def _calibrated(df: DataFrame) -> DataFrame:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -93,11 +96,16 @@ class SealedFolder:
         self.path = path
 
     def begin(self, metadata: dict[str, str]) -> None:
-        marker = self.spark.createDataFrame([(metadata,)], "metadata map<string,string>")
+        """Create the marker file exclusively, so that of two drivers only one can start."""
+        java = self.spark.sparkContext._jvm
+        marker = java.org.apache.hadoop.fs.Path(f"{self.path}/started/marker.json")
+        files = marker.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
         try:
-            marker.write.mode("errorifexists").json(f"{self.path}/started")
-        except AnalysisException as error:
+            stream = files.create(marker, False)
+        except Py4JJavaError as error:
             raise RuntimeError(f"evaluation was already started: {self.path}") from error
+        stream.write(bytearray(json.dumps({"metadata": metadata}).encode()))
+        stream.close()
 
     def commit(self, tables: dict[str, DataFrame]) -> DataFrame:
         """Write all tables, then the manifest of what was written."""

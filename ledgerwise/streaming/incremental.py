@@ -28,12 +28,12 @@ def clean_and_filter(filings: DataFrame, **limits) -> DataFrame:
 
 
 def first_seen(stream: DataFrame, keys: list[str]) -> DataFrame:
-    """Keys in the order they first arrive, each once, across all batches.
+    """The whole record that first brings each key, across all batches and runs.
 
-    The state holds every key for ever, as exact deduplication of an endless input must;
-    keep it in RocksDB at scale.
+    The state holds every key for ever, as exact deduplication of an endless input must; set
+    `spark.sql.streaming.stateStore.providerClass` to the RocksDB provider where it outgrows memory.
     """
-    return stream.select(*keys).dropDuplicates(keys)
+    return stream.dropDuplicates(keys)
 
 
 def first_seen_within(stream: DataFrame, keys: list[str], event_time: str, delay: str) -> DataFrame:
@@ -41,14 +41,15 @@ def first_seen_within(stream: DataFrame, keys: list[str], event_time: str, delay
     return stream.withWatermark(event_time, delay).dropDuplicatesWithinWatermark(keys)
 
 
-def run_available(stream: DataFrame, name: str) -> DataFrame:
-    """Process everything that is there, then read the result back.
+def run_available(stream: DataFrame, name: str, base: str | None = None) -> DataFrame:
+    """Process everything that is there, then read back all that runs on this base have written.
 
-    Output and progress go to the shared folder, so a lost driver or executor resumes
-    from the last committed batch.
+    `base` is the caller's folder for output, progress and state: a later run, or one after a lost
+    driver, goes on from the last committed batch. Without it the run is one of its own, in a new
+    folder below the shared one.
     """
     spark = stream.sparkSession
-    base = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    base = base or f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     query = (
         stream.writeStream.format("parquet")
         .option("checkpointLocation", f"{base}/progress")

@@ -50,7 +50,7 @@ def test_calibration_start_is_a_sorted_position(spark, sizes):
 
 def test_calibration_split_cannot_be_empty(spark):
     df = spark.createDataFrame([(2000,)] * 5, "y int")
-    with pytest.raises(ValueError, match="cannot be empty"):
+    with pytest.raises(ValueError, match="too few training years"):
         folds.split_for_calibration(df, "y")
 
 

@@ -125,6 +125,20 @@ def test_stream_deduplicates_across_batches(spark, tmp_path):
     assert sorted(r.k for r in out.collect()) == ["a", "b", "c"]
 
 
+def test_stream_goes_on_where_the_last_run_ended(spark, tmp_path):
+    folder, base = str(tmp_path / "in"), str(tmp_path / "base")
+    schema = "k string, v int"
+
+    def run(rows):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(folder)
+        stream = spark.readStream.schema(schema).parquet(folder)
+        out = incremental.run_available(incremental.first_seen(stream, ["k"]), "test", base)
+        return sorted((r.k, r.v) for r in out.collect())
+
+    assert run([("a", 1), ("b", 1)]) == [("a", 1), ("b", 1)]
+    assert run([("a", 2), ("c", 2)]) == [("a", 1), ("b", 1), ("c", 2)]
+
+
 def test_stream_cleaning_equals_batch(spark, tmp_path):
     folder = str(tmp_path / "in")
     filings = stage_tables(spark)["filings"]
@@ -182,7 +196,7 @@ def test_calibration_strategies(spark, table):
         assert scored.count() == 40 and scored.where("score < 0 or score > 1 or score is null").count() == 0
     dealt = models.stratified_folds(table.select("row_id", "label"), 5).groupBy("label", "fold").count().collect()
     assert {r["count"] for r in dealt if r.label == 1.0} == {12}
-    with pytest.raises(ValueError, match="strategy"):
+    with pytest.raises(ValueError, match="no such calibration"):
         models.fit_scorer(estimator, early, calibration="other")
 
 
