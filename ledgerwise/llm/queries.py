@@ -92,7 +92,70 @@ def op4(spark: SparkSession, folder: str) -> DataFrame:
     return done.select("doc_id", "n_lines", "n_dropped", digest.alias("kept_sha256"))
 
 
-@query("op6_source_mixing")
+OP6_SQL = f"""
+WITH rows AS (
+  SELECT doc_id, coalesce('s' || source, 'null') AS name, source,
+    CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS size,
+    md5(coalesce(CAST(doc_id AS VARCHAR), '') || ' 0') AS mark
+  FROM documents
+), sources AS (
+  SELECT name, source, CAST(sum(size) AS BIGINT) AS source_size, count(*) AS docs FROM rows GROUP BY ALL
+), weighed AS (
+  SELECT *, CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS weight
+  FROM sources
+), filled AS (
+  -- Sources in the order in which they reach twice their size; the rate if all before them are full.
+  SELECT *, 2.0 * source_size / weight AS full_at, (SELECT sum(source_size) FROM sources) * 150 / 100.0 AS total,
+    coalesce(sum(2 * source_size) OVER earlier, 0) AS full_before,
+    sum(weight) OVER () - coalesce(sum(weight) OVER earlier, 0) AS weight_left
+  FROM weighed
+  WINDOW earlier AS (ORDER BY 2.0 * source_size / weight, name ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+), rate AS (
+  SELECT CAST(total - full_before AS DOUBLE) / CAST(weight_left AS DOUBLE) AS rate FROM filled
+  WHERE CAST(total - full_before AS DOUBLE) / weight_left < full_at ORDER BY full_at, name LIMIT 1
+), targets AS (
+  SELECT name, source_size, least(2.0::DOUBLE * source_size, weight * rate) AS target,
+    least(CAST(ceil(docs / 128.0) AS BIGINT), 4096) AS shards
+  FROM weighed, rate
+), seats AS (
+  SELECT CAST(floor(sum(target) / 16 + 0.5) AS BIGINT) AS all_blocks FROM targets
+), source_quotients AS (
+  SELECT name, row_number() OVER (ORDER BY target / (2 * k + 1) DESC, name) AS place
+  FROM (SELECT name, target, unnest(range(CAST(target / 8 AS BIGINT) + 2)) AS k FROM targets)
+), dealt AS (
+  SELECT t.*, count(place) AS blocks FROM targets t
+  LEFT JOIN (SELECT name, place FROM source_quotients, seats WHERE place <= all_blocks) q USING (name)
+  GROUP BY ALL
+), placed AS (
+  SELECT r.*, d.source_size, d.target, d.blocks, CAST('0x' || substr(mark, 1, 8) AS BIGINT) % shards AS shard
+  FROM rows r JOIN dealt d USING (name)
+), streams AS (
+  SELECT name, shard, blocks, CAST(sum(size) AS BIGINT) AS stream,
+    target * sum(size)::BIGINT / greatest(source_size, 1) AS share
+  FROM placed GROUP BY name, shard, blocks, target, source_size
+), shard_quotients AS (
+  SELECT name, shard, blocks, row_number() OVER (PARTITION BY name ORDER BY share / (2 * k + 1) DESC, shard) AS place
+  FROM (SELECT name, shard, blocks, share, unnest(range(CAST(share / 8 AS BIGINT) + 2)) AS k FROM streams)
+), quotas AS (
+  SELECT s.name, s.shard, s.stream, least(count(place) * 16, 2 * s.stream) AS run,
+    (CAST('0x' || substr(md5(s.shard || ' ' || s.name || ' 0'), 1, 8) AS BIGINT) * 16) % greatest(s.stream, 1) AS start
+  FROM streams s LEFT JOIN (SELECT name, shard, place FROM shard_quotients WHERE place <= blocks) q USING (name, shard)
+  GROUP BY s.name, s.shard, s.stream
+), ordered AS (
+  SELECT p.*, q.stream, q.run, q.start, CASE WHEN q.stream > 0 THEN q.run // q.stream ELSE 0 END AS turns,
+    coalesce(sum(size) OVER (PARTITION BY name, shard ORDER BY mark ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS begins
+  FROM placed p JOIN quotas q USING (name, shard)
+), ended AS (
+  SELECT *, start + run - turns * stream AS finish FROM ordered
+)
+SELECT doc_id, size, source_size, target, CAST(turns * size
+  + greatest(least(begins + size, finish, stream) - greatest(begins, start), 0)
+  + greatest(least(begins + size, finish - stream) - begins, 0) AS BIGINT) AS taken
+FROM ended
+"""
+
+
+@query("op6_source_mixing", OP6_SQL)
 def op6(spark: SparkSession, folder: str) -> DataFrame:
     mix = mixing.mixed(table(spark, folder, "documents"))
     return mix.select("doc_id", "size", "source_size", "target", "taken")
