@@ -181,15 +181,28 @@ class ViewRows:
             self.weights, self.constant = self.weights - move[:-1], self.constant - move[-1]
 
 
-def fit_dense(columns: np.ndarray, labels: np.ndarray, penalty: float = 1e-2) -> np.ndarray:
-    """Weights and constant of a logistic model over a few columns, by Newton steps."""
+def fit_dense(columns: np.ndarray, labels: np.ndarray, prior: list[float], penalty: float = 2.0) -> np.ndarray:
+    """Weights and constant of a logistic model over a few columns, by Newton steps.
+
+    The penalty pulls towards the prior, which decides where there are few rows.
+    """
     wide = np.column_stack((columns, np.ones(len(labels))))
-    weights = np.zeros(wide.shape[1])
-    for _ in range(25):
+    centre = np.array(prior)
+    weights = centre.copy()
+
+    def loss(at: np.ndarray) -> float:
+        x = wide @ at
+        return float((np.logaddexp(0, x) - labels * x).sum() + penalty / 2 * ((at - centre) ** 2).sum())
+
+    for _ in range(50):
         p = _sigmoid(wide @ weights)
-        slope = wide.T @ (p - labels) + penalty * weights
+        slope = wide.T @ (p - labels) + penalty * (weights - centre)
         curve = (wide * (p * (1 - p))[:, None]).T @ wide + penalty * np.eye(len(weights))
-        weights = weights - np.linalg.solve(curve, slope)
+        move, now = np.linalg.solve(curve, slope), loss(weights)
+        # Far from the optimum a whole step may go too far.
+        while loss(weights - move) > now and np.abs(move).max() > 1e-9:
+            move = move / 2
+        weights = weights - move
     return weights
 
 
@@ -257,10 +270,10 @@ def co_train(
     calibrated, columns = {}, []
     for name, view in views.items():
         margins = view.margins()[held]
-        slope, shift = fit_dense(margins[:, None], y)
+        slope, shift = fit_dense(margins[:, None], y, [1.0, 0.0])
         calibrated[name] = View(view.hashes, view.weights, float(view.constant), float(slope), float(shift))
         columns.append(slope * margins + shift)
-    a, b, c = fit_dense(np.column_stack(columns), y)
+    a, b, c = fit_dense(np.column_stack(columns), y, [0.5, 0.5, 0.0])
     return QualityModel(calibrated["text"], calibrated["page"], (float(a), float(b), float(c)))
 
 
