@@ -123,7 +123,7 @@ def clean_periods(spark: SparkSession, sf: str) -> DataFrame:
     return cleaned.withColumn("cik", keys.company_key(F.col("cik")))
 
 
-def lexicon_source(spark: SparkSession, sf: str) -> DataFrame:
+def lexicon_source(spark: SparkSession, sf: str, *more) -> DataFrame:
     key = F.col("o_orderkey")
     moduli = {
         "N_Negative": 97, "N_Positive": 89, "N_Uncertainty": 83, "N_Litigious": 79,
@@ -136,6 +136,7 @@ def lexicon_source(spark: SparkSession, sf: str) -> DataFrame:
         F.date_format("o_orderdate", "yyyyMMdd").alias("FILING_DATE"),
         words.alias("N_Words"),
         *[(key % m).cast("double").alias(n) for n, m in moduli.items()],
+        *more,
     )
 
 
@@ -143,11 +144,8 @@ def density_rows(spark: SparkSession, sf: str) -> DataFrame:
     """The seven densities with a class label, for the hypothesis statistics."""
     from ledgerwise.operators.lexicon import add_densities
 
-    label = table(spark, sf, "orders").select(
-        F.col("o_orderkey").alias("seq"),
-        (F.col("o_orderstatus") == "F").cast("int").alias("fraudulent"),
-    )
-    return add_densities(lexicon_source(spark, sf)).join(label, "seq").select(
+    label = (F.col("o_orderstatus") == "F").cast("int").alias("fraudulent")
+    return add_densities(lexicon_source(spark, sf, label)).select(
         "seq", "fraudulent", *fv.LEXICON_DENSITIES
     )
 
