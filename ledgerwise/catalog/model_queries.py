@@ -9,6 +9,7 @@ from ledgerwise.catalog import views as v
 from ledgerwise.catalog.aggregate_queries import FEATURES, maturity
 from ledgerwise.catalog.join_queries import KEYED_SQL
 from ledgerwise.catalog.registry import query
+from ledgerwise.catalog.text_queries import features_sql
 from ledgerwise.functions import dates, keys
 from ledgerwise.operators import features, hypothesis, metrics, models, selection
 from ledgerwise.plans import audits, data_stages
@@ -256,10 +257,17 @@ def _(spark, sf):
     )
 
 
+_PROFILE = " UNION ALL ".join(
+    f"""SELECT '{name}' AS feature, fraudulent AS label, count({name}) AS n, round(avg({name}), 6) AS mean,
+        round(stddev_samp({name}), 6) AS std FROM f GROUP BY fraudulent"""
+    for name in fv.TEXT_FEATURES
+)
+
+
 @query(
     "text_class_profile",
     views="labeled_texts",
-    sql=None,
+    sql=f"WITH f AS ({features_sql('labeled_texts', ', fraudulent, filing_year', 15)}) {_PROFILE}",
 )
 def _(spark, sf):
     rows = features.add_text_features(v.labeled_texts(spark, sf))

@@ -183,9 +183,9 @@ def _(spark, sf):
     )
 
 
-def features_sql(source: str, extra: str = "") -> str:
-    """SQL body that computes the 16 features of a view, one word at a time."""
-    digits, marks = fv.DIGIT_CHARS, fv.PUNCTUATION_CHARS
+def features_sql(source: str, extra: str = "", digits: int = 6) -> str:
+    """SQL body that computes the 16 features of a view, one word at a time, rounded."""
+    figures, marks = fv.DIGIT_CHARS, fv.PUNCTUATION_CHARS
     return f"""WITH base AS (
         SELECT *, {strip_sql('mda')} AS t FROM {source}),
     parts AS (
@@ -201,18 +201,18 @@ def features_sql(source: str, extra: str = "") -> str:
         CASE WHEN usable THEN length(t)::DOUBLE END AS mda_char_count,
         CASE WHEN usable THEN nw END AS mda_word_count,
         CASE WHEN usable THEN ns END AS mda_sentence_count,
-        CASE WHEN usable THEN round(asw, 6) END AS mda_avg_sentence_words,
-        CASE WHEN usable THEN round(ln(1 + nw), 6) END AS mda_log_word_count,
-        CASE WHEN usable THEN round(206.835::DOUBLE - 1.015::DOUBLE * asw - 84.6::DOUBLE * asyl, 6) END AS mda_flesch_reading_ease,
-        CASE WHEN usable THEN round(0.39::DOUBLE * asw + 11.8::DOUBLE * asyl - 15.59::DOUBLE, 6) END AS mda_flesch_kincaid_grade,
-        CASE WHEN usable THEN round(0.4::DOUBLE * (asw + 100 * cplx), 6) END AS mda_gunning_fog,
-        CASE WHEN usable THEN round(cplx, 6) END AS mda_complex_word_ratio,
-        CASE WHEN usable THEN round({_class_share('t', digits)} / length(t), 6) END AS mda_digit_ratio,
-        CASE WHEN usable THEN round({_class_share('t', marks)} / length(t), 6) END AS mda_punctuation_ratio,
-        CASE WHEN usable THEN round(coalesce({_class_share("t", _UPPER)} / nullif({_class_share("t", _LETTER)}, 0), 0.0), 6) END AS mda_uppercase_ratio,
-        CASE WHEN usable THEN round(list_sum(list_transform(w, lambda x: length(x))) / nw, 6) END AS mda_avg_word_length,
-        CASE WHEN usable THEN round(len(list_filter(s, lambda x: len(regexp_extract_all(x, '{_SURFACE_SQL}')) >= 25)) / ns, 6) END AS mda_long_sentence_ratio,
-        CASE WHEN usable THEN round(len(list_distinct(list_transform(w, lambda x: lower(x)))) / nw, 6) END AS mda_lexical_diversity,
+        CASE WHEN usable THEN round(asw, {digits}) END AS mda_avg_sentence_words,
+        CASE WHEN usable THEN round(ln(1 + nw), {digits}) END AS mda_log_word_count,
+        CASE WHEN usable THEN round(206.835::DOUBLE - 1.015::DOUBLE * asw - 84.6::DOUBLE * asyl, {digits}) END AS mda_flesch_reading_ease,
+        CASE WHEN usable THEN round(0.39::DOUBLE * asw + 11.8::DOUBLE * asyl - 15.59::DOUBLE, {digits}) END AS mda_flesch_kincaid_grade,
+        CASE WHEN usable THEN round(0.4::DOUBLE * (asw + 100 * cplx), {digits}) END AS mda_gunning_fog,
+        CASE WHEN usable THEN round(cplx, {digits}) END AS mda_complex_word_ratio,
+        CASE WHEN usable THEN round({_class_share('t', figures)} / length(t), {digits}) END AS mda_digit_ratio,
+        CASE WHEN usable THEN round({_class_share('t', marks)} / length(t), {digits}) END AS mda_punctuation_ratio,
+        CASE WHEN usable THEN round(coalesce({_class_share("t", _UPPER)} / nullif({_class_share("t", _LETTER)}, 0), 0.0), {digits}) END AS mda_uppercase_ratio,
+        CASE WHEN usable THEN round(list_sum(list_transform(w, lambda x: length(x))) / nw, {digits}) END AS mda_avg_word_length,
+        CASE WHEN usable THEN round(len(list_filter(s, lambda x: len(regexp_extract_all(x, '{_SURFACE_SQL}')) >= 25)) / ns, {digits}) END AS mda_long_sentence_ratio,
+        CASE WHEN usable THEN round(len(list_distinct(list_transform(w, lambda x: lower(x)))) / nw, {digits}) END AS mda_lexical_diversity,
         CAST(usable AS DOUBLE) AS mda_text_available
     FROM rates"""
 
