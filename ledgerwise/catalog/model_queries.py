@@ -216,20 +216,21 @@ def _(spark, sf):
 
 @query(
     "split_features_x4",
-    views="filings lexicon_source",
-    sql=f"""WITH {KEYED_SQL}
+    views="filings lexicon_source texts",
+    sql=f"""WITH {KEYED_SQL}, f AS ({features_sql('texts')})
             SELECT k.seq, CASE WHEN filing_year < 1999 THEN 'trainval' ELSE 'test' END AS dataset,
                    u.key IS NOT NULL AS lexicon_matched, round(u.N_Positive / nullif(u.N_Words, 0), 9) AS positive_density,
-                   0.0::DOUBLE AS mda_text_available
-            FROM k LEFT JOIN u ON k.cik = u.key AND k.reporting_year = u.yr""",
+                   coalesce(f.mda_text_available, 0.0) AS mda_text_available, f.mda_word_count, f.mda_gunning_fog,
+                   f.mda_lexical_diversity
+            FROM k LEFT JOIN u ON k.cik = u.key AND k.reporting_year = u.yr LEFT JOIN f ON f.seq = k.seq""",
 )
 def _(spark, sf):
     from ledgerwise.operators import split
 
-    filings = v.filings(spark, sf).withColumns(
+    # Filings have the text of the document of their number, as far as there are documents.
+    filings = v.filings(spark, sf).drop("mda").join(v.texts(spark, sf), "seq", "left").withColumns(
         {
             "reporting_date": dates.day_first_date(C("reporting_date")),
-            "mda": F.lit(None).cast("string"),
             "cik": keys.company_key(C("cik")),
         }
     )
@@ -237,7 +238,8 @@ def _(spark, sf):
     full = data_stages.full_features(development, holdout, v.lexicon_source(spark, sf))
     return full.select(
         "seq", "dataset", "lexicon_matched",
-        F.round("positive_density", 9).alias("positive_density"), "mda_text_available",
+        F.round("positive_density", 9).alias("positive_density"), "mda_text_available", "mda_word_count",
+        *[F.round(n, 6).alias(n) for n in ("mda_gunning_fog", "mda_lexical_diversity")],
     )
 
 
