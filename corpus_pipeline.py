@@ -50,7 +50,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every text, with digests of the ids and of the text that they decode to."""
-    return bpe.digests(bpe.encoded(docs))
+    return bpe.encoded(docs, digests=True)
 
 
 STAGES = [

@@ -26,7 +26,7 @@ from ledgerwise.llm import common
 
 VOCABULARY = "/opt/tokenizers/word_bpe_49k.json"
 # Words remembered by a worker; the memory for them is bounded by this number.
-REMEMBERED = 400_000
+REMEMBERED = 300_000
 # Words up to so many letters are cut and merged many at a time, longer ones one by one.
 LONG, CHUNK = 48, 4096
 NO_RANK = 1 << 40
@@ -348,62 +348,53 @@ def _texts(part: pa.RecordBatch) -> list[str]:
     return [b.decode("utf-8", "replace") for b in common.blobs(part.column("text"))]
 
 
-def _encode(description):
+def _digests(encoder: WordEncoder, all_ids: list[list[int]]) -> list[pa.Array]:
+    """Number of ids, and SHA-256 of the ids in decimal and of the text that they decode to."""
+    counts, ids_hex, texts_hex = [], [], []
+    for ids in all_ids:
+        counts.append(len(ids))
+        ids_hex.append(hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest())
+        texts_hex.append(hashlib.sha256(encoder.decode(ids).encode()).hexdigest())
+    return [pa.array(counts, pa.int64()), pa.array(ids_hex, pa.string()), pa.array(texts_hex, pa.string())]
+
+
+def _encode(description, columns: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = encoder_of(description.value)
         for part in common.slices(batches, limit=SLICE_BYTES):
             ids = encoder.encode(_texts(part))
-            rest = [n for n in part.schema.names if n != "text"]
-            yield pa.RecordBatch.from_arrays(
-                [*[part.column(n) for n in rest], pa.array(ids, pa.list_(pa.int32()))], [*rest, "ids"]
-            )
+            made = {"doc_id": part.column("doc_id")}
+            if "ids" in columns:
+                made["ids"] = pa.array(ids, pa.list_(pa.int32()))
+            if "n_tokens" in columns:
+                made |= zip(DIGESTS, _digests(encoder, ids))
+            yield pa.RecordBatch.from_pydict(made)
+        # The worker may go on to other work, which needs the memory more.
+        encoder.known.clear()
 
     return run
 
 
+DIGESTS = {"n_tokens": "long", "ids_sha256": "string", "decoded_sha256": "string"}
+
+
 def encoded(
     docs: DataFrame,
     path: str = VOCABULARY,
     id_column: str = "doc_id",
     text_column: str = "text",
+    ids: bool = True,
+    digests: bool = False,
 ) -> DataFrame:
     """Per row: doc_id and `ids`, the token ids of the whole text.
 
-    Null counts as empty, which has no ids. Ids may be null or repeated; each row is answered by
-    itself, and other columns are not read. No rows give no rows.
+    With `digests` also n_tokens, and SHA-256 digests of the ids and of the text that they decode to;
+    `ids` may then be left out. Null counts as empty, which has no ids. Ids of documents may be null
+    or repeated; each row is answered by itself, and other columns are not read. No rows give no rows.
     """
     source = docs.select(F.col(id_column).alias("doc_id"), common.text_bytes(text_column).alias("text"))
-    description = load(docs.sparkSession, path)
-    kind = dict(source.dtypes)["doc_id"]
-    return source.mapInArrow(_encode(description), f"doc_id {kind}, ids array<int>")
-
-
-def _digests(description):
-    def run(batches):
-        encoder = encoder_of(description.value)
-        names = np.array([encoder.names.get(i, "") for i in range(encoder.width)], object)
-        numbers = np.array([str(i) for i in range(encoder.width)], object)
-        for batch in batches:
-            counts, ids_hex, texts_hex = [], [], []
-            column = batch.column("ids")
-            offsets, flat = column.offsets.to_numpy(), column.values.to_numpy()
-            for first, last in zip(offsets[:-1].tolist(), offsets[1:].tolist()):
-                ids = flat[first:last]
-                counts.append(len(ids))
-                ids_hex.append(hashlib.sha256(" ".join(numbers[ids]).encode()).hexdigest())
-                texts_hex.append(hashlib.sha256(" ".join(names[ids]).encode()).hexdigest())
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(counts, pa.int64()), pa.array(ids_hex), pa.array(texts_hex)],
-                [*batch.schema.names, "n_tokens", "ids_sha256", "decoded_sha256"],
-            )
-
-    return run
-
-
-def digests(tokens: DataFrame, path: str = VOCABULARY) -> DataFrame:
-    """Rows of `encoded` with n_tokens and digests of the ids and of the text that they decode to."""
-    kind = dict(tokens.dtypes)["doc_id"]
-    return tokens.select("doc_id", "ids").mapInArrow(
-        _digests(load(tokens.sparkSession, path)),
-        f"doc_id {kind}, ids array<int>, n_tokens long, ids_sha256 string, decoded_sha256 string",
-    )
+    kinds = {"doc_id": dict(source.dtypes)["doc_id"]}
+    kinds |= {"ids": "array<int>"} if ids else {}
+    kinds |= DIGESTS if digests else {}
+    schema = ", ".join(f"{name} {kind}" for name, kind in kinds.items())
+    return source.mapInArrow(_encode(load(docs.sparkSession, path), list(kinds)), schema)

@@ -299,7 +299,7 @@ def _feature_rows(batches):
 def _narrow(docs: DataFrame, *more) -> DataFrame:
     return docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
-        common.text_bytes("text").alias("text"),
+        F.col("text").cast("binary").alias("text"),
         F.col("source").cast("string").alias("source"),
         F.col("lang").cast("string").alias("lang"),
         *more,
@@ -335,7 +335,7 @@ def hash_order(doc_id: int) -> int:
     return int(common.mix64(np.array([doc_id], np.int64).view(np.uint64))[0])
 
 
-def _score_rows(model):
+def _score_rows(model, kept: list[str]):
     def run(batches):
         own = model.value
         for part in common.slices(batches):
@@ -345,9 +345,10 @@ def _score_rows(model):
                 part.column("lang").to_pylist(),
             )
             rest = [n for n in part.schema.names if n not in ("text", "source", "lang")]
+            own_columns = [part.column(n).cast(pa.string()) for n in kept]
             yield pa.RecordBatch.from_arrays(
-                [*[part.column(n) for n in rest], *[pa.array(s, pa.float64()) for s in scores]],
-                [*rest, "text_score", "page_score", "score"],
+                [*[part.column(n) for n in rest], *own_columns, *[pa.array(s, pa.float64()) for s in scores]],
+                [*rest, *kept, "text_score", "page_score", "score"],
             )
 
     return run
@@ -360,10 +361,12 @@ def scored(docs: DataFrame, model: QualityModel, keep: tuple[str, ...] = ()) ->
     null source or language as a value of its own. Repeated rows get equal scores; no rows give none.
     """
     kinds = dict(docs.dtypes)
-    source = _narrow(docs, *[F.col(c).alias(f"_keep_{c}") for c in keep])
+    own = [c for c in keep if c in ("text", "source", "lang")]
+    others = [c for c in keep if c not in own]
+    source = _narrow(docs, *[F.col(c).alias(f"_keep_{c}") for c in others])
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    kept = "".join(f", `_keep_{c}` {kinds[c]}" for c in keep)
+    kept = "".join([*(f", `_keep_{c}` {kinds[c]}" for c in others), *(f", {c} string" for c in own)])
     done = source.mapInArrow(
-        _score_rows(sent), f"doc_id long{kept}, text_score double, page_score double, score double"
+        _score_rows(sent, own), f"doc_id long{kept}, text_score double, page_score double, score double"
     )
-    return done.withColumnsRenamed({f"_keep_{c}": c for c in keep})
+    return done.withColumnsRenamed({f"_keep_{c}": c for c in others})

@@ -116,26 +116,10 @@ def _marks(hashes: np.ndarray) -> np.ndarray:
     return (hashes >> np.uint64(48)).astype(np.uint16)
 
 
-def _document_lines(min_points: int):
-    def run(batches):
-        for part in common.slices(batches):
-            hashes = [
-                line_hashes(line_keys(text), min_points)
-                for text in common.blobs(part.column("text"))
-            ]
-            yield pa.RecordBatch.from_arrays(
-                [part.column("_key"), pa.array([h.tobytes() for h in hashes], pa.binary())],
-                ["_key", "hashes"],
-            )
-
-    return run
+def _blocks(min_points: int):
+    """Pack the line hashes of a task's documents into blocks of bounded size, named by their content."""
 
-
-def _blocks(batches):
-    """Pack the documents of a task into blocks of bounded size, named by their content."""
-    keys, hashes, size = [], [], 0
-
-    def block():
+    def block(keys, hashes):
         name = xxhash.xxh3_64(b"".join(k.to_bytes(8, "little", signed=True) for k in keys))
         lengths = np.array([len(h) // 8 for h in hashes], np.int32)
         return pa.RecordBatch.from_arrays(
@@ -148,16 +132,20 @@ def _blocks(batches):
             ["block", "keys", "lengths", "hashes"],
         )
 
-    for batch in batches:
-        for key, h in zip(batch.column("_key").to_pylist(), batch.column("hashes").to_pylist()):
-            keys.append(key)
-            hashes.append(h)
-            size += len(h) + 8
-            if size >= BLOCK_BYTES:
-                yield block()
-                keys, hashes, size = [], [], 0
-    if keys:
-        yield block()
+    def run(batches):
+        keys, hashes, size = [], [], 0
+        for part in common.slices(batches):
+            for key, text in zip(part.column("_key").to_pylist(), common.blobs(part.column("text"))):
+                keys.append(key)
+                hashes.append(line_hashes(line_keys(text), min_points).tobytes())
+                size += len(hashes[-1]) + 8
+                if size >= BLOCK_BYTES:
+                    yield block(keys, hashes)
+                    keys, hashes, size = [], [], 0
+        if keys:
+            yield block(keys, hashes)
+
+    return run
 
 
 def _messages(shards: int):
@@ -265,10 +253,9 @@ def frequent_line_masks(docs: DataFrame, min_documents: int, min_points: int) ->
     repeated row counts again; equal rows get equal masks.
     """
     spark = docs.sparkSession
-    lines = docs.mapInArrow(_document_lines(min_points), "_key long, hashes binary")
     blocks = written(
-        lines.mapInArrow(
-            _blocks, "block long, keys array<long>, lengths array<int>, hashes binary"
+        docs.mapInArrow(
+            _blocks(min_points), "block long, keys array<long>, lengths array<int>, hashes binary"
         ),
         "line-blocks",
     )

@@ -203,7 +203,7 @@ def op8(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("op9_bpe_tokens")
 def op9(spark: SparkSession, folder: str) -> DataFrame:
-    return bpe.digests(bpe.encoded(table(spark, folder, "documents"))).drop("ids")
+    return bpe.encoded(table(spark, folder, "documents"), ids=False, digests=True)
 
 
 @query("op10_language_id")
