@@ -304,8 +304,8 @@ VIEW_SQL = {
     "typed_periods": f"""
         SELECT seq, cik, {parse_month_sql('fraud_start')} AS fraud_start,
                last_day({parse_month_sql('fraud_end')}) AS fraud_end,
-               CAST(coalesce(try_cast(nullif(certainty_start, '') AS DOUBLE), 0) AS INTEGER) AS certainty_start,
-               CAST(coalesce(try_cast(certainty_end AS DOUBLE), 0) AS INTEGER) AS certainty_end
+               CAST(coalesce(try_cast(nullif(certainty_start, '') AS DOUBLE), 0) AS BIGINT) AS certainty_start,
+               CAST(coalesce(try_cast(certainty_end AS DOUBLE), 0) AS BIGINT) AS certainty_end
         FROM period_source""",
     "clean_periods": f"""
         SELECT seq, {COMPANY_KEY_SQL.format('cik')} AS cik, fraud_start, fraud_end,
