@@ -16,6 +16,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -137,7 +138,11 @@ class ViewRows:
     """The sample's rows in one view, on the features that enough of them hold, and a model of them."""
 
     def __init__(self, rows: list[np.ndarray]):
-        hashes, n = np.unique(np.concatenate(rows), return_counts=True)
+        hashes, n = np.empty(0, np.uint32), np.empty(0, np.int32)
+        for first in range(0, len(rows), PART):
+            own = np.unique(np.concatenate(rows[first : first + PART]), return_counts=True)
+            hashes, place = np.unique(np.concatenate((hashes, own[0])), return_inverse=True)
+            n = np.bincount(place, np.concatenate((n, own[1])), len(hashes)).astype(np.int32)
         often = np.flatnonzero(n >= LEAST_DOCUMENTS)
         if len(often) > MOST_FEATURES:
             often = np.sort(often[np.argsort(-n[often], kind="stable")[:MOST_FEATURES]])
@@ -148,11 +153,12 @@ class ViewRows:
         for first in range(0, len(rows), PART):
             part = rows[first : first + PART]
             counts = np.fromiter(map(len, part), np.int64, len(part))
-            flat, row = np.concatenate(part), np.repeat(np.arange(len(part), dtype=np.int32), counts)
-            column = np.searchsorted(self.hashes, flat).astype(np.int32)
+            flat, row = np.concatenate(part), np.repeat(np.arange(len(part)), counts)
+            column = np.searchsorted(self.hashes, flat)
             own = column < len(self.hashes)
             own[own] = self.hashes[column[own]] == flat[own]
-            self.parts.append((row[own], column[own]))
+            # PART rows and MOST_FEATURES features have numbers of 16 bits.
+            self.parts.append((row[own].astype(np.uint16), column[own].astype(np.uint16)))
 
     def margins(self) -> np.ndarray:
         sums = [np.bincount(row, self.weights[column], PART) for row, column in self.parts]
@@ -231,7 +237,8 @@ def co_train(
 ) -> QualityModel:
     """Fit both views. `labels` is 1, 0, or -1 for pool documents without a label.
 
-    Rows keep their order, which must not depend on the labels. Every CALIBRATION_SHARE-th labelled
+    The lists of rows are emptied, to free their memory. Rows keep their order, which must not depend
+    on the labels. Every CALIBRATION_SHARE-th labelled
     row is set aside for calibration. In each round each view hands the other at most a tenth of
     the labelled rows of each class, its surest ones. With no labelled row of one class, all
     documents get the share of the other class among the labels, 1 without labels.
@@ -247,6 +254,9 @@ def co_train(
         return QualityModel(flat, flat, (0.5, 0.5, 0.0))
 
     views = {"text": ViewRows(text_rows), "page": ViewRows(page_rows)}
+    # The views hold what is needed from here on.
+    text_rows.clear()
+    page_rows.clear()
     # What the other view has taught each view: documents and their supposed labels.
     taught: dict[str, dict[int, float]] = {"text": {}, "page": {}}
     most = max(1, len(used) // 10)
@@ -325,10 +335,25 @@ def learn_quality(
     chosen = labelled.unionByName(others.withColumn("label", F.lit(-1)))
     # At most sample + pool rows of two numbers are broadcast.
     rows = _narrow(docs).join(F.broadcast(chosen), "doc_id").mapInArrow(_feature_rows, _FEATURES)
-    got = sorted(rows.collect(), key=lambda r: (hash_order(r.doc_id), r.text_features, r.page_features))
-    text = [np.frombuffer(r.text_features, np.uint32) for r in got]
-    page = [np.frombuffer(r.page_features, np.uint32) for r in got]
-    return co_train(text, page, np.array([r.label for r in got], np.int64), rounds)
+    got = rows.toArrow().combine_chunks()
+    text, page = _feature_views(got.column("text_features")), _feature_views(got.column("page_features"))
+    ids, known_labels = got.column("doc_id").to_pylist(), np.array(got.column("label").to_pylist(), np.int64)
+    # By the id's hash; rows of equal ids by their features.
+    order = sorted(
+        range(len(ids)),
+        key=lambda k: (hash_order(ids[k]), xxhash.xxh3_64_intdigest(text[k].tobytes() + page[k].tobytes())),
+    )
+    return co_train([text[k] for k in order], [page[k] for k in order], known_labels[order], rounds)
+
+
+def _feature_views(column: pa.ChunkedArray) -> list[np.ndarray]:
+    """The features of every row, as views of the column's memory."""
+    if not len(column):
+        return []
+    _, offsets, data = column.chunk(0).buffers()
+    bounds = np.frombuffer(offsets, np.int32)[: len(column) + 1] // 4
+    flat = np.frombuffer(data, np.uint8)[: 4 * int(bounds[-1])].view(np.uint32)
+    return [flat[a:b] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
 
 
 def hash_order(doc_id: int) -> int:
