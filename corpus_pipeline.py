@@ -38,9 +38,22 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates, by five words and a similarity of 0.8."""
-    kept = near_dups.near_duplicates(docs, words=5, percent=80).where("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
+    """One row of each group of near-duplicates, by five words and a similarity of 0.8.
+
+    Rows are told apart by all they hold, as ids may be null or repeated; of rows that repeat whole one
+    stays. A group keeps its row with the smallest id, one without an id only if none has one.
+    """
+    renamed, names = carried(docs, ("doc_id", "text"))
+    # Nulls leave a hash as it is, but no trace in JSON.
+    rest = F.to_json(F.struct("doc_id", F.col("text").isNull().alias("blank"), *names.values()))
+    rows = renamed.withColumn("_row", F.xxhash64("text", rest))
+    groups = near_dups.near_duplicates(rows, words=5, percent=80, id_column="_row")
+    groups = groups.select(F.col("doc_id").alias("_row"), "component_id").distinct()
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "_row")
+    first = groups.join(rows.select("_row", "doc_id").distinct(), "_row").groupBy("component_id")
+    kept = first.agg(F.min(order)["_row"].alias("_row")).select("_row")
+    one_each = rows.dropDuplicates(["_row"]).join(kept, "_row", "left_semi")
+    return one_each.select(*[F.col(names.get(c, c)).alias(c) for c in docs.columns])
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -103,6 +103,25 @@ def test_stages_bear_awkward_documents(spark):
         made.collect()
 
 
+def test_near_dedup_bears_null_and_repeated_ids(spark):
+    long = " ".join(f"w{k}" for k in range(200))
+    rows = [
+        (None, "some words of a document without an id", "a"), (None, "other words of another such document", "a"),
+        (None, long + " more", "b"), (1, long, "a"), (7, long + " again", "a"), (7, "text that only this row of the id has", "a"),
+        (4, "the same row twice in the table", "b"), (4, "the same row twice in the table", "b"),
+        (5, "", "a"), (5, None, "a"), (None, None, "a"), (None, None, "b"),
+        (None, "a copy that has no id at all", "a"), (None, "a copy that has no id at all", "b"),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    gone = [rows[2], rows[4], rows[7]]
+    made = [tuple(r) for r in corpus_pipeline.near_dedup(spark, docs, FOLDER).collect()]
+    copies = Counter(made) & Counter(rows[12:])
+    assert Counter(made) - copies == Counter(rows[:12]) - Counter(gone)
+    assert sum(copies.values()) == 1
+    again = corpus_pipeline.near_dedup(spark, docs.orderBy("source", "text").repartition(3), FOLDER)
+    assert Counter(tuple(r) for r in again.collect()) == Counter(made)
+
+
 def test_run_gives_the_last_stage(spark, stages):
     run = corpus_pipeline.run(spark, FOLDER)
     assert run.exceptAll(stages["tokens"][1].select(run.columns)).count() == 0
