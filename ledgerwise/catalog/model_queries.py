@@ -18,7 +18,8 @@ from ledgerwise.scale import cut_lineage, spread
 C = F.col
 MIN_POSITIVES = 3
 TEXT_FEATURES = tuple(f for f in fv.TEXT_FEATURES if f != "mda_text_available")
-SMALL_TREES = {"n_estimators": 5, "max_depth": 3}
+# Fixed value: trials of the parameter search.
+TRIALS = 200
 
 
 def table(spark, sf):
@@ -41,7 +42,7 @@ def _(spark, sf):
 @query("boosted_trees_l4")
 def _(spark, sf):
     rows = table(spark, sf)
-    model = models.fit_full(rows, models.boosted_trees(TEXT_FEATURES, **SMALL_TREES))
+    model = models.fit_full(rows, models.boosted_trees(TEXT_FEATURES))
     return model.transform(rows).select("row_id", "label", "prediction")
 
 
@@ -85,7 +86,6 @@ def _(spark, sf):
         models.logistic(TEXT_FEATURES),
         rows.where(C("filing_year") < late),
         calibration="cross_validation",
-        cv=3,
     )
     return scorer(rows.where(C("filing_year") == late))
 
@@ -123,7 +123,7 @@ def _(spark, sf):
 
 @query("parameter_search_l11")
 def _(spark, sf):
-    sets = [models.sample_logistic_parameters(i) for i in range(2)]
+    sets = [models.sample_logistic_parameters(i) for i in range(TRIALS)]
     return models.search(
         table(spark, sf), lambda p: models.logistic(TEXT_FEATURES, **p), sets, MIN_POSITIVES
     )
@@ -139,7 +139,7 @@ def _(spark, sf):
 @query("tree_importances_l13")
 def _(spark, sf):
     rows = table(spark, sf)
-    model = models.fit_full(rows, models.boosted_trees(TEXT_FEATURES, **SMALL_TREES))
+    model = models.fit_full(rows, models.boosted_trees(TEXT_FEATURES))
     return models.feature_importances(model, TEXT_FEATURES)
 
 
@@ -154,7 +154,7 @@ def _(spark, sf):
 @query("permutation_importances_l14")
 def _(spark, sf):
     rows = table(spark, sf)
-    model = models.fit_full(rows, models.boosted_trees(TEXT_FEATURES, **SMALL_TREES))
+    model = models.fit_full(rows, models.boosted_trees(TEXT_FEATURES))
     return models.permutation_importances(rows, model, TEXT_FEATURES)
 
 
