@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 
 from ledgerwise.llm import common
 
-# Characters of each language that are learned, and at most of one document.
-LEARNED_POINTS, DOCUMENT_POINTS = 16_000, 2_000
+# Characters of each language that are learned, at most of one document, and of one piece of it.
+LEARNED_POINTS, DOCUMENT_POINTS, PIECE_POINTS = 48_000, 2_000, 200
 MAX_LANGUAGES = 512
 SEGMENT = 256
 SLICE_BYTES = 2 << 20
@@ -163,16 +163,20 @@ class LanguageModel:
 def learn_languages(
     labelled: DataFrame, points: int = LEARNED_POINTS, document_points: int = DOCUMENT_POINTS
 ) -> LanguageModel:
-    """Learn from columns doc_id, text and lang; rows where text or lang is null are left out.
+    """Learn from columns text and lang; rows where text or lang is null are left out.
 
-    Of each language about four times `points` characters are drawn, from all its documents alike by
-    a hash of their id, at most `document_points` of one; `points` of them are learned. So the driver
-    holds a bounded number of characters for each of at most MAX_LANGUAGES languages.
+    Of each language about four times `points` characters are drawn, from all its distinct texts alike
+    by a hash of the text, so ids and the number of copies don't matter. A text of more than
+    `document_points` gives that many, in pieces from seeded places all over it. `points` of them are
+    learned, in an order of the pieces by hash. So the driver holds a bounded number of characters, and
+    so of rows, for each of at most MAX_LANGUAGES languages.
     """
-    labelled = labelled.select("doc_id", "text", "lang")
-    usable = labelled.where("text is not null and lang is not null and length(text) > 0")
-    capped = F.least(F.length("text"), F.lit(document_points))
-    totals = usable.groupBy("lang").agg(F.sum(capped).alias("points")).limit(MAX_LANGUAGES + 1).collect()
+    usable = labelled.where("text is not null and lang is not null and length(text) > 0").select(
+        "lang", "text", F.xxhash64("text", "lang").alias("place"), F.length("text").alias("size")
+    )
+    capped = F.least("size", F.lit(document_points)).alias("points")
+    once = usable.select("lang", "place", capped).distinct()
+    totals = once.groupBy("lang").agg(F.sum("points").alias("points")).limit(MAX_LANGUAGES + 1).collect()
     if len(totals) > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
     if not totals:
@@ -180,12 +184,25 @@ def learn_languages(
     rates = labelled.sparkSession.createDataFrame(
         [(row.lang, min(1.0, 4 * points / row.points)) for row in totals], "lang string, rate double"
     )
-    order = F.xxhash64("doc_id", "lang")
     # At most MAX_LANGUAGES rows are broadcast.
     drawn = usable.join(F.broadcast(rates), "lang").where(
-        F.shiftrightunsigned(order, 11) < F.col("rate") * F.lit(float(1 << 53))
+        F.shiftrightunsigned("place", 11) < F.col("rate") * F.lit(float(1 << 53))
     )
-    rows = drawn.select("lang", order.alias("place"), F.substring("text", 1, document_points).alias("text"))
+    # A text is cut into equal parts; of each, a piece is taken from a place that a hash decides.
+    most = max(1, document_points // PIECE_POINTS)
+    length = -(-document_points // most)
+    parts = F.least(F.ceil(F.col("size") / length), F.lit(most))
+
+    def piece(k):
+        first, end = F.floor(F.col("size") * k / parts), F.floor(F.col("size") * (k + 1) / parts)
+        taken = F.least(end - first, F.lit(length))
+        start = first + F.pmod(F.xxhash64("place", k), end - first - taken + 1)
+        text = F.substring("text", (start + 1).cast("int"), taken.cast("int"))
+        return F.struct(F.xxhash64("place", k, F.lit(1)).alias("turn"), text.alias("text"))
+
+    pieces = F.transform(F.sequence(F.lit(0), (parts - 1).cast("int")), piece)
+    rows = drawn.select("lang", "place", pieces.alias("pieces")).dropDuplicates(["lang", "place"])
+    rows = rows.select("lang", F.inline("pieces"))
     samples: dict[str, list[str]] = {row.lang: [] for row in totals}
     for row in sorted(rows.collect()):
         samples[row.lang].append(row.text)

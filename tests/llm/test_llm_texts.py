@@ -127,6 +127,24 @@ def test_languages_of_awkward_rows(spark, awkward):
     assert language.identified(awkward.limit(0), model).count() == 0
 
 
+def test_languages_are_learned_from_whole_texts(spark):
+    rng = random.Random(6)
+    header, copy = ("".join(rng.choices("abcdef   ", k=2_500)) for _ in range(2))
+    tongues = {"aa": "abcdef   ", "zz": "uvwxyz   "}
+    text = lambda l, n: "".join(rng.choices(tongues[l], k=n))
+    rows = [(None, header + text(l, 4_000), l) for l in tongues for _ in range(40)] + [(k, copy, "zz") for k in range(20)]
+    schema = "doc_id long, text string, lang string"
+    model = language.learn_languages(spark.createDataFrame(rows, schema))
+    assert all(size > 32_000 for size in model.sizes)
+    held_out = spark.createDataFrame([(k, text(l, 300), l) for l in tongues for k in range(20)], schema)
+    found = {r.doc_id: r.lang_pred for r in language.identified(held_out.where("lang = 'zz'"), model).collect()}
+    assert found == dict.fromkeys(range(20), "zz")
+    short = spark.createDataFrame([(k, f"only words {k}", "aa") for k in range(9)] * 3, schema)
+    assert language.learn_languages(short).sizes == [9 * len("only words 0") + 8]
+    again = language.learn_languages(spark.createDataFrame(rows[::-1], schema).repartition(7))
+    assert all((a == b).all() for a, b in zip(model.edges, again.edges))
+
+
 def test_class_scores_base_and_probabilities(spark, awkward):
     docs = awkward.withColumn("held_out", F.col("doc_id") == 9)
     got = class_lm.class_scores(docs).collect()
