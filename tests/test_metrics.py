@@ -1,10 +1,13 @@
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from __spark_entry__ import queries
 from ledgerwise import fixed_values as fv
+from ledgerwise.catalog import views
 from ledgerwise.functions import numbers
 from ledgerwise.operators import hypothesis, metrics, selection
 
@@ -186,3 +189,16 @@ def test_calibration_summary(spark):
     row = metrics.calibration_summary(folds).first()
     assert (row.folds_improved, row.folds_worsened, row.n_calibrated_folds) == (1, 1, 3)
     assert row.brier_improvement_mean == pytest.approx(0.0)
+
+
+def test_variance_inflation_of_all_densities(spark):
+    folder = "/root/testdata/sf0.001"
+    names = list(fv.LEXICON_DENSITIES)
+    rows = views.density_rows(spark, folder).select(*names).dropna().collect()
+    values = np.array([tuple(r) for r in rows], float)
+    got = {r.feature: r.vif for r in queries()["variance_inflation_all_a14"](spark, folder).collect()}
+    assert set(got) == set(names)
+    for k, name in enumerate(names):
+        y, x = values[:, k], np.column_stack([np.ones(len(values)), np.delete(values, k, axis=1)])
+        rest = y - x @ np.linalg.lstsq(x, y, rcond=None)[0]
+        assert got[name] == pytest.approx(((y - y.mean()) ** 2).sum() / (rest**2).sum(), rel=1e-5)
