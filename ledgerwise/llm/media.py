@@ -9,6 +9,7 @@ others are embedded media to carve out.
 from __future__ import annotations
 
 import hashlib
+import re
 import struct
 import zlib
 from collections.abc import Callable
@@ -149,12 +150,29 @@ def zip_length(data: bytes, start: int) -> int:
     return 0
 
 
+# An end mark with the place of its cross reference, a table or a stream object.
+_STARTXREF = re.compile(rb"startxref\s+(\d{1,12})\s+%%EOF")
+_XREF = re.compile(rb"xref|\d+\s+\d+\s+obj")
+
+
 def pdf_length(data: bytes, start: int) -> int:
-    """Length of a PDF object: a version, a cross reference and an end mark."""
+    """Length of a PDF object: a version, a cross reference and its last end mark.
+
+    The first end mark counts in any case. A later one counts if its cross reference is where it says,
+    and behind the end before: an update; or before it, if the first mark names none: a linearised file.
+    """
     if not data[start + 5 : start + 6].isdigit():
         return 0
     end = data.find(b"%%EOF", start)
-    return end + 5 - start if end >= 0 and data.find(b"startxref", start, end) >= 0 else 0
+    if end < 0 or data.find(b"startxref", start, end) < 0:
+        return 0
+    first = _STARTXREF.search(data, start, end + 5)
+    linear, last, at = first is not None and int(first[1]) == 0, end + 5, end + 5
+    for mark in _STARTXREF.finditer(data, at):
+        place = start + int(mark[1])
+        if _XREF.match(data, place) and (last <= place < mark.start() or (linear and start < place < last)):
+            last, linear = mark.end(), False
+    return last - start
 
 
 VALIDATORS: dict[str, Callable[[bytes, int], int]] = {
@@ -182,7 +200,7 @@ def _automaton() -> ahocorasick.Automaton:
 def sniff(data: bytes) -> list[tuple[int, int, str]]:
     """Confirmed objects as (start, length, type), in order and without overlap.
 
-    An object inside another one is not reported; carving the outer one keeps it. Where two
+    An object inside another one is not reported, but by `nested`. Where two
     objects begin at the same place, the longer one counts, then the first type by name.
     """
     hits = [
@@ -203,6 +221,60 @@ def sniff(data: bytes) -> list[tuple[int, int, str]]:
     return found
 
 
+def nested(data: bytes) -> list[tuple[int, int, str, int, int]]:
+    """All confirmed objects as (start, length, type, parent, depth), in order, also those inside others.
+
+    `parent` is the place in this list of the smallest object that holds the whole one, -1 for none;
+    `depth` is how many do. Of objects that begin at the same place all count, longer ones first.
+    """
+    hits = {
+        (end + 1 - size - offset, kind)
+        for end, (kind, size, offset) in _automaton().iter(data.decode("latin-1"))
+    }
+    spans = [(start, VALIDATORS[kind](data, start), kind) for start, kind in hits if start >= 0]
+    found, around = [], []
+    for start, length, kind in sorted((s for s in spans if s[1] > 0), key=lambda s: (s[0], -s[1], s[2])):
+        # Those that end before this one begins hold nothing that follows.
+        around = [k for k in around if found[k][0] + found[k][1] > start]
+        holders = [k for k in around if found[k][0] + found[k][1] >= start + length]
+        parent = min(holders, key=lambda k: (found[k][1], -k), default=-1)
+        around.append(len(found))
+        found.append((start, length, kind, parent, len(holders)))
+    return found
+
+
+def _carve_rows(batches):
+    for part in common.slices(batches, "media"):
+        for key, value in zip(part.column("id").to_pylist(), part.column("media").to_pylist()):
+            rows = (
+                {"id": key, "object": k, "start": a, "length": n, "kind": t, "parent": p, "depth": d, "carved": value[a : a + n]}
+                for k, (a, n, t, p, d) in enumerate(nested(value or b""))
+            )
+            # One object at a time, so that copies of a deep nest are not held at once.
+            for row in rows:
+                yield pa.RecordBatch.from_pylist([row], _carved_schema(part.schema.field("id").type))
+
+
+def _carved_schema(key: pa.DataType) -> pa.Schema:
+    longs = [(name, pa.int64()) for name in ("object", "start", "length")]
+    ends = [("kind", pa.string()), ("parent", pa.int64()), ("depth", pa.int64()), ("carved", pa.binary())]
+    return pa.schema([("id", key), *longs, *ends])
+
+
+def carved(df: DataFrame, id_column: str, media_column: str) -> DataFrame:
+    """A row for each confirmed object, nested ones included, with its bytes.
+
+    Columns id, object (its number in its media), start, length, kind, parent, depth and carved. Media
+    that are null or hold no object have no row.
+    """
+    source = df.select(F.col(id_column).alias("id"), F.col(media_column).cast("binary").alias("media"))
+    kind = dict(source.dtypes)["id"]
+    return source.mapInArrow(
+        _carve_rows,
+        f"id {kind}, object long, start long, length long, kind string, parent long, depth long, carved binary",
+    )
+
+
 def _sniff_rows(batches):
     for part in common.slices(batches, "media"):
         types, starts, lengths, kinds = [], [], [], []
@@ -308,7 +380,7 @@ def _read_back(batches):
                     "tail_crc32": zlib.crc32(payload[-BLOCK:]),
                     "media_bytes": len(data),
                     "media_sha256": hashlib.sha256(data).hexdigest(),
-                    "feature": _features(np.frombuffer(payload, np.uint8), len(objects)),
+                    "feature": _features(np.frombuffer(payload, np.uint8), len(objects) + len(nested(payload))),
                     "media_type": row["media_type"],
                     "n_bytes": int(row["declared"].rpartition("=")[2]),
                 }
@@ -331,7 +403,7 @@ def texts_as_media(docs: DataFrame, id_column: str = "doc_id", text_column: str
     A text is its UTF-8 bytes and zero bytes up to a positive multiple of 64. It is stored with a
     wrong declared type, which sniffing has to correct before the samples can be read back. Null
     counts as empty. Equal texts give equal values; ids may be null or repeated, other columns are
-    not read, and no rows give no rows.
+    not read, and no rows give no rows. The feature counts the recording and all objects in its payload.
     """
     source = docs.select(
         F.col(id_column).cast("long").alias("doc_id"), common.text_bytes(text_column).alias("text")

@@ -64,6 +64,36 @@ def test_embedded_objects_and_false_magic():
     assert media.sniff(bytes(broken)) == []
 
 
+def pdf(linear=False):
+    body = b"%PDF-1.4\n1 0 obj <<>> endobj\n"
+    if linear:
+        return body + b"xref\ntrailer\nstartxref\n0\n%%EOF\n2 0 obj <<>> endobj\nstartxref\n" + b"%d\n%%%%EOF" % len(body)
+    return body + b"xref\ntrailer\nstartxref\n" + b"%d\n%%%%EOF" % len(body)
+
+
+def test_a_pdf_ends_at_its_last_mark():
+    update = pdf() + b"\n3 0 obj <<>> endobj\n"
+    update += b"xref\ntrailer\nstartxref\n" + b"%d\n%%%%EOF" % len(update)
+    for whole in (pdf(), pdf(linear=True), update):
+        assert media.pdf_length(whole, 0) == len(whole)
+        assert media.sniff(whole + b"--" + whole) == [(0, len(whole), "application/pdf"), (len(whole) + 2, len(whole), "application/pdf")]
+
+
+def test_nested_objects_are_carved_and_counted(spark):
+    inner = media.wav_of(png() + bmp())
+    data = b"--" + media.wav_of(inner) + pdf()
+    found = media.nested(data)
+    assert [(k, p, d) for _, _, k, p, d in found] == [
+        ("audio/wav", -1, 0), ("audio/wav", 0, 1), ("image/png", 1, 2), ("image/bmp", 1, 2), ("application/pdf", -1, 0),
+    ]
+    df = spark.createDataFrame([(7, data), (8, None), (9, b"none")], "key long, raw binary")
+    rows = sorted(media.carved(df, "key", "raw").collect(), key=lambda r: r.object)
+    assert [(r.id, bytes(r.carved)) for r in rows] == [(7, x) for x in (media.wav_of(inner), inner, png(), bmp(), pdf())]
+    docs = spark.createDataFrame([(1, pdf().decode()), (2, "plain")], "doc_id long, text string")
+    counted = {r.doc_id: r.feature.rpartition("=")[2] for r in media.texts_as_media(docs).collect()}
+    assert counted == {1: "2", 2: "1"}
+
+
 def test_sniffed_rows(spark):
     rows = [(1, png(), "text/plain"), (1, png(), "text/plain"), (None, b"x" + bmp(), None), (3, None, "image/png"), (4, b"", None)]
     df = spark.createDataFrame(rows, "id long, raw binary, type string").withColumn("media", F.lit("clash"))
