@@ -7,7 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerwise.llm import binary_codes, bpe, chat, class_lm, cotraining, language, lines, media, mixing, near_dups
+from ledgerwise.llm import (
+    binary_codes,
+    bpe,
+    chat,
+    class_lm,
+    collocations,
+    cotraining,
+    exact_dups,
+    filter_audit,
+    language,
+    lines,
+    media,
+    mixing,
+    near_dups,
+)
 from ledgerwise.llm.common import crc_remainder, table
 
 Run = Callable[[SparkSession, str], DataFrame]
@@ -255,3 +269,109 @@ def op7(spark: SparkSession, folder: str) -> DataFrame:
 def op2(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     return class_lm.class_scores(docs.withColumn("held_out", crc_remainder(F.col("doc_id"), 7) == 2))
+
+
+OP11_SQL = """
+SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
+  doc_id = max(doc_id) OVER same AS kept, sha256(coalesce(text, '')) AS text_sha256
+FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))
+"""
+
+
+@query("op11_exact_dedup", OP11_SQL)
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    return exact_dups.exact_duplicates(table(spark, folder, "documents"), largest=True)
+
+
+OP12_SQL = f"""
+WITH texts AS (
+  SELECT doc_id, coalesce(text, '') AS t, coalesce(lang, '') AS part,
+    list_filter(string_split_regex(coalesce(text, ''), '{SPACE}'), lambda x: x <> '') AS w FROM documents
+), marks AS (
+  SELECT doc_id, max(quality = 1) AS good, max(toxic = 1) AS toxic FROM labels GROUP BY doc_id
+), fails AS (
+  SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic,
+    (CASE WHEN len(w) < 100 THEN 'A' ELSE '' END)
+    || (CASE WHEN 100 * len(list_distinct(w)) < 80 * len(w) THEN 'B' ELSE '' END)
+    || (CASE WHEN 100 * len(regexp_replace(t, '[^A-Z]', '', 'g')) > 10 * length(t) THEN 'C' ELSE '' END)
+    || (CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 'D' ELSE '' END)
+    || (CASE WHEN doc_id > min(doc_id) OVER (PARTITION BY t) THEN 'E' ELSE '' END) AS failed
+  FROM texts LEFT JOIN marks USING (doc_id)
+), sets AS (
+  SELECT part, failed, good, toxic, count(*) AS n FROM fails GROUP BY ALL
+), letters AS (
+  SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x
+), orders AS (
+  SELECT a.x || b.x || c.x || d.x || e.x AS filter_order
+  FROM letters a, letters b, letters c, letters d, letters e
+  WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5
+), steps AS (
+  SELECT filter_order, step, substr(filter_order, step, 1) AS own, substr(filter_order, 1, step - 1) AS before
+  FROM orders, (SELECT unnest([1, 2, 3, 4, 5]) AS step)
+), judged AS (
+  SELECT part, filter_order, step, own, n, good, toxic, contains(failed, own) AS fails, failed = own AS only_this,
+    failed <> '' AND before <> '' AND len(list_intersect(string_split(failed, ''), string_split(before, ''))) > 0 AS gone
+  FROM sets, steps
+), totals AS (
+  SELECT part, filter_order, CAST(step AS INTEGER) AS step, own,
+    CAST(coalesce(sum(n) FILTER (NOT gone AND NOT fails), 0) AS BIGINT) AS kept,
+    CAST(coalesce(sum(n) FILTER (NOT gone AND fails), 0) AS BIGINT) AS removed,
+    CAST(coalesce(sum(n) FILTER (gone AND fails), 0) AS BIGINT) AS redundant,
+    CAST(coalesce(sum(n) FILTER (only_this), 0) AS BIGINT) AS unique_fails,
+    CAST(coalesce(sum(n) FILTER (NOT gone AND fails AND good), 0) AS BIGINT) AS good_lost,
+    CAST(coalesce(sum(n) FILTER (NOT gone AND fails AND toxic), 0) AS BIGINT) AS toxic_lost
+  FROM judged GROUP BY ALL
+)
+SELECT * EXCLUDE (own), CAST(sum(removed) OVER (PARTITION BY part, own) AS BIGINT) AS shapley FROM totals
+"""
+
+
+@query("op12_filter_audit", OP12_SQL)
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    return filter_audit.filter_audit(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+OP13_SQL = f"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex({LOWER}, '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents
+), split AS (
+  SELECT lang, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda x: x <> '') AS w FROM pieces
+), runs AS (
+  SELECT lang, 1 AS k, unnest(w) AS phrase FROM split
+  UNION ALL
+  SELECT lang, 2, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) FROM split
+  UNION ALL
+  SELECT lang, 3, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]))
+  FROM split
+), f AS (
+  SELECT lang, k, phrase, count(*) AS f FROM runs GROUP BY ALL
+), cuts AS (
+  SELECT c.lang, c.k AS size, c.phrase, c.f AS a, cut, array_to_string(string_split(c.phrase, ' ')[1:cut], ' ') AS head,
+    array_to_string(string_split(c.phrase, ' ')[cut + 1:], ' ') AS tail
+  FROM f c, (SELECT unnest([1, 2]) AS cut) WHERE c.k > 1 AND cut < c.k AND c.f >= 10
+), scores AS (
+  SELECT cuts.*, x.f AS l, y.f AS r,
+    CAST((1000000::HUGEINT * a * a) // (x.f::HUGEINT * y.f) AS BIGINT) AS score
+  FROM cuts JOIN f x ON x.lang = cuts.lang AND x.k = cut AND x.phrase = head
+    JOIN f y ON y.lang = cuts.lang AND y.k = size - cut AND y.phrase = tail
+), worst AS (
+  SELECT * FROM scores QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1
+), longer AS (
+  SELECT lang, part, max(f) AS f FROM (
+    SELECT lang, f, array_to_string(string_split(phrase, ' ')[s:s + 1], ' ') AS part
+    FROM f, (SELECT unnest([1, 2]) AS s) WHERE k = 3 AND f >= 10) GROUP BY ALL
+), sizes AS (
+  SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM f WHERE k = 1 GROUP BY lang
+), best AS (
+  SELECT worst.*, row_number() OVER (PARTITION BY worst.lang ORDER BY score DESC, a DESC, phrase) AS rank
+  FROM worst LEFT JOIN longer ON longer.lang = worst.lang AND part = phrase
+  WHERE size = 3 OR longer.f IS NULL OR 100 * longer.f < 50 * a
+)
+SELECT lang, rank, phrase, a, l, r, n, score FROM best JOIN sizes USING (lang) WHERE rank <= 2000
+"""
+
+
+@query("op13_collocations", OP13_SQL)
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    return collocations.collocations(table(spark, folder, "documents"))

@@ -28,7 +28,7 @@ def rows(spark, number):
 
 
 def test_every_operator_has_one_query():
-    assert sorted(BY_NUMBER) == list(range(1, 11)) and len(QUERIES) == 10
+    assert sorted(BY_NUMBER) == list(range(1, 14)) and len(QUERIES) == 13
 
 
 @pytest.mark.parametrize("name", sorted(QUERY_SQL))
