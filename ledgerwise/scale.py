@@ -290,7 +290,11 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def written(
-    df: DataFrame, name: str, partition_by: str | None = None, row_id: str | None = None
+    df: DataFrame,
+    name: str,
+    partition_by: str | None = None,
+    row_id: str | None = None,
+    compression: str = "snappy",
 ) -> DataFrame:
     """Write a table to the shared folder and read it back.
 
@@ -301,16 +305,21 @@ def written(
     path = f"{shared_folder(df.sparkSession)}/tables/{name}-{uuid.uuid4().hex}"
     if partition_by:
         part = F.pmod(F.xxhash64(row_id), F.lit(PARTS))
-        df.repartition(F.col(partition_by), part).write.partitionBy(partition_by).parquet(path)
+        df.repartition(F.col(partition_by), part).write.partitionBy(partition_by).parquet(path, compression=compression)
     else:
-        df.write.parquet(path)
+        df.write.parquet(path, compression=compression)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the shared folder, which survives lost executors."""
-    spark = df.sparkSession
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The shared folder, known to Spark as the place of reliable checkpoints."""
     folder = shared_folder(spark)
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(folder)
+    return folder
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint in the shared folder, which survives lost executors."""
+    checkpoint_folder(df.sparkSession)
     return df.checkpoint(eager=True)
