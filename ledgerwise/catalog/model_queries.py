@@ -11,7 +11,7 @@ from ledgerwise.catalog.join_queries import KEYED_SQL
 from ledgerwise.catalog.registry import query
 from ledgerwise.catalog.text_queries import features_sql
 from ledgerwise.functions import dates, keys
-from ledgerwise.operators import features, hypothesis, metrics, models, selection
+from ledgerwise.operators import boosting, features, hypothesis, metrics, models, search, selection
 from ledgerwise.plans import audits, data_stages
 from ledgerwise.scale import cut_lineage, spread
 
@@ -39,11 +39,36 @@ def _(spark, sf):
     )
 
 
+# Test years with enough positives and earlier rows of both classes, as every walk-forward run has them.
+USABLE_SQL = f"""y AS (SELECT filing_year, count(*) AS n, sum(fraudulent) AS pos FROM labeled_texts GROUP BY filing_year),
+           t AS (SELECT filing_year, pos, CAST(sum(n) OVER w AS BIGINT) AS train_n, sum(pos) OVER w AS train_pos FROM y
+                 WINDOW w AS (ORDER BY filing_year ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+           usable AS (SELECT * FROM t WHERE pos >= {MIN_POSITIVES} AND train_pos > 0 AND train_pos < train_n)"""
+SCORED_ROWS_SQL = f"""WITH {USABLE_SQL}
+           SELECT seq AS row_id, filing_year AS test_year, fraudulent AS true_label, train_n, true AS has_score
+           FROM labeled_texts JOIN usable USING (filing_year)"""
+
+
+def scored_rows(predictions):
+    """What SQL can know of predictions: which rows they are for, and that each has a probability."""
+    return predictions.select(
+        "row_id", "test_year", "true_label", "train_n",
+        C("predicted_probability").between(0.0, 1.0).alias("has_score"),
+    )
+
+
+def boosted(spark, sf):
+    return models.walk_forward(table(spark, sf), models.boosted_trees(TEXT_FEATURES), MIN_POSITIVES)
+
+
 @query("boosted_trees_l4")
 def _(spark, sf):
-    rows = table(spark, sf)
-    model = models.fit_full(rows, models.boosted_trees(TEXT_FEATURES))
-    return model.transform(rows).select("row_id", "label", "prediction")
+    return boosted(spark, sf)
+
+
+@query("boosted_tree_rows_l4", views="labeled_texts", sql=SCORED_ROWS_SQL)
+def _(spark, sf):
+    return scored_rows(boosted(spark, sf))
 
 
 @query("walk_forward_predictions_l6")
@@ -121,11 +146,35 @@ def _(spark, sf):
     return metrics.compare_calibration(predictions, "raw_probability", metrics.SCORE)
 
 
+def logistic_search(spark, sf):
+    return search.search(
+        table(spark, sf), TEXT_FEATURES, search.LOGISTIC_SPACE, search.logistic_models, TRIALS, MIN_POSITIVES
+    )
+
+
 @query("parameter_search_l11")
 def _(spark, sf):
-    sets = [models.sample_logistic_parameters(i) for i in range(TRIALS)]
-    return models.search(
-        table(spark, sf), lambda p: models.logistic(TEXT_FEATURES, **p), sets, MIN_POSITIVES
+    return logistic_search(spark, sf)
+
+
+@query(
+    "search_trials_l11",
+    views="labeled_texts",
+    sql=f"""WITH {USABLE_SQL}
+            SELECT CAST(range AS INTEGER) AS number, CAST((SELECT count(*) FROM usable) AS INTEGER) AS folds,
+                   true AS metrics_in_range, true AS parameters_in_range
+            FROM range({TRIALS})""",
+)
+def _(spark, sf):
+    parameters = F.from_json("parameters", "c double, balanced boolean, max_iter int")
+    return logistic_search(spark, sf).withColumn("p", parameters).select(
+        "number", "folds",
+        (C("prauc").between(0, 1) & C("recall5").between(0, 1) & C("roc_auc").between(0, 1) & (C("skill") < 1)).alias(
+            "metrics_in_range"
+        ),
+        (C("p.c").between(1e-4, 100) & C("p.balanced").isNotNull() & C("p.max_iter").between(500, 3000)).alias(
+            "parameters_in_range"
+        ),
     )
 
 
@@ -138,9 +187,11 @@ def _(spark, sf):
 
 @query("tree_importances_l13")
 def _(spark, sf):
-    rows = table(spark, sf)
-    model = models.fit_full(rows, models.boosted_trees(TEXT_FEATURES))
-    return models.feature_importances(model, TEXT_FEATURES)
+    model = models.fit_full(table(spark, sf), models.boosted_trees(TEXT_FEATURES))
+    gain, cover, splits = (
+        models.feature_importances(model, kind).withColumnRenamed("importance", kind) for kind in ("gain", "cover", "weight")
+    )
+    return gain.join(cover, "feature").join(splits, "feature").orderBy(F.desc("gain"), "feature")
 
 
 @query("linear_contributions_l14")
@@ -151,6 +202,13 @@ def _(spark, sf):
     return selection.mean_absolute_importance(contributions, TEXT_FEATURES)
 
 
+@query("tree_contributions_l14")
+def _(spark, sf):
+    rows = table(spark, sf)
+    model = models.fit_full(rows, models.boosted_trees(TEXT_FEATURES))
+    return selection.mean_absolute_importance(boosting.tree_contributions(rows, model), TEXT_FEATURES)
+
+
 @query("permutation_importances_l14")
 def _(spark, sf):
     rows = table(spark, sf)

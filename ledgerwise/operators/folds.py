@@ -168,6 +168,18 @@ def split_position(rows: int, holdout_fraction: float = fv.CALIBRATION_HOLDOUT)
     return min(max(1, math.ceil(rows * (1 - holdout_fraction))), rows - 1)
 
 
+def late_start(years: list[tuple[int, int]], holdout_fraction: float = fv.CALIBRATION_HOLDOUT) -> int:
+    """First year that calibrates, from (year, rows) in order of years; as `calibration_start_year`."""
+    position, upto = split_position(sum(n for _, n in years), holdout_fraction), 0
+    for year, n in years:
+        upto += n
+        if upto > position:
+            break
+    if len(years) < 2 or year <= years[0][0]:
+        raise ValueError("too few training years to set some aside for calibration")
+    return year
+
+
 def temporal_audit(
     df: DataFrame,
     stored_year: str = "filing_year",

@@ -1,4 +1,4 @@
-"""Walk-forward models on Spark ML.
+"""Walk-forward models: linear ones of Spark ML, and boosted trees that grow for all folds in step.
 
 The driver loops over folds, which are calendar years; fitting and scoring of each fold
 are Spark jobs. The feature table is written once before the loop, so folds do not repeat
@@ -7,8 +7,6 @@ the text work and lost executors do not restart it.
 
 from __future__ import annotations
 
-import math
-import random
 from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
@@ -16,17 +14,17 @@ from multiprocessing.pool import ThreadPool
 
 from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier, LogisticRegression
+from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerwise import fixed_values as fv
 from ledgerwise.functions import keys
 from ledgerwise.functions.numbers import differing_keys
-from ledgerwise.operators import contracts, folds, metrics
+from ledgerwise.operators import boosting, contracts, folds, metrics
+from ledgerwise.operators import calibration as calibration_maps
 from ledgerwise.scale import cut_lineage, running_totals, union_all, written
 
 YEAR, ROW, LABEL = "filing_year", "row_id", "label"
@@ -85,53 +83,21 @@ def logistic(
     return Estimator(tuple(features), build, balanced_weights if balanced else None)
 
 
-# Defaults of the boosted trees.
-TREE_DEFAULTS = {
-    "n_estimators": 400,
-    "learning_rate": 0.05,
-    "max_depth": 6,
-    "min_child_weight": 5,
-    "subsample": 0.80,
-    "colsample_bytree": 0.80,
-    "scale_pos_weight": 1.0,
-}
-
-
-# Parameters that are shares of rows or columns; all others only have to be positive.
-SHARES = {"subsample", "colsample_bytree"}
-
-
-def validate_parameters(parameters: dict) -> dict:
-    """Check every tree parameter against its range, and name all that lie outside."""
-    highest = {name: 1.0 if name in SHARES else math.inf for name in TREE_DEFAULTS}
-    outside = [f"{n} = {parameters[n]}" for n, top in highest.items() if not 0 < parameters[n] <= top]
-    if outside:
-        raise ValueError("tree parameters out of range: " + ", ".join(outside))
-    return parameters
-
+@dataclass(frozen=True)
+class Boosted:
+    """Second-order boosted trees with the given parameters (`boosting.TREE_DEFAULTS` for the others)."""
 
-def boosted_trees(features, seed: int = 42, **overrides) -> Estimator:
-    """Gradient-boosted trees. Trees of Spark ML, so scores are not those of other engines."""
-    p = validate_parameters({**TREE_DEFAULTS, **overrides})
-    positive_weight = float(p["scale_pos_weight"])
+    features: tuple[str, ...]
+    parameters: dict
+    seed: int = 42
 
-    def build(rows: int) -> Pipeline:
-        share = p["colsample_bytree"]
-        model = GBTClassifier(
-            featuresCol="raw_features", labelCol=LABEL, maxIter=int(p["n_estimators"]),
-            maxDepth=int(p["max_depth"]), stepSize=float(p["learning_rate"]),
-            subsamplingRate=float(p["subsample"]),
-            featureSubsetStrategy="all" if share == 1 else str(share),
-            minInstancesPerNode=max(1, int(p["min_child_weight"])), seed=seed,
-        )
-        if positive_weight != 1.0:
-            model = model.setWeightCol("weight")
-        return Pipeline(stages=[_assembler(features), model])
+    def fits(self, befores: list[int | None]) -> list[boosting.Fit]:
+        return [boosting.Fit(before, self.parameters, self.seed) for before in befores]
 
-    def weigh(df: DataFrame) -> DataFrame:
-        return df.withColumn("weight", F.when(F.col(LABEL) == 1, positive_weight).otherwise(1.0))
 
-    return Estimator(tuple(features), build, None if positive_weight == 1.0 else weigh)
+def boosted_trees(features, seed: int = 42, **overrides) -> Boosted:
+    boosting.validate_parameters({**boosting.TREE_DEFAULTS, **overrides})
+    return Boosted(tuple(features), overrides, seed)
 
 
 def balanced_weights(df: DataFrame, label: str = LABEL) -> DataFrame:
@@ -158,18 +124,29 @@ def prior_predictions(
     return rows.join(F.broadcast(fold_table), "test_year")
 
 
-def _fit(estimator: Estimator, train: DataFrame) -> PipelineModel:
+def _fit(estimator: Estimator | Boosted, train: DataFrame) -> PipelineModel | boosting.Booster:
+    if isinstance(estimator, Boosted):
+        return boosting.fit_boosters(train, estimator.features, estimator.fits([None]))[0]
     weighted = estimator.weigh(train) if estimator.weigh else train
     return estimator.build(train.count()).fit(weighted)
 
 
-def _score(model: PipelineModel, df: DataFrame) -> DataFrame:
+def _score(model: PipelineModel | boosting.Booster, df: DataFrame) -> DataFrame:
     """(row_id, filing_year, label, score) with the probability of the positive class."""
+    if isinstance(model, boosting.Booster):
+        return boosting.scored(df, model)
     return model.transform(df).select(
         ROW, YEAR, LABEL, vector_to_array("probability")[1].alias("score")
     )
 
 
+def _margin(model: PipelineModel, df: DataFrame) -> DataFrame:
+    """(row_id, filing_year, label, score) with the log-odds of a linear model."""
+    return model.transform(df).select(
+        ROW, YEAR, LABEL, vector_to_array("rawPrediction")[1].alias("score")
+    )
+
+
 def has_both_classes(df: DataFrame, label: str = LABEL) -> bool:
     row = df.agg(F.min(label).alias("low"), F.max(label).alias("high")).first()
     return row.low is not None and row.low != row.high
@@ -192,10 +169,7 @@ def fit_mapper(scores: DataFrame, method: str) -> Scorer:
             *df.columns, vector_to_array("probability")[1].alias("calibrated")
         )
     if method == "isotonic":
-        model = IsotonicRegression(
-            featuresCol="score_vector", labelCol=LABEL, weightCol="w", predictionCol="calibrated"
-        ).fit(vectorize.transform(merged))
-        return lambda df: model.transform(vectorize.transform(df)).select(*df.columns, "calibrated")
+        return calibration_maps.isotonic_map(calibration_maps.score_counts(scores, LABEL))
     raise ValueError(f"no such way to map scores: {method}")
 
 
@@ -210,9 +184,12 @@ def fit_scorer(
     """Fit on a training table and return a function that adds a `score` column.
 
     calibration: None, 'chronological_holdout' (map from the latest years, then refit on
-    everything) or 'cross_validation' (mean over k calibrated models). Without both
+    everything) or 'cross_validation' (mean over k models, each with a map of its margins on the
+    fold it has not seen, with smoothed targets). Without both
     classes where they are needed, scores stay uncalibrated.
     """
+    if isinstance(estimator, Boosted):
+        return boosted_scorers(estimator, train, [None], calibration, method, holdout_fraction)[0]
     if calibration is None:
         model = _fit(estimator, train)
         return lambda df: _score(model, df)
@@ -228,6 +205,44 @@ def fit_scorer(
     raise ValueError(f"no such calibration: {calibration}")
 
 
+def boosted_scorers(
+    estimator: Boosted,
+    table: DataFrame,
+    befores: list[int | None],
+    calibration: str | None = None,
+    method: str = "sigmoid",
+    holdout_fraction: float = fv.CALIBRATION_HOLDOUT,
+) -> list[Scorer]:
+    """As `fit_scorer` on the rows of years before each of `befores` (all rows, if None).
+
+    All models grow together, also those that are only fitted to make calibration maps.
+    """
+    if calibration not in (None, "chronological_holdout"):
+        raise ValueError(f"boosted trees have no such calibration: {calibration}")
+    # One row per calendar year.
+    years = sorted(folds.year_table(table, YEAR, LABEL).collect(), key=lambda r: r.year)
+    starts: dict[int | None, int] = {}
+    for before in befores if calibration else []:
+        own = [r for r in years if before is None or r.year < before]
+        start = folds.late_start([(r.year, r.rows) for r in own], holdout_fraction)
+        parts = [r for r in own if r.year < start], [r for r in own if r.year >= start]
+        if all(0 < sum(r.positives for r in part) < sum(r.rows for r in part) for part in parts):
+            starts[before] = start
+    wanted = list(dict.fromkeys([*befores, *starts.values()]))
+    boosters = dict(zip(wanted, boosting.fit_boosters(table, estimator.features, estimator.fits(wanted))))
+
+    def scorer(before: int | None) -> Scorer:
+        booster = boosters[before]
+        if before not in starts:
+            return lambda df: boosting.scored(df, booster)
+        late = table.where(F.col(YEAR) >= starts[before])
+        late = late if before is None else late.where(F.col(YEAR) < before)
+        mapper = fit_mapper(boosting.scored(late, boosters[starts[before]]), method)
+        return lambda df: _calibrated(mapper(boosting.scored(df, booster)))
+
+    return _at_once(table.sparkSession, scorer, befores, 4)
+
+
 def _calibrated(df: DataFrame) -> DataFrame:
     return df.withColumn("score", F.col("calibrated")).drop("calibrated")
 
@@ -268,13 +283,14 @@ def _cross_validated(estimator: Estimator, train: DataFrame, method: str, cv: in
 
     def fit_part(fold: int):
         model = _fit(estimator, dealt.where(F.col("fold") != fold).drop("fold"))
-        held_out = dealt.where(F.col("fold") == fold).drop("fold")
-        return model, fit_mapper(_score(model, held_out), method)
+        counts = calibration_maps.score_counts(_margin(model, dealt.where(F.col("fold") == fold)), LABEL)
+        kinds = {"sigmoid": calibration_maps.sigmoid_map, "isotonic": calibration_maps.isotonic_map}
+        return model, kinds[method](counts)
 
     parts = _at_once(train.sparkSession, fit_part, list(range(k)), k)
 
     def score(df: DataFrame) -> DataFrame:
-        all_models = union_all([mapper(_score(model, df)) for model, mapper in parts])
+        all_models = union_all([mapper(_margin(model, df)) for model, mapper in parts])
         return all_models.groupBy(ROW, YEAR, LABEL).agg(F.avg("calibrated").alias("score"))
 
     return score
@@ -305,25 +321,36 @@ def walk_forward(
     With `raw_reference`, an uncalibrated model is fitted too and its score is kept in
     `raw_probability`. Folds whose training years have one class are skipped.
     """
-    fold_table = folds.walk_forward_folds(table, YEAR, LABEL, min_positives).orderBy("test_year")
-
-    def fit_fold(fold) -> DataFrame | None:
+    # One row per calendar year.
+    years = sorted(r[YEAR] for r in table.select(YEAR).distinct().collect())
+    usable = [
+        fold
+        for fold in folds.walk_forward_folds(table, YEAR, LABEL, min_positives).orderBy("test_year").collect()
+        if 0 < fold.train_positives < fold.train_n and sum(y < fold.test_year for y in years) >= min_train_years
+    ]
+
+    def fit_fold(fold) -> tuple[Scorer, ...]:
         train = table.where(F.col(YEAR) < fold.test_year)
-        if not 0 < fold.train_positives < fold.train_n:
-            return None
-        if min_train_years > 1:
-            if train.select(YEAR).distinct().limit(min_train_years).count() < min_train_years:
-                return None
+        raw = (fit_scorer(estimator, train),) if raw_reference else ()
+        return fit_scorer(estimator, train, **calibration), *raw
+
+    if isinstance(estimator, Boosted):
+        befores = [fold.test_year for fold in usable]
+        kinds = [boosted_scorers(estimator, table, befores, **calibration)] if usable else []
+        if raw_reference and usable:
+            kinds.append(boosted_scorers(estimator, table, befores))
+        fitted = list(zip(*kinds))
+    else:
+        # Folds are independent, so several are fitted at a time.
+        fitted = _at_once(table.sparkSession, fit_fold, usable, parallelism)
+    fragments = []
+    for fold, (scorer, *raw) in zip(usable, fitted):
         test = table.where(F.col(YEAR) == fold.test_year)
-        scored = fit_scorer(estimator, train, **calibration)(test)
-        if raw_reference:
-            raw = fit_scorer(estimator, train)(test).select(ROW, F.col("score").alias("raw_probability"))
-            scored = scored.join(raw, ROW)
-        return scored.withColumn("train_n", F.lit(fold.train_n))
-
-    # One row per calendar year. Folds are independent, so several are fitted at a time.
-    found = _at_once(table.sparkSession, fit_fold, fold_table.collect(), parallelism)
-    fragments = [scored for scored in found if scored is not None]
+        scored = scorer(test)
+        if raw:
+            plain = raw[0](test).select(ROW, F.col("score").alias("raw_probability"))
+            scored = scored.join(plain, ROW)
+        fragments.append(scored.withColumn("train_n", F.lit(fold.train_n)))
     if not fragments:
         raise ValueError("no fold has enough positives and earlier rows")
     predictions = metrics.combine_predictions(fragments).select(
@@ -346,62 +373,7 @@ def evaluated_folds(predictions: DataFrame) -> DataFrame:
     return rows.join(F.broadcast(raw.select(metrics.YEAR, "raw_brier_score")), metrics.YEAR)
 
 
-def sample_parameters(trial: int, seed: int = 42) -> dict:
-    """Seeded draw of tree parameters; rates are log-uniform."""
-    draw = random.Random(f"{seed}:{trial}")
-    low, high = 0.005, 0.20
-    return {
-        "n_estimators": draw.randrange(200, 1201, 50),
-        "learning_rate": low * (high / low) ** draw.random(),
-        "max_depth": draw.randint(3, 8),
-        "min_child_weight": draw.uniform(1.0, 20.0),
-        "subsample": draw.uniform(0.6, 1.0),
-        "colsample_bytree": draw.uniform(0.6, 1.0),
-    }
-
-
-def sample_logistic_parameters(trial: int, seed: int = 42) -> dict:
-    draw = random.Random(f"{seed}:{trial}")
-    low, high = 1e-4, 100.0
-    return {
-        "c": low * (high / low) ** draw.random(),
-        "balanced": draw.choice([False, True]),
-        "max_iter": draw.randrange(500, 3001, 250),
-    }
-
-
-def search(
-    table: DataFrame,
-    build: Callable[[dict], Estimator],
-    parameter_sets: list[dict],
-    min_positives: int = fv.MIN_POSITIVES_PER_FOLD,
-) -> DataFrame:
-    """One row per trial with the mean fold metrics; `value` is the mean PR-AUC.
-
-    Trials run uncalibrated: calibration does not change a ranking metric.
-    """
-    rows = []
-    for number, parameters in enumerate(parameter_sets):
-        summary = metrics.metric_summary(
-            metrics.fold_metrics(walk_forward(table, build(parameters), min_positives))
-        )
-        means = {r.metric: r["mean"] for r in summary.collect()}  # 13 rows
-        rows.append(
-            (
-                number, means["pr_auc"], means["recall_at_5_percent"], means["pr_auc"],
-                means["brier_skill_score"], means["roc_auc"], str(sorted(parameters.items())),
-            )
-        )
-    schema = (
-        "number int, value double, recall5 double, prauc double, skill double, "
-        "roc_auc double, parameters string"
-    )
-    return table.sparkSession.createDataFrame(rows, schema).orderBy(
-        F.desc_nulls_last("value"), "number"
-    )
-
-
-def fit_full(table: DataFrame, estimator: Estimator) -> PipelineModel:
+def fit_full(table: DataFrame, estimator: Estimator | Boosted) -> PipelineModel | boosting.Booster:
     """A fresh model on all development rows. It holds no calibration map."""
     return _fit(estimator, table)
 
@@ -410,11 +382,10 @@ def save_model(model: PipelineModel, path: str) -> None:
     model.write().save(path)
 
 
-def feature_importances(model: PipelineModel, features) -> DataFrame:
-    """Gain-based importance of every feature of a fitted tree model, largest first."""
-    values = model.stages[-1].featureImportances.toArray()
-    rows = [(name, float(value)) for name, value in zip(features, values)]
+def feature_importances(model: boosting.Booster, kind: str = "gain") -> DataFrame:
+    """Importance of every feature of fitted trees, largest first: 'gain', 'cover' or 'weight'."""
     spark = SparkSession.getActiveSession()
+    rows = boosting.importances(model, kind)
     return spark.createDataFrame(rows, "feature string, importance double").orderBy(
         F.desc("importance"), "feature"
     )
@@ -452,7 +423,7 @@ def _partners(df: DataFrame, features, seed: int) -> DataFrame:
 
 
 def permutation_importances(
-    df: DataFrame, model: PipelineModel, features, seed: int = 42
+    df: DataFrame, model: PipelineModel | boosting.Booster, features, seed: int = 42
 ) -> DataFrame:
     """Rise of the Brier score when one feature takes the values of other rows.
 
@@ -460,11 +431,11 @@ def permutation_importances(
     """
     features = list(features)
     paired = cut_lineage(df.join(_partners(df, features, seed), ROW))
-    gap = F.pow(vector_to_array("probability")[1] - F.col(LABEL), F.lit(2))
+    gap = F.pow(F.col("score") - F.col(LABEL), F.lit(2))
 
     def brier(changed: str | None) -> float:
         rows = paired if changed is None else paired.withColumn(changed, F.col(f"{changed}__other"))
-        return model.transform(rows).agg(F.avg(gap)).first()[0]
+        return _score(model, rows).agg(F.avg(gap)).first()[0]
 
     scores = _at_once(df.sparkSession, brier, [None, *features], 4)
     rows = [(f, float(score - scores[0])) for f, score in zip(features, scores[1:])]

@@ -207,17 +207,6 @@ def test_single_class_falls_back(spark):
     assert scorer(df).count() == 30
 
 
-def test_trees_and_importances(table):
-    with pytest.raises(ValueError, match="subsample"):
-        models.boosted_trees(["a"], subsample=0)
-    with pytest.raises(ValueError, match="learning_rate"):
-        models.boosted_trees(["a"], learning_rate=0)
-    model = models.fit_full(table, models.boosted_trees(["a", "b"], n_estimators=3, max_depth=2, scale_pos_weight=2.0))
-    assert models.feature_importances(model, ["a", "b"]).first().feature == "a"
-    permuted = {r.feature: r.importance for r in models.permutation_importances(table, model, ["a", "b"]).collect()}
-    assert permuted["a"] > 0.01 and permuted["a"] > permuted["b"]
-
-
 def test_partners_are_a_permutation(table):
     pairs = models._partners(table, ["a"], 1).join(table.select("row_id", "a"), "row_id").collect()
     assert len(pairs) == table.count()
@@ -237,11 +226,7 @@ def test_linear_contributions_sum_to_the_margin(table):
     assert gap.agg(F.max("g")).first()[0] < 1e-9
 
 
-def test_search_and_holdout(table):
-    sets = [models.sample_logistic_parameters(i) for i in range(2)]
-    assert sets == [models.sample_logistic_parameters(i) for i in range(2)]
-    trials = models.search(table, lambda p: models.logistic(["a"], **p), sets, min_positives=5).collect()
-    assert len(trials) == 2 and trials[0].value >= trials[1].value
+def test_holdout(table):
     predictions, summary = models.score_holdout(
         table.where("filing_year < 2004"), table.where("filing_year >= 2004"), models.logistic(["a", "b"]), (2004, 2005)
     )
