@@ -28,14 +28,26 @@ def _folder(spark, name: str) -> str:
     sql="SELECT cik, filing_type, filing_date, reporting_date, fye FROM filings",
 )
 def _(spark, sf):
-    # One JSON array per line: a file of many array-rooted chunks.
+    # One array a file, of as many records as a task has.
     path = _folder(spark, "json-array")
-    chunks = v.filings(spark, sf).select(
-        F.concat(F.lit("["), F.to_json(F.struct("cik", "filing_type", "filing_date", "reporting_date", "fye")), F.lit("]")).alias("value")
+    rows = v.filings(spark, sf).select(
+        F.to_json(F.struct("cik", "filing_type", "filing_date", "reporting_date", "fye")).alias("value")
     )
-    chunks.write.text(path)
+
+    def as_array(batches):
+        import pandas as pd
+
+        first = True
+        for batch in batches:
+            lead = pd.Series(", ", index=batch.index)
+            lead.iloc[:1] = "[" if first else ", "
+            yield pd.DataFrame({"value": lead + batch["value"]})
+            first = False
+        yield pd.DataFrame({"value": ["[]" if first else "]"]})
+
+    rows.mapInPandas(as_array, "value string").write.text(path)
     schema = schemas.all_strings(("cik", "filing_type", "filing_date", "reporting_date", "fye"))
-    return readers.read_json_records(spark, path, schema, lines=True)
+    return readers.read_json_records(spark, path, schema)
 
 
 _ENFORCEMENT_FIELDS = ("id", "cik", "fraud_start", "fraud_end", "certainty_start", "certainty_end")
@@ -44,7 +56,8 @@ _ENFORCEMENT_FIELDS = ("id", "cik", "fraud_start", "fraud_end", "certainty_start
 @query(
     "delimited_source_s2",
     views="period_source",
-    sql="""SELECT CAST(seq AS VARCHAR) AS id, cik, fraud_start, fraud_end, nullif(certainty_start, '') AS certainty_start, certainty_end
+    sql="""SELECT CAST(seq AS VARCHAR) AS id, cik, fraud_start, fraud_end, nullif(certainty_start, '') AS certainty_start, certainty_end,
+           'order "' || seq || '";' || chr(10) || 'next line' AS respondents
            FROM period_source""",
 )
 def _(spark, sf):
@@ -52,6 +65,8 @@ def _(spark, sf):
     columns = [
         C("seq").cast("string") if name == "id"
         else C(name) if name in _ENFORCEMENT_FIELDS
+        # A quoted field with quotes, a separator and a line end.
+        else F.format_string('"order ""%d"";\nnext line"', "seq") if name == "respondents"
         else F.lit("")
         for name in fv.ENFORCEMENT_COLUMNS
     ]
@@ -65,7 +80,7 @@ def _(spark, sf):
         yield from batches
 
     lines.mapInPandas(with_preamble, "value string").write.text(path)
-    return readers.read_delimited(spark, path).select(*_ENFORCEMENT_FIELDS)
+    return readers.read_delimited(spark, path).select(*_ENFORCEMENT_FIELDS, "respondents")
 
 
 @query(

@@ -8,18 +8,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerwise.scale import attach_unique
+from ledgerwise.sources import records
 from ledgerwise.sources.schemas import ENFORCEMENT, LEXICON
 
 
 def read_json_records(
     spark: SparkSession, path: str, schema: T.StructType, lines: bool = False
 ) -> DataFrame:
-    """Records of JSON arrays, or of JSON lines.
-
-    An array file cannot be split; at scale keep it as JSON lines or as many files.
-    """
-    return spark.read.schema(schema).option("multiLine", not lines).json(path)
+    """Records of JSON arrays, or of JSON lines. An array of any size is read by many tasks."""
+    if lines:
+        return spark.read.schema(schema).json(path)
+    return records.read_json_arrays(spark, path, schema)
 
 
 def read_delimited(
@@ -31,29 +30,17 @@ def read_delimited(
 ) -> DataFrame:
     """All-string delimited text without header, less the first lines of every file.
 
-    Files stay splittable. Lines of a file's first split carry consecutive ids, so the
-    line number is the distance to the smallest id of that file. A field past the last
-    column appears in `_overflow`, an empty field is NULL. Quoted line breaks are not
-    supported.
+    Files stay splittable, also where quoted fields hold line ends. `seq` is unique and grows along each
+    file. A field past the last column appears in `_overflow`, an empty field is NULL.
     """
-    lines = spark.read.text(path).select(
-        F.col("value"),
-        F.col("_metadata.file_path").alias("_file"),
-        F.col("_metadata.file_block_start").alias("_block"),
-        F.monotonically_increasing_id().alias("_id"),
-    )
-    starts = lines.where("_block = 0").groupBy("_file").agg(F.min("_id").alias("_first"))
-    body = attach_unique(lines, starts, ["_file"], "_id").where(
-        (F.col("_block") > 0) | (F.col("_id") - F.col("_first") >= skip_lines)
-    )
+    body = records.quoted_lines(spark, path, separator, skip_lines)
     wide = T.StructType([*schema.fields, T.StructField("_overflow", T.StringType())])
-    parsed = F.from_csv("value", _ddl(wide), {"sep": separator, "mode": "PERMISSIVE"})
+    options = {"sep": separator, "mode": "PERMISSIVE", "escape": '"'}
+    parsed = F.from_csv("record", _ddl(wide), options)
     # A blank extra field parses to NULL, so lines without quotes are counted as well.
-    fields = F.size(F.split("value", F.lit(re.escape(separator)), -1))
-    blank_extra = ~F.col("value").contains('"') & (fields > len(schema.fields))
-    rows = body.where(F.length("value") > 0).select(
-        F.col("_id").alias("seq"), parsed.alias("r"), blank_extra.alias("_blank")
-    )
+    fields = F.size(F.split("record", F.lit(re.escape(separator)), -1))
+    blank_extra = ~F.col("record").contains('"') & (fields > len(schema.fields))
+    rows = body.where(F.length("record") > 0).select("seq", parsed.alias("r"), blank_extra.alias("_blank"))
     return rows.select("seq", "r.*", "_blank").withColumn(
         "_overflow", F.coalesce("_overflow", F.when(F.col("_blank"), F.lit("")))
     ).drop("_blank")
