@@ -85,6 +85,19 @@ def write_markdown(lines: DataFrame, path: str) -> None:
     lines.orderBy("line_no").select("value").coalesce(1).write.mode("errorifexists").text(path)
 
 
+def exclusive_marker(spark: SparkSession, path: str, content: dict) -> None:
+    """Create a small file that must not exist: of two drivers only one can."""
+    java = spark.sparkContext._jvm
+    marker = java.org.apache.hadoop.fs.Path(path)
+    files = marker.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    try:
+        stream = files.create(marker, False)
+    except Py4JJavaError as error:
+        raise RuntimeError(f"evaluation was already started: {path}") from error
+    stream.write(bytearray(json.dumps(content).encode()))
+    stream.close()
+
+
 class SealedFolder:
     """Write-once results: a start marker, data sets, and a manifest with fingerprints.
 
@@ -97,31 +110,30 @@ class SealedFolder:
 
     def begin(self, metadata: dict[str, str]) -> None:
         """Create the marker file exclusively, so that of two drivers only one can start."""
-        java = self.spark.sparkContext._jvm
-        marker = java.org.apache.hadoop.fs.Path(f"{self.path}/started/marker.json")
-        files = marker.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-        try:
-            stream = files.create(marker, False)
-        except Py4JJavaError as error:
-            raise RuntimeError(f"evaluation was already started: {self.path}") from error
-        stream.write(bytearray(json.dumps({"metadata": metadata}).encode()))
-        stream.close()
+        exclusive_marker(self.spark, f"{self.path}/started/marker.json", {"metadata": metadata})
 
-    def commit(self, tables: dict[str, DataFrame]) -> DataFrame:
-        """Write all tables, then the manifest of what was written."""
+    def write(self, tables: dict[str, DataFrame]) -> None:
+        """Write all tables; each only once."""
         try:
             self.spark.read.json(f"{self.path}/started").first()
         except AnalysisException as error:
             raise RuntimeError("begin() must come before commit()") from error
-        parts = []
         for name, table in tables.items():
-            target = f"{self.path}/data/{name}"
-            table.write.mode("errorifexists").parquet(target)
-            parts.append(
-                content_fingerprint(self.spark.read.parquet(target)).withColumn("name", F.lit(name))
-            )
+            table.write.mode("errorifexists").parquet(f"{self.path}/data/{name}")
+
+    def seal(self, names: list[str]) -> DataFrame:
+        """Write the manifest of what was written."""
+        parts = [
+            content_fingerprint(self.spark.read.parquet(f"{self.path}/data/{name}")).withColumn("name", F.lit(name))
+            for name in names
+        ]
         manifest = union_all(parts).withColumn("status", F.lit("complete"))
         manifest.write.mode("errorifexists").json(f"{self.path}/complete")
         return self.spark.read.schema("name string, rows bigint, fingerprint string, status string").json(
             f"{self.path}/complete"
         )
+
+    def commit(self, tables: dict[str, DataFrame]) -> DataFrame:
+        """Write all tables, then the manifest."""
+        self.write(tables)
+        return self.seal(list(tables))
