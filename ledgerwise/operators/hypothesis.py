@@ -15,7 +15,7 @@ from pyspark.sql.window import Window
 
 from ledgerwise import fixed_values as fv
 from ledgerwise.functions.numbers import nan_to_null, safe_ratio, student_t_p_value
-from ledgerwise.scale import exact_quantiles
+from ledgerwise.scale import bracketed_quantiles
 
 
 def class_moments(df: DataFrame, features, label: str) -> DataFrame:
@@ -41,11 +41,9 @@ def class_moments(df: DataFrame, features, label: str) -> DataFrame:
 
 def descriptive_statistics(df: DataFrame, features, label: str) -> DataFrame:
     """Per feature and class: n, mean, std, median, min and max."""
-    long = df.where(F.col(label).isin(0, 1)).select(
-        F.col(label).alias("label"), *[F.col(f).cast("double").alias(f) for f in features]
-    ).unpivot(["label"], list(features), "feature", "value")
-    medians = exact_quantiles(long, ["feature", "label"], "value", (0.5,)).select(
-        "feature", "label", F.element_at("quantiles", 1).alias("median")
+    labelled = df.where(F.col(label).isin(0, 1)).select(F.col(label).alias("label"), *features)
+    medians = bracketed_quantiles(labelled, ["label"], list(features), 0.5).unpivot(
+        ["label"], list(features), "feature", "median"
     )
     # Two rows per feature on both sides.
     return class_moments(df, features, label).drop("variance").join(

@@ -120,3 +120,22 @@ def test_null_keys_are_spread_and_kept(spark):
     right = spark.createDataFrame([("k", 1), ("other", 2)], "key string, v int")
     joined = scale.join_unique(left, right, False, ["key"], "id")
     assert joined.count() == 300 and joined.where("v = 1").count() == 100
+
+
+@pytest.mark.parametrize("probability", [0.0, 0.1, 0.5, 0.999, 1.0])
+@pytest.mark.parametrize("accuracy", [20, 500, 10_000])
+def test_bracketed_quantiles_are_exact(spark, probability, accuracy):
+    draw = random.Random(8)
+    rows = [
+        (k % 2, draw.choice([0.0, draw.gauss(0, 1)]), draw.choice([None, float("nan"), draw.random()]), None)
+        for k in range(5000)
+    ]
+    df = spark.createDataFrame(rows, "g int, a double, b double, none double").repartition(5)
+    found = {r.g: r for r in scale.bracketed_quantiles(df, ["g"], ["a", "b", "none"], probability, accuracy).collect()}
+    for g in (0, 1):
+        for k, name in ((1, "a"), (2, "b")):
+            values = [r[k] for r in rows if r[0] == g and r[k] is not None and r[k] == r[k]]
+            assert found[g][name] == pytest.approx(np.quantile(values, probability), abs=1e-12)
+        assert found[g]["none"] is None
+    whole = scale.bracketed_quantiles(df, [], ["a"], probability, accuracy).first()
+    assert tuple(whole) == pytest.approx((np.quantile([r[1] for r in rows], probability),), abs=1e-12)
