@@ -103,15 +103,20 @@ def target_report(df: DataFrame, features, label: str) -> DataFrame:
 
 
 def validate_target(df: DataFrame, features, label: str) -> DataFrame:
-    """Fail unless labels are exactly {0, 1}, never null, and no feature is empty."""
+    """Fail unless labels are exactly {0, 1}, never null, and no feature is empty. One pass, no shuffle of rows."""
     require_columns(df, [*features, label])
-    report = target_report(df, features, label).first()
-    if report.null_labels:
-        raise ValueError(f"{report.null_labels} rows have no label")
-    if not report.labels_are_binary:
+    y = F.col(label)
+    row = df.agg(
+        F.count_if(y.isNull()), F.count_if(~y.isin(0, 1)), F.count_if(y == 0), F.count_if(y == 1),
+        *[F.count(nan_to_null(F.col(c).cast("double"))) for c in features],
+    ).first()
+    if row[0]:
+        raise ValueError(f"{row[0]} rows have no label")
+    if row[1] or not row[2] or not row[3]:
         raise ValueError("labels must be exactly 0 and 1")
-    if report.empty_features:
-        raise ValueError(f"features without any value: {report.empty_features}")
+    empty = [name for name, n in zip(features, row[4:]) if not n]
+    if empty:
+        raise ValueError(f"features without any value: {','.join(empty)}")
     return df
 
 

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerwise.functions import dates, keys
-from ledgerwise.scale import BROADCAST_ROWS, checked_broadcast, join_unique
+from ledgerwise.scale import BROADCAST_ROWS, attach_unique, checked_broadcast, join_unique
 
 _MATCH_COLUMNS = ("matched_fraud_start", "matched_fraud_end", "certainty_start", "certainty_end")
 _DAY_CELLS = 10_000_000
@@ -47,14 +47,15 @@ def _cells(start: Column, end: Column) -> Column:
 
 
 def period_cells(periods: DataFrame, seq: str = "seq") -> DataFrame:
-    """One row per (cik, cell): the first period there and how many there are."""
+    """One row per (cik, cell): the first period there and how many there are.
+
+    Numbers only, so that counting combines in hash tables; what a period says is joined after the match.
+    """
     exploded = periods.select(
-        "cik", seq, *_period_values(), F.explode(_cells(F.col("fraud_start"), F.col("fraud_end"))).alias("cell")
+        "cik", seq, F.explode(_cells(F.col("fraud_start"), F.col("fraud_end"))).alias("cell")
     )
     return exploded.groupBy("cik", "cell").agg(
-        F.min(seq).alias("period_seq"),
-        *[F.min_by(name, seq).alias(name) for name in _MATCH_COLUMNS],
-        F.count(F.lit(1)).alias("periods"),
+        F.min(seq).alias("period_seq"), F.count(F.lit(1)).alias("periods")
     )
 
 
@@ -83,6 +84,10 @@ def match_periods(
     on both sides and dates typed.
     """
     cells, small = checked_broadcast(period_cells(periods, seq), max_rows)
+    companies, few = checked_broadcast(cells.select("cik").distinct(), max_rows)
+    if few:
+        # Filings of companies without periods need no look-up.
+        filings = filings.join(companies, "cik", "left_semi")
     fiscal_end = dates.fiscal_year_end(F.col("reporting_date"), F.col("fye"))
     # Periods of whole months leave no day cells, so days need no lookup.
     kinds = [_month_cell]
@@ -103,12 +108,16 @@ def match_periods(
         for side in ("report", "fiscal")
     ]
     # With one period on each side, two different periods matched iff their ids differ.
-    return hits.groupBy("filing_seq").agg(
-        *[F.min_by(name, "period_seq").alias(name) for name in _MATCH_COLUMNS],
+    found = hits.groupBy("filing_seq").agg(
+        F.min("period_seq").alias("period_seq"),
         (per_side[0] | per_side[1] | (F.min("period_seq") != F.max("period_seq"))).alias(
             "multiple_matches"
         ),
-    ).withColumnRenamed("filing_seq", seq)
+    )
+    values = periods.select(F.col(seq).alias("period_seq"), *_period_values())
+    return attach_unique(found, values, ["period_seq"], "filing_seq", max_rows=max_rows).select(
+        F.col("filing_seq").alias(seq), *_MATCH_COLUMNS, "multiple_matches"
+    )
 
 
 def label_filings(

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ledgerwise import fixed_values as fv
 from ledgerwise.functions import dates, keys, numbers
-from ledgerwise.scale import BROADCAST_ROWS, attach_unique, union_all
+from ledgerwise.scale import BROADCAST_ROWS, attach_unique, checked_broadcast, union_all
 
 
 def prepare_lexicon(raw: DataFrame, seq: str = "seq") -> DataFrame:
@@ -38,8 +38,16 @@ def first_entries(lexicon: DataFrame, seq: str = "seq") -> DataFrame:
 
 
 def build_lookup(lexicon: DataFrame, needed: DataFrame, seq: str = "seq") -> DataFrame:
-    """First entries of the needed keys. Aggregated first, so a hot key is one row."""
-    return first_entries(lexicon, seq).join(needed, ["cik", "lexicon_year"], "left_semi")
+    """First entries of the needed keys.
+
+    Where the keys are few enough to be broadcast, entries of other keys are dropped before they are
+    grouped; otherwise entries are grouped first, so that a hot key is one row when it meets the keys.
+    """
+    keys = ["cik", "lexicon_year"]
+    needed, small = checked_broadcast(needed.select(*keys))
+    if small:
+        return first_entries(lexicon.join(needed, keys, "left_semi"), seq)
+    return first_entries(lexicon, seq).join(needed, keys, "left_semi")
 
 
 def lookup_report(lookup: DataFrame) -> DataFrame:
