@@ -36,11 +36,21 @@ def apply_threshold(predictions: DataFrame, threshold: float = fv.DECISION_THRES
 
 
 def score_histogram(predictions: DataFrame, score: str = SCORE) -> DataFrame:
-    """Rows and positives per distinct (year, score); written once, read several times."""
+    """Rows and positives per distinct (year, score); written once, read several times.
+
+    Where decisions were made, also the rows and positives that were decided for.
+    """
+    def total(value: Column) -> Column:
+        return F.coalesce(F.sum(value), F.lit(0)).cast("long")
+
+    decided = {}
+    if DECISION in predictions.columns:
+        decided = {"decided": F.col(DECISION), "decided_pos": F.col(DECISION) * F.col(LABEL)}
     return cut_lineage(
         predictions.groupBy(calendar_year(F.col(YEAR)).alias(YEAR), F.col(score).alias("score")).agg(
             F.count(F.lit(1)).alias("n"),
-            F.coalesce(F.sum(LABEL), F.lit(0)).cast("long").alias("pos"),
+            total(F.col(LABEL)).alias("pos"),
+            *[total(value).alias(name) for name, value in decided.items()],
         )
     )
 
@@ -228,19 +238,19 @@ def calibration_bins(predictions: DataFrame, n_bins: int, edge_goes_up: bool) ->
     )
 
 
-def calibration_error(predictions: DataFrame, n_bins: int = fv.CALIBRATION_BINS) -> DataFrame:
-    """Expected and maximum calibration error; empty bins count nowhere."""
+def error_of_bins(bins: DataFrame) -> DataFrame:
     gap = F.abs(F.col("prob_true") - F.col("prob_pred"))
-    return (
-        calibration_bins(predictions, n_bins, edge_goes_up=True)
-        .groupBy(YEAR)
-        .agg(
-            (F.sum(F.col("n") * gap) / F.sum("n")).alias("ece"),
-            F.max(gap).alias("mce"),
-        )
+    return bins.groupBy(YEAR).agg(
+        (F.sum(F.col("n") * gap) / F.sum("n")).alias("ece"),
+        F.max(gap).alias("mce"),
     )
 
 
+def calibration_error(predictions: DataFrame, n_bins: int = fv.CALIBRATION_BINS) -> DataFrame:
+    """Expected and maximum calibration error; empty bins count nowhere."""
+    return error_of_bins(calibration_bins(predictions, n_bins, edge_goes_up=True))
+
+
 def reliability_curve(predictions: DataFrame, n_bins: int = fv.CALIBRATION_BINS) -> DataFrame:
     """Observed rate and mean score per non-empty bin; edges fall into the lower bin."""
     return calibration_bins(predictions, n_bins, edge_goes_up=False)
@@ -326,15 +336,36 @@ def best_threshold(
 
 
 def fold_metrics(predictions: DataFrame, n_bins: int = fv.CALIBRATION_BINS) -> DataFrame:
-    """The full metric row per year. Every joined table has one row per calendar year."""
-    ranked = cut_lineage(ranked_scores(predictions))
-    tables = [
-        brier_metrics(predictions),
-        ranking_metrics(predictions, ranked),
-        classification_metrics(predictions).drop("tp", "fp", "fn", "tn"),
-        review_metrics(predictions, ranked),
-        calibration_error(predictions, n_bins),
-    ]
+    """The full metric row per year. Every joined table has one row per calendar year.
+
+    All but the ties at the end of the review queue follows from one histogram of (year, score).
+    """
+    counts = score_histogram(predictions)
+    ranked = cut_lineage(
+        running_totals(counts, [YEAR], "score", {"n_upto": "n", "pos_upto": "pos"}, descending=True)
+    )
+    n, pos, score = F.col("n"), F.col("pos"), F.col("score")
+    sums = counts.groupBy(YEAR).agg(
+        F.sum(n).alias("test_n"),
+        F.sum(pos).alias("test_fraud_n"),
+        F.sum(pos * F.pow(score - 1, F.lit(2)) + (n - pos) * F.pow(score, F.lit(2))).alias("_squares"),
+        F.sum("decided_pos").alias("tp"),
+        F.sum(F.col("decided") - F.col("decided_pos")).alias("fp"),
+        F.sum(pos - F.col("decided_pos")).alias("fn"),
+        F.sum(n - pos - F.col("decided") + F.col("decided_pos")).alias("tn"),
+    )
+    rate = F.col("test_fraud_n") / F.col("test_n")
+    totals = sums.withColumns(
+        {"brier_score": F.col("_squares") / F.col("test_n"), "naive_brier_score": rate * (1 - rate)}
+    ).withColumn(
+        "brier_skill_score",
+        F.when(F.col("naive_brier_score") != 0, 1 - F.col("brier_score") / F.col("naive_brier_score")),
+    ).select("*", *[c.alias(name) for name, c in classification_columns().items()])
+    index = bin_index(score, bin_edges(n_bins), True)
+    bins = counts.groupBy(YEAR, index.alias("bin")).agg(
+        F.sum(n).alias("n"), (F.sum(pos) / F.sum(n)).alias("prob_true"), (F.sum(score * n) / F.sum(n)).alias("prob_pred")
+    )
+    tables = [totals, ranking_metrics(predictions, ranked), review_metrics(predictions, ranked), error_of_bins(bins)]
     joined = reduce(lambda a, b: a.join(F.broadcast(b), YEAR), tables)
     return joined.select(
         YEAR, "test_n", "test_fraud_n", *fv.METRICS, "review_n_at_5_percent", "ece", "mce"
