@@ -224,8 +224,7 @@ def _(spark, sf):
     return rows.agg(F.count(F.lit(1)).alias("rows"), F.lit(kind).alias("root_kind"))
 
 
-@query("sealed_folder_s14")
-def _(spark, sf):
+def _sealed(spark, sf):
     sealed = writers.SealedFolder(spark, _folder(spark, "sealed"))
     sealed.begin({"purpose": "hold-out"})
     return sealed.commit(
@@ -236,6 +235,21 @@ def _(spark, sf):
     )
 
 
+@query("sealed_folder_s14")
+def _(spark, sf):
+    return _sealed(spark, sf)
+
+
+@query(
+    "sealed_rows_s14",
+    views="predictions",
+    sql="""SELECT 'predictions' AS name, count(*) AS rows, 'complete' AS status FROM predictions
+           UNION ALL SELECT 'summary', count(DISTINCT test_year), 'complete' FROM predictions""",
+)
+def _(spark, sf):
+    return _sealed(spark, sf).select("name", "rows", "status")
+
+
 @query(
     "stream_first_seen_t2",
     sql="SELECT DISTINCT user_id, event_type, CAST(ts AS DATE) AS day FROM events",
@@ -249,6 +263,21 @@ def _(spark, sf):
     return incremental.run_available(incremental.first_seen(stream, keys), "first-seen").select(*keys)
 
 
+@query(
+    "stream_first_by_sequence_t2",
+    sql="""SELECT user_id, event_type, CAST(ts AS DATE) AS day, min(event_id) AS event_id FROM events
+           GROUP BY user_id, event_type, CAST(ts AS DATE)""",
+)
+def _(spark, sf):
+    schema = v.table(spark, sf, "events").schema
+    stream = incremental.file_stream(spark, sf, schema, "events.parquet").withColumn(
+        "day", F.to_date("ts")
+    )
+    keys = ["user_id", "event_type", "day"]
+    log = incremental.run_log(incremental.first_by_sequence(stream, keys, "event_id"), "first-by-sequence")
+    return incremental.current_firsts(log, keys, "event_id")
+
+
 @query("stream_clean_filter_t1")
 def _(spark, sf):
     from ledgerwise.catalog.filter_queries import FIRST_YEAR

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ledgerwise import fixed_values as fv
 from ledgerwise.functions import keys, text
@@ -19,6 +23,7 @@ from ledgerwise.operators import (
     validation,
 )
 from ledgerwise.scale import union_all, written
+from ledgerwise.sources.writers import exclusive_marker
 
 Tables = dict[str, DataFrame]
 
@@ -55,9 +60,10 @@ def _normalize(t: Tables) -> Tables:
 
 
 def _quality(t: Tables) -> Tables:
-    # Same rows as filtering `normalized`, but rows that fail on type or date are dropped
-    # before the text work. Written once, so the next stage reads only its keys.
-    return {"checked": written(quality.clean_and_filter(t["labeled"]), "checked")}
+    # Rules on type and date read no text, so Spark applies them before the text work. What they leave is
+    # written once: words are counted on the stored text, and the next stage reads only its keys.
+    kept = written(quality.metadata_filter(t["normalized"]), "checked")
+    return {"checked": kept.where(quality.has_enough_words(F.col("mda")))}
 
 
 def _deduplicate(t: Tables) -> Tables:
@@ -117,10 +123,58 @@ STAGES: dict[str, Callable[[Tables], Tables]] = {
 }
 
 
-def run_stages(tables: Tables, through: str, acknowledge_holdout: bool = False) -> Tables:
+# Tables and settings that a stage reads; with the stage's name they say whether it has to run again.
+READS: dict[str, tuple[str, ...]] = {
+    "validate-raw": ("filings",),
+    "ingest-firm-years": ("filings", "more_filings"),
+    "ingest-labels": ("periods",),
+    "merge-labels": ("combined", "fraud_periods"),
+    "clean-text": ("labeled",),
+    "normalize": ("cleaned",),
+    "quality-check": ("normalized",),
+    "deduplicate": ("checked",),
+    "split": ("unique", "cutoff"),
+    "development-features": ("development", "lexicon"),
+}
+# Raised when a stage's result changes with the same inputs.
+STAGES_VERSION = 1
+
+
+def _mark(value) -> str:
+    """What an input is known by: the fingerprint of a table's content, or a setting itself."""
+    return keys.content_fingerprint(value).first().fingerprint if isinstance(value, DataFrame) else repr(value)
+
+
+def _stored(store: str, name: str, tables: Tables, marks: dict[str, str]) -> tuple[Tables, dict[str, str]]:
+    """Outputs of a stage from the store, and their marks; run and written if they are not there.
+
+    A manifest is written last. What a lost run has left without one is written again.
+    """
+    spark = next(t for t in tables.values() if isinstance(t, DataFrame)).sparkSession
+    read = [STAGES_VERSION, name, {n: marks[n] for n in READS[name] if n in marks}]
+    key = hashlib.sha256(json.dumps(read, sort_keys=True).encode()).hexdigest()[:32]
+    folder = f"{store}/{name}-{key}"
+    try:
+        manifest = json.loads(spark.read.text(f"{folder}/manifest", wholetext=True).first()[0])
+    except AnalysisException:
+        made = STAGES[name](tables)
+        manifest = {output: df.schema.jsonValue() for output, df in made.items()}
+        for output, df in made.items():
+            df.write.mode("overwrite").parquet(f"{folder}/{output}")
+        exclusive_marker(spark, f"{folder}/manifest/manifest.json", manifest)
+    schemas = {output: T.StructType.fromJson(schema) for output, schema in manifest.items()}
+    found = {output: spark.read.schema(schema).parquet(f"{folder}/{output}") for output, schema in schemas.items()}
+    return found, {output: f"{name}-{key}" for output in found}
+
+
+def run_stages(
+    tables: Tables, through: str, acknowledge_holdout: bool = False, store: str | None = None
+) -> Tables:
     """Run the stages in order up to and including one of them.
 
-    A run that reaches the split produces hold-out rows, so it must be acknowledged.
+    A run that reaches the split produces hold-out rows, so it must be acknowledged. With `store`, a folder,
+    outputs are kept there by what they were made from: a later run reads those of stages whose inputs are
+    the same and runs the others. The folder is the caller's to remove.
     """
     if through not in STAGES:
         raise ValueError(f"Unknown stage: {through}")
@@ -128,6 +182,15 @@ def run_stages(tables: Tables, through: str, acknowledge_holdout: bool = False)
     selected = names[: names.index(through) + 1]
     if "split" in selected and not acknowledge_holdout:
         raise RuntimeError("stages from 'split' on write hold-out rows and must be acknowledged")
+    marks = {}
+    if store is not None:
+        read = {n for name in selected for n in READS[name]}
+        marks = {n: _mark(value) for n, value in tables.items() if n in read}
     for name in selected:
-        tables = {**tables, **STAGES[name](tables)}
+        if store is None:
+            made = STAGES[name](tables)
+        else:
+            made, own = _stored(store, name, tables, marks)
+            marks = {**marks, **own}
+        tables = {**tables, **made}
     return tables

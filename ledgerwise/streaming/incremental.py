@@ -4,8 +4,12 @@ from __future__ import annotations
 
 import uuid
 
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming.state import GroupStateTimeout
 
 from ledgerwise.operators import quality
 from ledgerwise.scale import shared_folder
@@ -36,11 +40,68 @@ def first_seen(stream: DataFrame, keys: list[str]) -> DataFrame:
     return stream.dropDuplicates(keys)
 
 
+def first_by_sequence(stream: DataFrame, keys: list[str], seq: str) -> DataFrame:
+    """A log of the smallest sequence number of each key: keys, `seq`, and the number it replaces or null.
+
+    Records may arrive late: an earlier one that comes in a later batch or run gives a correction. Tasks first
+    keep the smallest number of each key of a piece of their input, so a hot key reaches its state as a few
+    rows a task. The state holds one number for every key for ever. Null keys are equal; records without a
+    number are left out. `current_firsts` reads the log.
+    """
+    kinds = dict(stream.dtypes)
+    slim = stream.select(*keys, seq).where(F.col(seq).isNotNull())
+    schema = ", ".join(f"`{n}` {kinds[n]}" for n in [*keys, seq])
+
+    def smallest(batches):
+        for batch in batches:
+            least = pa.Table.from_batches([batch]).group_by(keys).aggregate([(seq, "min")])
+            yield from least.rename_columns([*keys, seq]).select([*keys, seq]).cast(batch.schema).to_batches()
+
+    def corrected(key, pieces, state):
+        known = state.get[0] if state.exists else None
+        least = min(int(piece[seq].min()) for piece in pieces)
+        if known is None or least < known:
+            state.update((least,))
+            yield pd.DataFrame({**{n: [v] for n, v in zip(keys, key)}, seq: [least], "replaces": pd.array([known], "Int64")})
+
+    return slim.mapInArrow(smallest, schema).groupBy(*keys).applyInPandasWithState(
+        corrected, f"{schema}, replaces long", f"`{seq}` long", "update", GroupStateTimeout.NoTimeout
+    )
+
+
+def current_firsts(log: DataFrame, keys: list[str], seq: str) -> DataFrame:
+    """The smallest sequence number of each key, after all corrections."""
+    return log.groupBy(*keys).agg(F.min(seq).alias(seq))
+
+
 def first_seen_within(stream: DataFrame, keys: list[str], event_time: str, delay: str) -> DataFrame:
     """Bounded state: copies that arrive within the delay of the first are dropped."""
     return stream.withWatermark(event_time, delay).dropDuplicatesWithinWatermark(keys)
 
 
+def run_log(stream: DataFrame, name: str, base: str | None = None) -> DataFrame:
+    """As `run_available`, for a stream of updates: each batch's rows are written under its number.
+
+    A batch that is repeated after a loss overwrites what it had written.
+    """
+    spark = stream.sparkSession
+    base = base or f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+    def keep(rows: DataFrame, number: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{base}/data/batch={number}")
+
+    query = (
+        stream.writeStream.foreachBatch(keep)
+        .option("checkpointLocation", f"{base}/progress")
+        .outputMode("update")
+        .trigger(availableNow=True)
+        .start()
+    )
+    query.awaitTermination()
+    schema = T.StructType([*stream.schema.fields, T.StructField("batch", T.LongType())])
+    return spark.read.schema(schema).parquet(f"{base}/data")
+
+
 def run_available(stream: DataFrame, name: str, base: str | None = None) -> DataFrame:
     """Process everything that is there, then read back all that runs on this base have written.
 

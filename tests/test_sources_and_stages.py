@@ -107,6 +107,29 @@ def test_stages_end_to_end(spark):
     assert {(r.seq, r.dataset) for r in full.collect()} == {(1, "trainval"), (2, "trainval"), (6, "test")}
 
 
+def test_stages_resume(spark, tmp_path, monkeypatch):
+    store, tables = str(tmp_path / "stages"), stage_tables(spark)
+    first = data_stages.run_stages(tables, "split", True, store)
+    plain = data_stages.run_stages(tables, "split", True)
+    for name in ("checked", "normalized", "development", "holdout"):
+        assert first[name].exceptAll(plain[name]).count() == 0 == plain[name].exceptAll(first[name]).count()
+    ran = []
+    for name, stage in list(data_stages.STAGES.items()):
+        monkeypatch.setitem(data_stages.STAGES, name, lambda t, n=name, f=stage: ran.append(n) or f(t))
+    again = data_stages.run_stages(tables, "split", True, store)
+    assert ran == [] and again["holdout"].collect() == first["holdout"].collect()
+    data_stages.run_stages({**tables, "cutoff": 2001}, "split", True, store)
+    assert ran == ["split"]
+    data_stages.run_stages({**tables, "periods": tables["periods"].where("seq = 2")}, "merge-labels", False, store)
+    assert ran == ["split", "ingest-labels", "merge-labels"]
+
+
+def test_a_replaced_table_is_used(spark):
+    labelled = data_stages.run_stages(stage_tables(spark), "normalize")
+    other = labelled["normalized"].withColumn("mda", F.lit("one word " * 300))
+    assert {r.mda for r in data_stages.STAGES["quality-check"]({"normalized": other})["checked"].collect()} == {"one word " * 300}
+
+
 def test_holdout_gate(spark):
     with pytest.raises(RuntimeError, match="acknowledged"):
         data_stages.run_stages({}, "split")
@@ -284,3 +307,28 @@ def test_string_row_ids_in_the_review_queue(spark):
     rows = [(2000, f"id{k:03d}", int(k % 5 == 0), (k * 37 % 100) / 100) for k in range(100)]
     df = spark.createDataFrame(rows, "test_year int, row_id string, true_label int, predicted_probability double")
     assert metrics.review_metrics(df).count() == 1
+
+
+def test_stream_keeps_the_smallest_number_of_a_key(spark, tmp_path):
+    def file(name, rows):
+        spark.createDataFrame(rows, "seq long, key string, day int").coalesce(1).write.mode("append").parquet(str(tmp_path / "in" / name))
+
+    def run():
+        schema = spark.read.parquet(str(tmp_path / "in" / "*")).schema
+        stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in" / "*"))
+        log = incremental.run_log(incremental.first_by_sequence(stream, ["key", "day"], "seq"), "x", str(tmp_path / "out"))
+        return log, {(r.key, r.day): r.seq for r in incremental.current_firsts(log, ["key", "day"], "seq").collect()}
+
+    late = [(k, "hot" if k % 3 else f"k{k}", 1) for k in range(50, 500)] + [(7, None, None), (9, None, None), (None, "hot", 1)]
+    file("b", late)
+    log, found = run()
+    assert found[("hot", 1)] == 50 and found[(None, None)] == 7 and log.where("replaces is not null").count() == 0
+    early = [(k, "hot" if k % 3 else f"k{k}", 1) for k in range(0, 50)] + [(3, None, None), (600, "k51", 1)]
+    file("a", early)
+    log, found = run()
+    expected = {}
+    for seq, key, day in late + early:
+        if seq is not None:
+            expected[key, day] = min(seq, expected.get((key, day), seq))
+    assert found == expected
+    assert {(r.key, r.seq, r.replaces) for r in log.where("replaces is not null").collect()} == {("hot", 1, 50), (None, 3, 7)}
