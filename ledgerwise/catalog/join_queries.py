@@ -17,7 +17,7 @@ from ledgerwise.operators import (
     selection,
     validation,
 )
-from ledgerwise.scale import calendar_year, cut_lineage
+from ledgerwise.scale import calendar_year, cut_lineage, written
 
 C = F.col
 LABEL_VIEWS = "filings typed_filings period_source typed_periods clean_periods matches labeled"
@@ -239,9 +239,13 @@ def _(spark, sf):
 def _(spark, sf):
     from ledgerwise.operators.metrics import combine_predictions
 
-    rows = v.predictions(spark, sf).select("test_year", "row_id", "true_label", "predicted_probability")
-    years = rows.select(calendar_year(C("test_year")).alias("year")).distinct().orderBy("year")
-    return combine_predictions([rows.where(C("test_year") == r.year) for r in years.collect()])
+    rows = v.predictions(spark, sf).select(
+        calendar_year(C("test_year")).alias("test_year"), "row_id", "true_label", "predicted_probability"
+    )
+    # A fragment for each year, as folds leave them; each is read from its own folder.
+    stored = written(rows, "fragments", "test_year", "row_id")
+    years = stored.select("test_year").distinct().orderBy("test_year")
+    return combine_predictions([stored.where(C("test_year") == r.test_year) for r in years.collect()])
 
 
 @query(

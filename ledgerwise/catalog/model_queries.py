@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ledgerwise import fixed_values as fv
@@ -12,8 +14,8 @@ from ledgerwise.catalog.registry import query
 from ledgerwise.catalog.text_queries import features_sql
 from ledgerwise.functions import dates, keys
 from ledgerwise.operators import boosting, features, hypothesis, metrics, models, search, selection
-from ledgerwise.plans import audits, data_stages
-from ledgerwise.scale import cut_lineage, spread
+from ledgerwise.plans import audits, data_stages, experiment
+from ledgerwise.scale import shared_folder, spread
 
 C = F.col
 MIN_POSITIVES = 3
@@ -178,6 +180,28 @@ def _(spark, sf):
     )
 
 
+@query(
+    "walk_forward_rows_l6",
+    views="labeled_texts",
+    sql=SCORED_ROWS_SQL,
+)
+def _(spark, sf):
+    return scored_rows(
+        models.walk_forward(table(spark, sf), models.logistic(TEXT_FEATURES, balanced=True), MIN_POSITIVES)
+    )
+
+
+@query(
+    "full_refit_rows_l12",
+    views="labeled_texts",
+    sql="SELECT seq AS row_id, true AS has_prediction FROM labeled_texts",
+)
+def _(spark, sf):
+    rows = table(spark, sf)
+    model = models.fit_full(rows, models.logistic(TEXT_FEATURES))
+    return model.transform(rows).select("row_id", C("prediction").isin(0.0, 1.0).alias("has_prediction"))
+
+
 @query("full_refit_l12")
 def _(spark, sf):
     rows = table(spark, sf)
@@ -219,10 +243,10 @@ def _(spark, sf):
 def _holdout(spark, sf):
     rows = table(spark, sf)
     return models.score_holdout(
-        rows.where("filing_year < 2006"),
-        rows.where("filing_year >= 2006"),
+        rows.where(C("filing_year") < HELD_OUT[0]),
+        rows.where(C("filing_year") >= HELD_OUT[0]),
         models.logistic(TEXT_FEATURES),
-        (2006, 2007),
+        HELD_OUT,
     )
 
 
@@ -231,6 +255,82 @@ def _(spark, sf):
     return _holdout(spark, sf)[1]
 
 
+# Development years end before this one; two years are held out.
+HELD_OUT = (2006, 2007)
+
+
+def _review(spark, sf):
+    """Feature rows, and the calibrated review of the best of all trials on the development years."""
+    rows = table(spark, sf)
+    development = rows.where(C("filing_year") < HELD_OUT[0])
+    trials = search.search(
+        development, TEXT_FEATURES, search.LOGISTIC_SPACE, search.logistic_models, TRIALS, MIN_POSITIVES
+    )
+    reviewed = experiment.review_candidates(
+        trials, development, TEXT_FEATURES, search.logistic_models, min_positives=MIN_POSITIVES
+    )
+    return rows, development, reviewed
+
+
+@query("candidate_review_w14")
+def _(spark, sf):
+    return _review(spark, sf)[2]
+
+
+@query(
+    "candidate_review_rows_w14",
+    views="labeled_texts",
+    sql=f"""WITH {USABLE_SQL},
+            folds AS (SELECT count(*) AS n FROM usable u WHERE filing_year < {HELD_OUT[0]}
+                      AND (SELECT count(*) FROM y WHERE y.filing_year < u.filing_year) >= 2)
+            SELECT CAST(range + 1 AS INTEGER) AS place, CAST(n AS INTEGER) AS folds, true AS is_a_trial,
+                   true AS metrics_in_range, true AS eligibility_follows_skill
+            FROM range({fv.CANDIDATE_REVIEW_SIZE}), folds""",
+)
+def _(spark, sf):
+    from pyspark.sql.window import Window
+
+    # Ten candidates.
+    place = F.row_number().over(Window.orderBy(F.desc("value"), "number"))
+    return _review(spark, sf)[2].select(
+        place.alias("place"), "folds", C("number").between(0, TRIALS - 1).alias("is_a_trial"),
+        (C("recall5").between(0, 1) & C("prauc").between(0, 1) & (C("skill") < 1) & C("brier_score").between(0, 1)).alias(
+            "metrics_in_range"
+        ),
+        (C("eligible") == (C("skill") > 0)).alias("eligibility_follows_skill"),
+    )
+
+
+def _guarded(spark, sf):
+    """A review, and the one evaluation of the held-out years by its winner."""
+    rows, development, reviewed = _review(spark, sf)
+    contract = models.artifact_contract(development, TEXT_FEATURES, "logistic search over surface features")
+    guarded = experiment.GuardedHoldout(spark, f"{shared_folder(spark)}/queries/hold-out-{uuid.uuid4().hex}")
+    guarded.select(reviewed, contract)
+
+    def score(parameters, held_out):
+        return models.score_holdout(
+            development, held_out, models.logistic(TEXT_FEATURES, **parameters), HELD_OUT
+        )
+
+    guarded.evaluate(development, rows, contract, HELD_OUT, score)
+    return rows, development, reviewed, guarded
+
+
+@query(
+    "guarded_holdout_l15",
+    views="labeled_texts",
+    sql=f"""SELECT seq AS row_id, filing_year, fraudulent AS true_label, 0.5::DOUBLE AS decision_threshold, true AS has_score
+            FROM labeled_texts WHERE filing_year BETWEEN {HELD_OUT[0]} AND {HELD_OUT[1]}""",
+)
+def _(spark, sf):
+    predictions = _guarded(spark, sf)[3].result("predictions")
+    return predictions.select(
+        "row_id", "filing_year", "true_label", "decision_threshold",
+        C("predicted_probability").between(0.0, 1.0).alias("has_score"),
+    )
+
+
 def _stage_tables(spark, sf):
     """Documents as filings with a company name, and orders as periods and lexicon."""
     key = C("doc_id")
@@ -303,17 +403,15 @@ def _(spark, sf):
 
 @query("evidence_snapshot_x9")
 def _(spark, sf):
-    selected = selection.select_candidate(v.trials(spark, sf))
+    rows, development, reviewed, guarded = _guarded(spark, sf)
+    winner = guarded.selected()
+    model = models.fit_full(development, models.logistic(TEXT_FEATURES, **winner["parameters"]))
+    contributions = models.linear_contributions(development, model, TEXT_FEATURES)
+    importances = selection.mean_absolute_importance(contributions, TEXT_FEATURES)
     audit = maturity(spark, sf)
-    importances = selection.mean_absolute_importance(v.density_rows(spark, sf), FEATURES)
-    scored = metrics.apply_threshold(v.predictions(spark, sf)).withColumn("test_year", F.lit(2001))
-    holdout = metrics.fold_metrics(cut_lineage(scored))
-    return audits.evidence_snapshot(selected, holdout, audit.delays, importances).select(
-        "candidate.selected_trial_number",
-        "holdout.recall_at_5_percent",
-        "holdout.pr_auc",
-        "label_delay.median_days",
-        F.concat_ws(",", F.transform("top_features", lambda t: t["feature"])).alias("top_features"),
+    return audits.evidence_snapshot(
+        selection.winner_row(reviewed, winner["number"]), guarded.result("summary"), audit, importances,
+        {"review": reviewed, "final_test": guarded.result("predictions"), "importances": importances},
     )
 
 

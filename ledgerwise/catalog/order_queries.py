@@ -176,7 +176,12 @@ def _(spark, sf):
     return selection.select_candidate(v.trials(spark, sf)).drop("selection_rule")
 
 
-@query("seeded_sample_w15")
+@query(
+    "seeded_sample_w15",
+    views="predictions",
+    sql="""SELECT row_id, test_year, predicted_probability FROM predictions
+           ORDER BY md5('42:' || CAST(row_id AS VARCHAR)), row_id LIMIT 1000""",
+)
 def _(spark, sf):
     rows = v.predictions(spark, sf).select("row_id", "test_year", "predicted_probability")
     return selection.seeded_sample(rows, "row_id", 1000)

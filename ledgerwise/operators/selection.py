@@ -81,5 +81,6 @@ def winner_row(candidates: DataFrame, number: int, column: str = "number") -> Da
 
 
 def seeded_sample(df: DataFrame, row_id: str, n: int, seed: int = 42) -> DataFrame:
-    """n rows without replacement, the same ones on every run and partitioning."""
-    return df.orderBy(F.xxhash64(F.lit(seed), F.col(row_id)), F.col(row_id)).limit(n)
+    """n rows without replacement, the same ones on every run and partitioning: the smallest by a hash."""
+    mark = F.md5(F.concat(F.lit(f"{seed}:"), F.col(row_id).cast("string")).cast("binary"))
+    return df.orderBy(mark, F.col(row_id)).limit(n)

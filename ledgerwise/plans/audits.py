@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ledgerwise import fixed_values as fv
 from ledgerwise.functions import dates, keys
 from ledgerwise.operators import hypothesis, maturity, validation
-from ledgerwise.scale import cut_lineage
+from ledgerwise.scale import cut_lineage, union_all
 
 
 @dataclass(frozen=True)
@@ -92,20 +92,48 @@ def validation_suite(
 
 
 def evidence_snapshot(
-    selected: DataFrame, holdout: DataFrame, delays: DataFrame, importances: DataFrame
+    candidate: DataFrame,
+    holdout: DataFrame,
+    audit: MaturityAudit,
+    importances: DataFrame,
+    sources: dict[str, DataFrame],
 ) -> DataFrame:
-    """One row: the selected candidate, hold-out result, label delay and top features.
+    """One row: the selected candidate, its hold-out result, label delay, top features and fingerprints.
 
-    All inputs are one-row results, but for the importances, which are cut to ten.
+    All inputs are one-row results, but for the importances, which are cut to ten, and the sources, of which
+    only the fingerprint is kept.
     """
     top = importances.orderBy(F.desc("importance"), "feature").limit(10).agg(
-        F.sort_array(
-            F.collect_list(F.struct("importance", "feature")), asc=False
-        ).alias("top")
+        F.sort_array(F.collect_list(F.struct("importance", "feature")), asc=False).alias("top")
     )
-    return selected.select(
-        F.struct(*selected.columns).alias("candidate"),
-        holdout.select(F.struct(*holdout.columns)).scalar().alias("holdout"),
-        delays.select(F.struct(*delays.columns)).scalar().alias("label_delay"),
-        top.scalar().alias("top_features"),
+    prints = union_all(
+        [keys.content_fingerprint(df).select(F.lit(name).alias("name"), "fingerprint") for name, df in sources.items()]
+    ).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("name", "fingerprint")))).alias("f"))
+    found = F.round(F.col("h.recall_at_5_percent") * F.col("h.test_fraud_n")).cast("long")
+    final = holdout.select(F.struct(*holdout.columns).alias("h")).select(
+        F.struct(
+            F.col("h.test_period").alias("period"), F.col("h.test_n").alias("filings"),
+            F.col("h.test_fraud_n").alias("fraud_cases"), F.col("h.review_n_at_5_percent").alias("reviewed"),
+            found.alias("fraud_found"), F.col("h.recall_at_5_percent").alias("recall_at_5"),
+            F.col("h.precision_at_5_percent").alias("precision_at_5"), F.col("h.roc_auc").alias("roc_auc"),
+            F.col("h.pr_auc").alias("pr_auc"), F.col("h.brier_skill_score").alias("brier_skill"),
+            F.col("h.decision_threshold").alias("threshold"),
+            F.col("h.threshold_tuned_on_test").alias("threshold_tuned_on_test"),
+        )
+    )
+    cutoff = audit.cutoffs.where("quantile = 'p90'").agg(F.max("cutoff")).scalar()
+    maturity = audit.delays.select(
+        F.struct("median_days", "recorded_after", cutoff.alias("p90_cutoff"))
     )
+    return candidate.select(
+        F.col("number").alias("trial"),
+        F.struct(
+            "folds", F.col("recall_at_5_percent").alias("recall_at_5"),
+            F.col("precision_at_5_percent").alias("precision_at_5"), "pr_auc",
+            F.col("brier_skill_score").alias("brier_skill"),
+        ).alias("development"),
+        final.scalar().alias("final_test"),
+        maturity.scalar().alias("label_maturity"),
+        top.scalar().alias("top_features"),
+        prints.scalar().alias("fingerprints"),
+    )
