@@ -104,6 +104,41 @@ def test_words_are_split_and_hashed_as_bytes_split():
     assert hashes.tolist() == [common.hash_words([w])[0][0] for w in words]
 
 
+def mirrored(steps):
+    """Two words whose polynomial hashes agree modulo 2^64, whatever the base."""
+    one, two = "a", "b"
+    for _ in range(steps):
+        one, two = one + two, two + one
+    return one, two
+
+
+def test_words_that_collide_in_machine_arithmetic_stay_apart(spark):
+    one, two = mirrored(11)
+    hashes, _ = common.hash_words([f"{one} {two}".encode()])
+    assert hashes[0] != hashes[1]
+    rows = [(1, f"{one} {two} {one}"), (2, f"{two} {one} {two}"), (3, f"{one} {two} {one}")]
+    got = near_dups.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 2).collect()
+    # Both hold the same two pairs of words; other pairs are other pairs.
+    assert {(r.doc_id, r.component_id) for r in got} == {(1, 1), (2, 1), (3, 1)}
+    rows = [(1, f"{one} x {one}"), (2, f"{two} x {two}")]
+    got = near_dups.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 2).collect()
+    assert all(r.kept for r in got)
+
+
+def test_long_texts_are_hashed_in_pieces(monkeypatch):
+    draw = np.random.default_rng(2)
+    words = ["".join(chr(97 + x) for x in draw.integers(0, 26, n)) for n in draw.integers(1, 30, 400)] + ["y" * 9000, "Z" * 300]
+    texts = [" ".join(draw.choice(words, n)).encode() for n in (0, 1, 700, 30)] + [b"\n", b"q" * 5000]
+    monkeypatch.setattr(common, "LONG_WORD", 200)
+    plain, bounds = common.hash_words(texts)
+    short, _ = common.hash_words(texts, 3)
+    flat = [w.lower() for t in texts for w in t.split()]
+    assert len(set(plain.tolist())) == len(set(flat)) == len(set(zip(plain.tolist(), flat)))
+    monkeypatch.setattr(common, "PIECE_BYTES", 1000)
+    assert all((a == b).all() for a, b in zip((plain, bounds), common.hash_words(texts)))
+    assert (short == common.hash_words(texts, 3)[0]).all()
+
+
 def vectors(rng, n, size):
     out = []
     for _ in range(n):
