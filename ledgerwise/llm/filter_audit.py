@@ -20,7 +20,7 @@ from ledgerwise.llm import common, dictionary, exact_dups
 from ledgerwise.scale import attach_unique, cut_lineage, written
 
 FILTERS = "ABCDE"
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 1 << 19
 # Bounds of the filters.
 MIN_WORDS, MIN_DISTINCT_PERCENT, MAX_UPPER_PERCENT, SIGNS = 100, 80, 10, b"#$%&*|"
 
@@ -30,6 +30,7 @@ _SIGN = dictionary.byte_table(SIGNS)
 _POINT = dictionary.byte_table(bytes([*range(0x80), *range(0xC0, 0x100)]))
 _MATRIX = "indptr binary, indices binary, data binary"
 _CHARACTERS = "upper array<long>, points array<long>, signs array<boolean>"
+_COUNTS = "n_words array<long>, n_distinct array<long>"
 
 
 class _Block:
@@ -56,7 +57,7 @@ class _Block:
         self.bytes += len(text)
 
     def record(self, kept: dict[str, list]) -> dict:
-        codes, words = dictionary.numbered(self.parts)
+        codes, words = dictionary.in_hash_order(*dictionary.numbered(self.parts))
         rows = len(self.upper)
         owner = np.repeat(
             np.array([o for o, _ in self.owners], np.int64), np.array([n for _, n in self.owners], np.int64)
@@ -68,12 +69,12 @@ class _Block:
         return {
             "block": int(np.random.default_rng().integers(1 << 62)),
             "field": None,
-            "words": spelled,
-            "lengths": lengths.tobytes(),
-            "counts": np.bincount(codes, minlength=len(words)).astype(np.int64).tobytes(),
-            "indptr": indptr.astype(np.int64).tobytes(),
-            "indices": (cells % width).astype(np.int32).tobytes(),
-            "data": data.astype(np.int32).tobytes(),
+            "words": spelled.tobytes(),
+            "lengths": dictionary.compact(lengths),
+            "counts": dictionary.compact(np.bincount(codes, minlength=len(words))),
+            "indptr": dictionary.compact(indptr),
+            "indices": dictionary.compact(cells % width),
+            "data": dictionary.compact(data),
             "upper": self.upper,
             "points": self.points,
             "signs": self.signs,
@@ -102,6 +103,7 @@ def _blocks(carried: list[str], block_bytes: int):
                         kept[c].append(own[c][k])
                     if block.bytes >= block_bytes:
                         yield dictionary.one_row(block.record(kept), schema)
+                        common.released()
                         block, kept = _Block(), {c: [] for c in carried}
         if block.upper:
             yield dictionary.one_row(block.record(kept), schema)
@@ -109,21 +111,34 @@ def _blocks(carried: list[str], block_bytes: int):
     return run
 
 
-def _global(shards: int):
-    """Replace the local word numbers of a block by those of the dictionary."""
+def _global(own: tuple[str, ...]):
+    """Replace the local word numbers of a block by those of the dictionary, in plain numbers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = []
+            rest = [n for n in batch.schema.names if n not in own]
             for k in range(batch.num_rows):
-                row = {n: batch.column(n)[k].as_py() for n in ("words", "lengths", "answers", "indices")}
-                lengths = np.frombuffer(row["lengths"], np.int32)
-                ids = dictionary.ids_of(row["answers"] or [], row["words"], lengths, shards)
-                found.append((ids - 1)[np.frombuffer(row["indices"], np.int32)].tobytes())
-            rest = [n for n in batch.schema.names if n not in ("words", "lengths", "answers", "indices")]
-            yield pa.RecordBatch.from_arrays(
-                [*[batch.column(n) for n in rest], pa.array(found, pa.binary())], [*rest, "indices"]
-            )
+                row = {n: batch.column(n)[k].as_py() for n in own}
+                ids = dictionary.ids_of(row["answers"])
+                if ids.max(initial=0) >> 32:
+                    raise OverflowError("more than 2^32 different words")
+                indptr, data = dictionary.expand(row["indptr"]), dictionary.expand(row["data"])
+                made = {
+                    "indptr": indptr,
+                    "indices": (ids - 1)[dictionary.expand(row["indices"])].astype(np.uint32),
+                    "data": data.astype(np.uint32),
+                }
+                sums = np.concatenate(([0], np.cumsum(data)))
+                counts = {"n_words": np.diff(sums[indptr]), "n_distinct": np.diff(indptr)}
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        *[batch.column(n).slice(k, 1) for n in rest],
+                        *[pa.array([x.tobytes()], pa.binary()) for x in made.values()],
+                        *[pa.array([x], pa.list_(pa.int64())) for x in counts.values()],
+                    ],
+                    [*rest, *made, *counts],
+                )
+            common.released()
 
     return run
 
@@ -133,10 +148,10 @@ def document_terms(
 ) -> tuple[DataFrame, DataFrame]:
     """The document-term matrix of a corpus: CSR shards, and the dictionary that numbers its columns.
 
-    A shard is one row: `indptr` (64 bits, one more than the shard has documents), `indices` (64 bits, id
-    - 1 in the dictionary, each once a document), `data` (32 bits, occurrences), per document its capital
-    letters `upper`, code points `points` and whether it holds one of the `signs`, and an array for each
-    column of `keep`, in the same order. Words are runs other than ASCII white space, told apart by their
+    A shard is one row: `indptr` (64 bits, one more than the shard has documents), `indices` (32 bits without
+    sign, id - 1 in the dictionary, each once a document), `data` (the same, occurrences), and arrays with an
+    entry a document: `n_words` (row sums), `n_distinct` (stored entries), capital letters `upper`, code points
+    `points`, whether it holds one of the `signs`, and the columns of `keep`. Words are runs other than ASCII white space, told apart by their
     bytes and case; a null text is an empty row. No documents give no shards.
     """
     named = {c: f"_keep_{k}" for k, c in enumerate(keep)}
@@ -147,40 +162,22 @@ def document_terms(
     schema = ", ".join(
         ["block long, field string, words binary, lengths binary, counts binary", _MATRIX, _CHARACTERS, *kinds]
     )
-    blocks = written(source.mapInArrow(_blocks(list(named.values()), block_bytes), schema), "matrix-blocks")
-    answers, entries, shards = dictionary.build(blocks)
-    own = blocks.drop("counts", "field").join(answers, "block", "left")
-    rest = [(n, t) for n, t in own.dtypes if n not in ("words", "lengths", "answers", "indices")]
-    matrix = own.mapInArrow(
-        _global(shards), ", ".join([*[f"{n} {t}" for n, t in rest], "indices binary"])
-    )
+    blocks = written(source.mapInArrow(_blocks(list(named.values()), block_bytes), schema), "matrix-blocks", compression="zstd")
+    answers, entries = dictionary.build(blocks)
+    joined = blocks.drop("words", "lengths", "counts", "field").join(answers, "block", "left")
+    own = ("answers", "indptr", "indices", "data")
+    rest = [(n, t) for n, t in joined.dtypes if n not in own]
+    matrix = joined.mapInArrow(_global(own), ", ".join([*[f"{n} {t}" for n, t in rest], _MATRIX, _COUNTS]))
     matrix = matrix.withColumnsRenamed({n: c for c, n in named.items()})
     return matrix, entries.drop("field")
 
 
-def _row_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for k in range(batch.num_rows):
-            indptr = np.frombuffer(batch.column("indptr")[k].as_py(), np.int64)
-            data = np.frombuffer(batch.column("data")[k].as_py(), np.int32)
-            sums = np.concatenate(([0], np.cumsum(data, dtype=np.int64)))
-            made = {
-                "n_words": pa.array(np.diff(sums[indptr])),
-                "n_distinct": pa.array(np.diff(indptr)),
-            }
-            rest = [n for n in batch.schema.names if n not in ("indptr", "data")]
-            yield pa.RecordBatch.from_arrays(
-                [*[batch.column(n)[k].values for n in rest], *made.values()], [*rest, *made]
-            )
-
-
 def document_counts(matrix: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
-    """Per document of the CSR shards: n_words (row sum), n_distinct (entries), upper, points, signs, `keep`."""
-    named = {c: f"_keep_{k}" for k, c in enumerate(keep)}
-    own = matrix.select("indptr", "data", "upper", "points", "signs", *[F.col(c).alias(n) for c, n in named.items()])
-    kinds = [f"{n} {t.removeprefix('array<').removesuffix('>')}" for n, t in own.dtypes if n not in ("indptr", "data")]
-    counted = own.mapInArrow(_row_sums, ", ".join([*kinds, "n_words long", "n_distinct long"]))
-    return counted.withColumnsRenamed({n: c for c, n in named.items()})
+    """A row for each document of the CSR shards: n_words, n_distinct, upper, points, signs, `keep`."""
+    named = {c: f"_{k}" for k, c in enumerate(("n_words", "n_distinct", "upper", "points", "signs", *keep))}
+    return matrix.select(*[F.col(c).alias(n) for c, n in named.items()]).select(
+        F.inline(F.arrays_zip(*named.values()))
+    ).toDF(*named)
 
 
 def failing_sets(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -127,8 +127,8 @@ def test_document_terms_are_the_words_of_the_documents(spark, monkeypatch):
     shards = matrix.collect()
     assert len(shards) > 3
     for s in shards:
-        indptr, indices = np.frombuffer(s.indptr, np.int64), np.frombuffer(s.indices, np.int64)
-        data = np.frombuffer(s.data, np.int32)
+        indptr, indices = np.frombuffer(s.indptr, np.int64), np.frombuffer(s.indices, np.uint32)
+        data = np.frombuffer(s.data, np.uint32)
         for k, text in enumerate(s.text):
             own = {spelled[j + 1]: n for j, n in zip(indices[indptr[k] : indptr[k + 1]].tolist(), data[indptr[k] : indptr[k + 1]].tolist())}
             expected = Counter(w for w in (text or "").translate({c: 32 for c in (9, 10, 11, 12, 13)}).split(" ") if w)
@@ -138,6 +138,13 @@ def test_document_terms_are_the_words_of_the_documents(spark, monkeypatch):
     assert sum(len(s.doc_id) for s in shards) == len(rows)
 
 
+def test_numbers_are_packed_in_the_narrowest_type():
+    for values in ([], [0, 255], [256, 1], [70_000], [1 << 40, 3]):
+        packed = dictionary.compact(np.array(values, np.int64))
+        assert dictionary.expand(packed).tolist() == values
+    assert len(dictionary.compact(np.arange(256))) == 257
+
+
 def test_segments_cut_only_where_allowed():
     cut = dictionary.byte_table(b" ")
     for text in (b"", b"a" * 50, b"ab cd " * 20, b"x" * 30 + b" y" * 30):
