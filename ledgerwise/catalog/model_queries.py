@@ -54,7 +54,7 @@ SCORED_ROWS_SQL = f"""WITH {USABLE_SQL}
 def scored_rows(predictions):
     """What SQL can know of predictions: which rows they are for, and that each has a probability."""
     return predictions.select(
-        "row_id", "test_year", "true_label", "train_n",
+        "row_id", "test_year", "true_label", C("train_n").cast("long").alias("train_n"),
         C("predicted_probability").between(0.0, 1.0).alias("has_score"),
     )
 
