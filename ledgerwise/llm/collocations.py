@@ -20,9 +20,9 @@ from pyspark.sql.window import Window
 from ledgerwise.llm import common, dictionary
 from ledgerwise.scale import attach_unique, cut_lineage, written
 
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 1 << 19
 # Entries of a leaf before it bursts, of a trie before it spills, and of a prefix partition about.
-LEAF, HELD, PARTITION = 1 << 17, 1 << 21, 1 << 20
+LEAF, HELD, PARTITION = 1 << 16, 1 << 20, 1 << 19
 TOP_SLICE = 50_000
 
 _BREAK = dictionary.byte_table(b".,;:!?\n\x0b\x0c\r")
@@ -53,17 +53,17 @@ class _Text:
 
     def record(self, field: str | None) -> dict:
         """Tokens are word numbers from 1, with a 0 between pieces."""
-        codes, words = dictionary.numbered(self.parts)
+        codes, words = dictionary.in_hash_order(*dictionary.numbered(self.parts))
         pieces = np.concatenate(self.pieces) if self.pieces else np.empty(0, np.int64)
         after = np.flatnonzero(np.diff(pieces)) + 1
         spelled, lengths = dictionary.unpacked(words)
         return {
             "block": int(np.random.default_rng().integers(1 << 62)),
             "field": field,
-            "words": spelled,
-            "lengths": lengths.tobytes(),
-            "counts": np.bincount(codes, minlength=len(words)).astype(np.int64).tobytes(),
-            "tokens": np.insert(codes + 1, after, 0).astype(np.int32).tobytes(),
+            "words": spelled.tobytes(),
+            "lengths": dictionary.compact(lengths),
+            "counts": dictionary.compact(np.bincount(codes, minlength=len(words))),
+            "tokens": dictionary.compact(np.insert(codes + 1, after, 0)),
             "n_words": len(codes),
         }
 
@@ -80,6 +80,7 @@ def _blocks(block_bytes: int):
                     own.add(data)
                     if own.bytes >= block_bytes:
                         yield dictionary.one_row(open_texts.pop(field).record(field), _BLOCK)
+                        common.released()
             if sum(t.bytes for t in open_texts.values()) >= 8 * block_bytes:
                 for field in list(open_texts):
                     yield dictionary.one_row(open_texts.pop(field).record(field), _BLOCK)
@@ -244,12 +245,12 @@ def _runs(entries: tuple[np.ndarray, np.ndarray, np.ndarray], partitions: int) -
                 "first": pa.array([first[a:b].astype(np.uint32).tobytes() for a, b in own], pa.binary()),
                 "second": pa.array([_second(rest[a:b]).astype(np.uint32).tobytes() for a, b in own], pa.binary()),
                 "third": pa.array([rest[a:b].astype(np.uint32).tobytes() for a, b in own], pa.binary()),
-                "counts": pa.array([counts[a:b].tobytes() for a, b in own], pa.binary()),
+                "counts": pa.array([dictionary.compact(counts[a:b]) for a, b in own], pa.binary()),
             }
         )
 
 
-def _count(shards: int, partitions: int):
+def _count(partitions: int):
     """Count the phrases of all blocks of a task in one trie."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -257,13 +258,13 @@ def _count(shards: int, partitions: int):
         for batch in batches:
             for k in range(batch.num_rows):
                 row = {n: batch.column(n)[k].as_py() for n in batch.schema.names}
-                lengths = np.frombuffer(row["lengths"], np.int32)
-                ids = dictionary.ids_of(row["answers"] or [], row["words"], lengths, shards)
+                ids = dictionary.ids_of(row["answers"])
                 if ids.max(initial=0) >> 32:
                     raise OverflowError("more than 2^32 frequent words")
-                trie.add(*phrases_of(np.frombuffer(row["tokens"], np.int32), ids))
+                trie.add(*phrases_of(dictionary.expand(row["tokens"]), ids))
                 while trie.size > HELD:
                     yield from _runs(trie.spill(0.5), partitions)
+            common.released()
         yield from _runs(trie.spill(1.0), partitions)
 
     return run
@@ -277,7 +278,7 @@ def _merge(min_count: int):
             np.frombuffer(b"".join(table.column(n).to_pylist()), np.uint32).astype(np.int64)
             for n in ("first", "second", "third")
         )
-        counts = np.frombuffer(b"".join(table.column("counts").to_pylist()), np.int64)
+        counts = np.concatenate([dictionary.expand(x) for x in table.column("counts").to_pylist()])
         rest = (second << 32) | third
         order = np.lexsort((rest, first))
         first, rest = first[order], rest[order]
@@ -285,6 +286,7 @@ def _merge(min_count: int):
         starts = np.flatnonzero(heads)
         totals = np.add.reduceat(counts[order], starts)
         own = starts[totals >= min_count]
+        common.released()
         return pa.table(
             {
                 "w1": pa.array(first[own]),
@@ -314,16 +316,16 @@ def frequent_phrases(
         common.text_bytes(text_column).alias("text"), F.coalesce(F.col(lang_column).cast("string"), F.lit("und")).alias("field")
     )
     schema = "block long, field string, words binary, lengths binary, counts binary, tokens binary, n_words long"
-    blocks = written(source.mapInArrow(_blocks(block_bytes), schema), "phrase-blocks")
-    answers, words, shards = dictionary.build(blocks, min_count)
+    blocks = written(source.mapInArrow(_blocks(block_bytes), schema), "phrase-blocks", compression="zstd")
+    answers, words = dictionary.build(blocks, min_count)
     words = cut_lineage(words)
     sizes = cut_lineage(blocks.groupBy("field").agg(F.sum("n_words").alias("n")))
     # About two runs a word; as many partitions as keep each of one size.
     total = sizes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     partitions = max(1, -(-2 * total // partition_size))
-    own = blocks.select("block", "words", "lengths", "tokens").join(answers, "block")
+    own = blocks.select("block", "tokens").join(answers, "block")
     runs = own.mapInArrow(
-        _count(shards, partitions), "part int, first binary, second binary, third binary, counts binary"
+        _count(partitions), "part int, first binary, second binary, third binary, counts binary"
     )
     phrases = runs.groupBy("part").applyInArrow(_merge(min_count), "w1 long, w2 long, w3 long, a long")
     return cut_lineage(phrases), words, sizes
