@@ -28,7 +28,9 @@ from ledgerwise.scale import cut_lineage, written
 CLASSES = 64
 # Rounds of exchange, first with frequent words as neighbours, then with classes as neighbours.
 ROUNDS = (4, 2)
-BLOCK_TOKENS = 3 << 19
+BLOCK_TOKENS = 3 << 18
+# What all blocks tell one shard, in bytes, about.
+SHARD_BYTES = 24 << 20
 # Each block proposes so many of its most frequent words as the first classes.
 PROPOSED = 512
 ADDED = 0.5
@@ -93,6 +95,7 @@ def _blocks(batches):
         size += len(hashes) + len(ends)
         if size >= BLOCK_TOKENS:
             yield block()
+            common.released()
             ids, held, lengths, words, size = [], [], [], [], 0
     if words:
         yield block()
@@ -103,6 +106,7 @@ def _rows(batches):
     for batch in batches:
         for k in range(batch.num_rows):
             yield batch.slice(k, 1).to_pylist()[0]
+        common.released()
 
 
 @dataclass
@@ -527,13 +531,17 @@ def _scores(end_class: int, model):
             state, open_places = now.copy(), now == NO_CLASS
             first = np.zeros(len(now), bool)
             first[starts] = True
-            # A run of unseen words is filled from its beginning, one place of all runs at a time.
-            while open_places.any():
-                before = np.concatenate(([end_class], state[:-1]))
-                before[first] = end_class
-                ready = open_places & (before != NO_CLASS)
-                state[ready] = guess[before[ready]]
-                open_places &= ~ready
+            # A word of a run of unseen ones is as many guesses away from the last known class as it stands
+            # behind it: guesses of 1, 2, 4, ... steps are made from each other.
+            places = np.arange(len(now))
+            known = np.maximum.accumulate(np.where(open_places & ~first, -1, places))
+            steps = np.where(open_places, places - known + (now[known] == NO_CLASS), 0)
+            reached = np.where(now[known] == NO_CLASS, end_class, now[known])
+            jump = guess
+            while steps.any():
+                reached = np.where(steps & 1, jump[reached], reached)
+                steps, jump = steps >> 1, jump[jump]
+            state[open_places] = reached[open_places]
             last = np.concatenate(([end_class], state[:-1]))
             last[first] = end_class
             gained = np.where(now == NO_CLASS, unseen[last], logs[last, np.where(now == NO_CLASS, 0, now)])
@@ -570,14 +578,16 @@ def class_scores(
         F.coalesce(F.col(held_out), F.lit(True)).alias("held_out"),
         common.text_bytes(text_column).alias("text"),
     )
-    shards = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    blocks = written(source.mapInArrow(_blocks, _BLOCK), "token-blocks")
+    blocks = written(source.mapInArrow(_blocks, _BLOCK), "token-blocks", compression="zstd")
+    # A word's message takes 14 bytes and up to 10 for each of its tokens in the block.
+    sent = F.length("vocabulary") / 8 * 14 + F.length("tokens") / 4 * 10
+    shards = max(1, -(-int(blocks.agg(F.coalesce(F.sum(sent), F.lit(0.0))).first()[0]) // SHARD_BYTES))
     proposed = blocks.mapInArrow(_proposals, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
     seeds = proposed.orderBy(F.col("n").desc(), "word").limit(CLASSES - 1).collect()
     exchange = Exchange(np.array([r.word for r in seeds], np.int64).view(np.uint64))
     sent = spark.sparkContext.broadcast(exchange)
     messages = blocks.mapInArrow(_first_neighbours(sent, shards), _NEIGHBOURS)
-    table = written(messages.groupBy("shard").applyInArrow(_added_up, _SHARD), "word-neighbours")
+    table = written(messages.groupBy("shard").applyInArrow(_added_up, _SHARD), "word-neighbours", compression="zstd")
     for step, n in enumerate(rounds):
         for _ in range(n):
             found = _table(spark, table, exchange)
@@ -593,6 +603,7 @@ def class_scores(
             table = written(
                 fresh.groupBy("shard").cogroup(classed.groupBy("shard")).applyInArrow(_restart, _SHARD),
                 "word-neighbours",
+                compression="zstd",
             )
             exchange = Exchange(exchange.seeds)
     stats = classed.mapInArrow(_class_stats, "class int, tokens long, words long, singles long, ends long")
@@ -603,7 +614,7 @@ def class_scores(
     distinct = sum(row.words for row in stats)
     end_class = next((row["class"] for row in stats if row.ends), 0)
     model = ClassModel.of(int(tokens.sum()), distinct, tokens, singles, None)
-    coded = written(answered.mapInArrow(_coded(shards, spark.sparkContext.broadcast(model)), _CODED), "coded")
+    coded = written(answered.mapInArrow(_coded(shards, spark.sparkContext.broadcast(model)), _CODED), "coded", compression="zstd")
     counts = coded.where("not held_out").select("sequence").mapInArrow(_transition_counts(end_class), "at long, n long")
     moves = np.zeros(CLASSES**2)
     for row in counts.groupBy("at").agg(F.sum("n").alias("n")).collect():
