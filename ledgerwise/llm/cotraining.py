@@ -2,27 +2,26 @@
 
 The text view sees which words and symbol runs a document holds. The metadata view sees where the
 page comes from and how it is laid out: source, language, length, lines, and shares of character
-kinds. Each view is a logistic model. Over some rounds each view labels the pool documents that it
-is most sure of for the other view. Both views are then calibrated on labelled rows that no model
-has seen, combined, and applied to all documents.
-
-The models are fitted on the driver on a bounded sample: at most SAMPLE labelled documents and at
-most POOL unlabelled ones. Only the two small models are broadcast; every document is scored.
+kinds. Each view is a logistic model, fitted on the driver on at most SAMPLE labelled documents. Over some
+rounds both views score all other documents of the corpus on Spark, and each hands the other those that it
+is most sure of, as many as a tenth of the sample for each class. Both views are then calibrated on labelled
+rows that no model has seen, combined, and applied to all documents. Only the two small models are broadcast.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerwise.llm import common
+from ledgerwise.scale import cut_lineage, written
 
-SAMPLE, POOL = 10_000, 2_000
+SAMPLE = 10_000
 ROUNDS, SURE = 3, 0.95
 # A feature has to occur in so many documents of the sample, and at most so many features count.
 LEAST_DOCUMENTS, MOST_FEATURES = 3, 50_000
@@ -30,7 +29,7 @@ CALIBRATION_SHARE = 5
 # Rows of the sample that are worked on at a time, which bounds the driver's memory.
 PART = 500
 # Steps of the first fit of a view, and of later ones, which start where the last one ended.
-STEPS, MORE_STEPS = 150, 50
+STEPS, MORE_STEPS = 300, 100
 # Beginnings of words, in bytes, that count like words.
 BEGINNINGS = (4, 6)
 THRESHOLD = 0.5
@@ -137,7 +136,7 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 class ViewRows:
     """The sample's rows in one view, on the features that enough of them hold, and a model of them."""
 
-    def __init__(self, rows: list[np.ndarray]):
+    def __init__(self, rows: list[np.ndarray], before: View | None = None):
         hashes, n = np.empty(0, np.uint32), np.empty(0, np.int32)
         for first in range(0, len(rows), PART):
             own = np.unique(np.concatenate(rows[first : first + PART]), return_counts=True)
@@ -148,6 +147,11 @@ class ViewRows:
             often = np.sort(often[np.argsort(-n[often], kind="stable")[:MOST_FEATURES]])
         self.hashes, self.n = hashes[often], len(rows)
         self.weights, self.constant = np.zeros(len(often)), 0.0
+        if before is not None and len(before.hashes):
+            # Go on from the last model, whose features may be fewer.
+            places = np.minimum(np.searchsorted(before.hashes, self.hashes), len(before.hashes) - 1)
+            self.weights = np.where(before.hashes[places] == self.hashes, before.weights[places], 0.0)
+            self.constant = before.constant
         # Row within the part and feature of every entry, part by part.
         self.parts: list[tuple[np.ndarray, np.ndarray]] = []
         for first in range(0, len(rows), PART):
@@ -160,6 +164,9 @@ class ViewRows:
             # PART rows and MOST_FEATURES features have numbers of 16 bits.
             self.parts.append((row[own].astype(np.uint16), column[own].astype(np.uint16)))
 
+    def model(self) -> View:
+        return View(self.hashes, self.weights, float(self.constant))
+
     def margins(self) -> np.ndarray:
         sums = [np.bincount(row, self.weights[column], PART) for row, column in self.parts]
         return self.constant + np.concatenate(sums)[: self.n]
@@ -228,24 +235,27 @@ class QualityModel:
         return _sigmoid(text), _sigmoid(page), _sigmoid(a * text + b * page + c)
 
 
+# One view is sure of a document: teacher, supposed label, key, and the document's two rows of features.
+Found = tuple[str, int, int, np.ndarray, np.ndarray]
+
+
 def co_train(
     text_rows: list[np.ndarray],
     page_rows: list[np.ndarray],
     labels: np.ndarray,
+    surest: Callable[[dict[str, View], int, set[int]], list[Found]] | None = None,
     rounds: int = ROUNDS,
-    sure: float = SURE,
 ) -> QualityModel:
-    """Fit both views. `labels` is 1, 0, or -1 for pool documents without a label.
+    """Fit both views. `labels` is 1 or 0.
 
-    The lists of rows are emptied, to free their memory. Rows keep their order, which must not depend
-    on the labels. Every CALIBRATION_SHARE-th labelled
-    row is set aside for calibration. In each round each view hands the other at most a tenth of
-    the labelled rows of each class, its surest ones. With no labelled row of one class, all
-    documents get the share of the other class among the labels, 1 without labels.
+    Rows keep their order, which must not depend on the labels. Every CALIBRATION_SHARE-th row is set
+    aside for calibration. In each round `surest` is asked for the unlabelled documents that each of the
+    views is surest of, at most a tenth of the labelled rows of each class, other than those of given keys.
+    With no labelled row of one class, all documents get the share of the other class among the labels, 1
+    without labels.
     """
-    known = np.flatnonzero(labels >= 0)
+    known = np.arange(len(labels))
     held, used = known[::CALIBRATION_SHARE], np.setdiff1d(known, known[::CALIBRATION_SHARE])
-    pool = np.flatnonzero(labels < 0)
     none = np.empty(0, np.uint32)
     if len(set(labels[used].tolist())) < 2 or len(set(labels[held].tolist())) < 2:
         share = float(labels[known].mean()) if len(known) else 1.0
@@ -253,41 +263,39 @@ def co_train(
         flat = View(none, np.empty(0), odds)
         return QualityModel(flat, flat, (0.5, 0.5, 0.0))
 
-    views = {"text": ViewRows(text_rows), "page": ViewRows(page_rows)}
-    # The views hold what is needed from here on.
-    text_rows.clear()
-    page_rows.clear()
-    # What the other view has taught each view: documents and their supposed labels.
-    taught: dict[str, dict[int, float]] = {"text": {}, "page": {}}
+    rows = {"text": text_rows, "page": page_rows}
+    # What the other view has taught each view: supposed labels and features by document.
+    taught: dict[str, dict[int, tuple[int, np.ndarray]]] = {"text": {}, "page": {}}
+    models: dict[str, View] = {}
     most = max(1, len(used) // 10)
+    columns = {}
     for step in range(rounds + 1):
-        for name, view in views.items():
-            extra = np.array(sorted(taught[name]), np.int64)
-            y = np.concatenate((labels[used], [taught[name][k] for k in extra.tolist()])).astype(float)
-            view.fit(np.concatenate((used, extra)), y, *((MORE_STEPS, 0.02) if step else (STEPS, 0.1)))
-        if step == rounds:
+        for name, own in rows.items():
+            extra = sorted(taught[name].items())
+            view = ViewRows([*own, *[row for _, (_, row) in extra]], models.get(name))
+            y = np.concatenate((labels[used], [label for _, (label, _) in extra])).astype(float)
+            which = np.concatenate((used, np.arange(len(own), len(own) + len(extra))))
+            view.fit(which, y, *((MORE_STEPS, 0.02) if step else (STEPS, 0.1)))
+            models[name], columns[name] = view.model(), view.margins()[held]
+            del view
+        common.released()
+        if step == rounds or surest is None:
             break
-        for name, other in (("text", "page"), ("page", "text")):
-            left = np.array([k for k in pool.tolist() if k not in taught[other]], np.int64)
-            if not len(left):
-                continue
-            p = _sigmoid(views[name].margins()[left])
-            order = np.argsort(p, kind="stable")
-            good = [k for k in order[::-1][:most].tolist() if p[k] >= sure]
-            bad = [k for k in order[:most].tolist() if p[k] <= 1 - sure]
-            taught[other].update({int(left[k]): 1.0 for k in good} | {int(left[k]): 0.0 for k in bad})
+        known_keys = set(taught["text"]) | set(taught["page"])
+        for teacher, label, key, text, page in surest(models, most, known_keys):
+            other, row = ("page", page) if teacher == "text" else ("text", text)
+            taught[other].setdefault(key, (label, row))
     y = labels[held].astype(float)
-    calibrated, columns = {}, []
-    for name, view in views.items():
-        margins = view.margins()[held]
-        slope, shift = fit_dense(margins[:, None], y, [1.0, 0.0])
-        calibrated[name] = View(view.hashes, view.weights, float(view.constant), float(slope), float(shift))
-        columns.append(slope * margins + shift)
-    a, b, c = fit_dense(np.column_stack(columns), y, [0.5, 0.5, 0.0])
+    calibrated, logits = {}, []
+    for name, model in models.items():
+        slope, shift = fit_dense(columns[name][:, None], y, [1.0, 0.0])
+        calibrated[name] = View(model.hashes, model.weights, model.constant, float(slope), float(shift))
+        logits.append(slope * columns[name] + shift)
+    a, b, c = fit_dense(np.column_stack(logits), y, [0.5, 0.5, 0.0])
     return QualityModel(calibrated["text"], calibrated["page"], (float(a), float(b), float(c)))
 
 
-_FEATURES = "doc_id long, label int, text_features binary, page_features binary"
+_FEATURES = "doc_id long, key long, text_features binary, page_features binary"
 
 
 def _feature_rows(batches):
@@ -298,12 +306,76 @@ def _feature_rows(batches):
         yield pa.RecordBatch.from_arrays(
             [
                 part.column("doc_id"),
-                part.column("label"),
+                part.column("key"),
                 pa.array([f.tobytes() for f in text], pa.binary()),
                 pa.array([f.tobytes() for f in page], pa.binary()),
             ],
-            ["doc_id", "label", "text_features", "page_features"],
+            ["doc_id", "key", "text_features", "page_features"],
+        )
+
+
+def _surest_rows(models, most: int, sure: float, without):
+    """The documents of a task that each view is surest of, at most `most` of each class."""
+
+    def run(batches):
+        best: dict[tuple[str, int], tuple[np.ndarray, np.ndarray]] = {}
+        odds = float(np.log(sure / (1 - sure)))
+        for part in common.slices(batches, "text_features"):
+            keys = part.column("key").to_numpy()
+            fresh = ~np.isin(keys, without.value)
+            for name, view in models.value.items():
+                margins = view.margins(_feature_views(part.column(f"{name}_features")))
+                for label, sign in ((1, 1.0), (0, -1.0)):
+                    own = np.flatnonzero((sign * margins >= odds) & fresh)
+                    known = best.get((name, label), (np.empty(0, np.int64), np.empty(0)))
+                    both = np.concatenate((known[0], keys[own])), np.concatenate((known[1], sign * margins[own]))
+                    # Copies have one key and one margin.
+                    _, first = np.unique(both[0], return_index=True)
+                    first = first[np.lexsort((both[0][first], -both[1][first]))[:most]]
+                    best[name, label] = both[0][first], both[1][first]
+        for (name, label), (keys, margins) in best.items():
+            yield pa.RecordBatch.from_pydict(
+                {
+                    "teacher": pa.array([name] * len(keys), pa.string()), "label": pa.array([label] * len(keys), pa.int32()),
+                    "key": pa.array(keys, pa.int64()), "margin": pa.array(margins, pa.float64()),
+                }
+            )
+
+    return run
+
+
+def surest_of(features: DataFrame, sampled: set[int], sure: float):
+    """How to ask all documents but the sampled ones for those that the views are surest of."""
+    spark = features.sparkSession
+
+    def surest(models: dict[str, View], most: int, known: set[int]) -> list[Found]:
+        sent = spark.sparkContext.broadcast(models)
+        without = spark.sparkContext.broadcast(np.array(sorted(sampled | known), np.int64))
+        rows = cut_lineage(
+            features.select("key", "text_features", "page_features").mapInArrow(
+                _surest_rows(sent, most, sure, without), "teacher string, label int, key long, margin double"
+            ).distinct()
         )
+        picked = [
+            row
+            for name in models
+            for label in (1, 0)
+            for row in rows.where((F.col("teacher") == name) & (F.col("label") == label))
+            .orderBy(F.desc("margin"), "key").limit(most).collect()
+        ]
+        # At most `most` documents of each class and view, each once.
+        wanted = spark.createDataFrame([(k,) for k in sorted({row.key for row in picked})], "key long")
+        found = features.join(F.broadcast(wanted), "key").select("key", "text_features", "page_features")
+        own = {row.key: row for row in found.dropDuplicates(["key"]).collect()}
+        return [
+            (
+                row.teacher, row.label, row.key, np.frombuffer(own[row.key].text_features, np.uint32),
+                np.frombuffer(own[row.key].page_features, np.uint32),
+            )
+            for row in picked
+        ]
+
+    return surest
 
 
 def _narrow(docs: DataFrame, *more) -> DataFrame:
@@ -317,41 +389,41 @@ def _narrow(docs: DataFrame, *more) -> DataFrame:
 
 
 def learn_quality(
-    docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, pool: int = POOL, rounds: int = ROUNDS
+    docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, rounds: int = ROUNDS, sure: float = SURE
 ) -> QualityModel:
     """Learn which documents are acceptable: of quality 1 and not toxic.
 
     `labels` has doc_id, quality and toxic. A missing quality or toxic leaves the row out; where a
-    document has several rows, the worst counts. The `sample` labelled and `pool` unlabelled
-    documents with the smallest hashes of their ids are used, whatever the size of the tables.
+    document has several rows, the worst counts. The `sample` labelled ids with the smallest hashes are
+    used, one document of each. All other documents, labelled or not, are the unlabelled side: in each
+    round they are scored on Spark. Their features are written once.
     """
     good = (F.col("quality") == 1) & (F.col("toxic") == 0)
     known = labels.where("doc_id is not null and quality is not null and toxic is not null")
     known = known.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min(good.cast("int")).alias("label"))
-    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null")
-    mark = F.xxhash64("doc_id")
-    labelled = known.join(ids, "doc_id", "left_semi").orderBy(mark, "doc_id").limit(sample)
-    others = ids.join(known, "doc_id", "left_anti").distinct().orderBy(mark, "doc_id").limit(pool)
-    chosen = labelled.unionByName(others.withColumn("label", F.lit(-1)))
-    # At most sample + pool rows of two numbers are broadcast.
-    rows = _narrow(docs).join(F.broadcast(chosen), "doc_id").mapInArrow(_feature_rows, _FEATURES)
-    got = rows.toArrow().combine_chunks()
+    keyed = _narrow(docs).withColumn("key", F.xxhash64("text", F.col("text").isNull(), "source", F.lit(0), "lang"))
+    features = written(keyed.mapInArrow(_feature_rows, _FEATURES), "page-features")
+    # One document of an id, before any row is collected.
+    firsts = features.where("doc_id is not null").groupBy("doc_id").agg(F.min("key").alias("key"))
+    chosen = known.join(firsts, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    chosen = cut_lineage(chosen)
+    # At most `sample` rows of three numbers are broadcast, and as many rows of features collected.
+    rows = features.join(F.broadcast(chosen), ["doc_id", "key"]).dropDuplicates(["doc_id"])
+    got = rows.select("doc_id", "key", "label", "text_features", "page_features").toArrow().combine_chunks()
     text, page = _feature_views(got.column("text_features")), _feature_views(got.column("page_features"))
     ids, known_labels = got.column("doc_id").to_pylist(), np.array(got.column("label").to_pylist(), np.int64)
-    # By the id's hash; rows of equal ids by their features.
-    order = sorted(
-        range(len(ids)),
-        key=lambda k: (hash_order(ids[k]), xxhash.xxh3_64_intdigest(text[k].tobytes() + page[k].tobytes())),
-    )
-    return co_train([text[k] for k in order], [page[k] for k in order], known_labels[order], rounds)
+    order = sorted(range(len(ids)), key=lambda k: hash_order(ids[k]))
+    surest = surest_of(features, set(got.column("key").to_pylist()), sure)
+    return co_train([text[k] for k in order], [page[k] for k in order], known_labels[order], surest, rounds)
 
 
-def _feature_views(column: pa.ChunkedArray) -> list[np.ndarray]:
+def _feature_views(column: pa.ChunkedArray | pa.Array) -> list[np.ndarray]:
     """The features of every row, as views of the column's memory."""
     if not len(column):
         return []
-    _, offsets, data = column.chunk(0).buffers()
-    bounds = np.frombuffer(offsets, np.int32)[: len(column) + 1] // 4
+    array = column.chunk(0) if isinstance(column, pa.ChunkedArray) else column
+    _, offsets, data = array.buffers()
+    bounds = np.frombuffer(offsets, np.int32)[array.offset : array.offset + len(array) + 1] // 4
     flat = np.frombuffer(data, np.uint8)[: 4 * int(bounds[-1])].view(np.uint32)
     return [flat[a:b] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
 
