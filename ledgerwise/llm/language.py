@@ -20,9 +20,11 @@ from pyspark.sql import functions as F
 
 from ledgerwise.llm import common
 
-# Characters of each language that are learned, at most of one document, and of one piece of it.
-LEARNED_POINTS, DOCUMENT_POINTS, PIECE_POINTS = 48_000, 2_000, 200
+# Characters of each language that are learned, as whole texts.
+LEARNED_POINTS = 64_000
 MAX_LANGUAGES = 512
+# Cells of a transition table that is laid out in full; a larger one is searched.
+FULL_CELLS = 1 << 24
 SEGMENT = 256
 SLICE_BYTES = 2 << 20
 UNKNOWN = "und"
@@ -80,10 +82,10 @@ class LanguageModel:
     edges: list[np.ndarray]
 
     @staticmethod
-    def learn(samples: dict[str, list[str]], points: int = LEARNED_POINTS) -> LanguageModel:
-        """Build from texts by language, the first `points` characters of each language's texts."""
+    def learn(samples: dict[str, list[str]]) -> LanguageModel:
+        """Build from texts by language."""
         names = sorted(samples)
-        texts = {name: " ".join(samples[name])[:points] for name in names}
+        texts = {name: " ".join(samples[name]) for name in names}
         letters = {lower_letter(ord(x)) for text in texts.values() for x in text}
         alphabet = sorted(x for x in letters if x)
         number = {x: k + FOREIGN + 1 for k, x in enumerate(alphabet)}
@@ -106,30 +108,48 @@ class LanguageModel:
         return np.fromiter(symbols, np.int32, 0x110000)
 
     @cached_property
-    def tables(self) -> list[np.ndarray]:
-        """Next state times the width of a row, for each state and symbol; 0 is no way."""
-        width, out = self.width, []
+    def tables(self) -> list[tuple[np.ndarray, int, np.ndarray | None, np.ndarray]]:
+        """Per language: the column of each symbol, the width of a row, keys and next states.
+
+        A key is the state times the width plus the column, and the next state comes times the width; 0 is
+        no way. Column 0 is for symbols that the language's sample lacks. Without keys, next states are laid
+        out in full.
+        """
+        out = []
         for states, edges in zip(self.states, self.edges):
-            table = np.zeros(states * width, np.int32)
-            table[edges[:, 0] * width + edges[:, 1]] = edges[:, 2] * width
-            out.append(table)
+            own = np.unique(edges[:, 1])
+            column = np.zeros(len(self.alphabet) + FOREIGN + 1, np.int64)
+            column[own] = np.arange(1, len(own) + 1)
+            width = len(own) + 1
+            keys, following = edges[:, 0].astype(np.int64) * width + column[edges[:, 1]], edges[:, 2].astype(np.int64) * width
+            if states * width <= FULL_CELLS:
+                table = np.zeros(states * width, np.int32)
+                table[keys] = following
+                out.append((column, width, None, table))
+            else:
+                order = np.argsort(keys)
+                out.append((column, width, np.append(keys[order], 1 << 62), np.append(following[order], 0)))
         return out
 
-    @property
-    def width(self) -> int:
-        return len(self.alphabet) + FOREIGN + 1
-
     def phrases(self, symbols: np.ndarray) -> np.ndarray:
         """Phrases by language and segment. `symbols` has a row for each place in a segment."""
         out = np.zeros((len(self.names), symbols.shape[1]), np.int64)
-        for k, table in enumerate(self.tables):
-            state = np.zeros(symbols.shape[1], np.int32)
+        for k, (column, _, keys, table) in enumerate(self.tables):
+
+            def step(at: np.ndarray) -> np.ndarray:
+                if keys is None:
+                    return table[at]
+                places = np.searchsorted(keys, at)
+                return np.where(keys[places] == at, table[places], 0)
+
+            state = np.zeros(symbols.shape[1], table.dtype)
             count = np.zeros(symbols.shape[1], np.int32)
             for row in symbols:
-                following = table[state + row]
+                own = column[row]
+                following = step(state + own)
                 # A phrase begins where the last one can't go on, or where there is none.
                 begins = (following == 0) | (state == 0)
-                state = np.where(following == 0, table[row], following)
+                state = np.where(following == 0, step(own), following)
                 count += begins & (row != END)
             out[k] = count
         return out
@@ -160,53 +180,46 @@ class LanguageModel:
         return names, scores
 
 
-def learn_languages(
-    labelled: DataFrame, points: int = LEARNED_POINTS, document_points: int = DOCUMENT_POINTS
-) -> LanguageModel:
+def learn_languages(labelled: DataFrame, points: int = LEARNED_POINTS) -> LanguageModel:
     """Learn from columns text and lang; rows where text or lang is null are left out.
 
-    Of each language about four times `points` characters are drawn, from all its distinct texts alike
-    by a hash of the text, so ids and the number of copies don't matter. A text of more than
-    `document_points` gives that many, in pieces from seeded places all over it. `points` of them are
-    learned, in an order of the pieces by hash. So the driver holds a bounded number of characters, and
-    so of rows, for each of at most MAX_LANGUAGES languages.
+    Of each language whole distinct texts are drawn by a hash of the text, so ids and the number of copies
+    don't matter, as long as they fit into `points` characters together; a text that does not fit is passed
+    over. Where every text of a language is longer than that, the shortest one is learned. So the driver
+    holds a bounded number of characters, and so of rows, for each of at most MAX_LANGUAGES languages (more
+    are an error), beyond that one text.
     """
     usable = labelled.where("text is not null and lang is not null and length(text) > 0").select(
         "lang", "text", F.xxhash64("text", "lang").alias("place"), F.length("text").alias("size")
     )
-    capped = F.least("size", F.lit(document_points)).alias("points")
-    once = usable.select("lang", "place", capped).distinct()
-    totals = once.groupBy("lang").agg(F.sum("points").alias("points")).limit(MAX_LANGUAGES + 1).collect()
+    fits = F.col("size") <= points
+    once = usable.select("lang", "place", "size").distinct()
+    totals = once.groupBy("lang").agg(
+        F.sum(F.when(fits, F.col("size"))).alias("points"), F.min(F.struct("size", "place")).alias("shortest")
+    )
+    totals = totals.limit(MAX_LANGUAGES + 1).collect()
     if len(totals) > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
     if not totals:
         return LanguageModel.learn({})
+    # About four times the characters that are learned, so that what is left out can be made up for.
     rates = labelled.sparkSession.createDataFrame(
-        [(row.lang, min(1.0, 4 * points / row.points)) for row in totals], "lang string, rate double"
+        [(r.lang, min(1.0, 4 * points / r.points) if r.points else 0.0, r.shortest.place) for r in totals],
+        "lang string, rate double, shortest long",
     )
     # At most MAX_LANGUAGES rows are broadcast.
-    drawn = usable.join(F.broadcast(rates), "lang").where(
-        F.shiftrightunsigned("place", 11) < F.col("rate") * F.lit(float(1 << 53))
-    )
-    # A text is cut into equal parts; of each, a piece is taken from a place that a hash decides.
-    most = max(1, document_points // PIECE_POINTS)
-    length = -(-document_points // most)
-    parts = F.least(F.ceil(F.col("size") / length), F.lit(most))
-
-    def piece(k):
-        first, end = F.floor(F.col("size") * k / parts), F.floor(F.col("size") * (k + 1) / parts)
-        taken = F.least(end - first, F.lit(length))
-        start = first + F.pmod(F.xxhash64("place", k), end - first - taken + 1)
-        text = F.substring("text", (start + 1).cast("int"), taken.cast("int"))
-        return F.struct(F.xxhash64("place", k, F.lit(1)).alias("turn"), text.alias("text"))
-
-    pieces = F.transform(F.sequence(F.lit(0), (parts - 1).cast("int")), piece)
-    rows = drawn.select("lang", "place", pieces.alias("pieces")).dropDuplicates(["lang", "place"])
-    rows = rows.select("lang", F.inline("pieces"))
-    samples: dict[str, list[str]] = {row.lang: [] for row in totals}
-    for row in sorted(rows.collect()):
-        samples[row.lang].append(row.text)
-    return LanguageModel.learn({name: texts for name, texts in samples.items() if texts}, points)
+    marked = usable.join(F.broadcast(rates), "lang")
+    by_hash = fits & (F.shiftrightunsigned("place", 11) < F.col("rate") * F.lit(float(1 << 53)))
+    alone = (F.col("rate") == 0) & (F.col("place") == F.col("shortest"))
+    rows = marked.where(by_hash | alone).dropDuplicates(["lang", "place"]).select("lang", "place", "text").collect()
+    samples: dict[str, list[str]] = {r.lang: [] for r in totals}
+    left = {r.lang: points for r in totals}
+    for row in sorted(rows, key=lambda r: (r.lang, common.mix64(np.array([r.place], np.int64).view(np.uint64))[0], r.text)):
+        # A character lies between two texts.
+        if len(row.text) < left[row.lang] or not samples[row.lang]:
+            samples[row.lang].append(row.text)
+            left[row.lang] -= len(row.text) + 1
+    return LanguageModel.learn({name: texts for name, texts in samples.items() if texts})
 
 
 _MODELS: dict[int, LanguageModel] = {}
