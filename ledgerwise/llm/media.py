@@ -13,7 +13,7 @@ import re
 import struct
 import zlib
 from collections.abc import Callable
-from functools import cache
+from functools import cache, cached_property
 
 import ahocorasick
 import numpy as np
@@ -111,21 +111,6 @@ def bmp_length(data: bytes, start: int) -> int:
     return total if fits else 0
 
 
-def jpeg_length(data: bytes, start: int) -> int:
-    """Length of a JPEG object: segments up to a scan, then coded data up to the end marker."""
-    at = start + 2
-    while at + 4 <= len(data) and data[at] == 0xFF:
-        kind = data[at + 1]
-        size = int.from_bytes(data[at + 2 : at + 4], "big")
-        if size < 2:
-            return 0
-        at += 2 + size
-        if kind == 0xDA:
-            end = data.find(b"\xff\xd9", at)
-            return end + 2 - start if end >= 0 else 0
-    return 0
-
-
 def gzip_length(data: bytes, start: int) -> int:
     """Length of a gzip member that unpacks and whose checksum is right."""
     unpacker = zlib.decompressobj(31)
@@ -139,23 +124,80 @@ def gzip_length(data: bytes, start: int) -> int:
     return 0
 
 
-def zip_length(data: bytes, start: int) -> int:
-    """Length of a ZIP object whose end record points at its directory."""
-    at = data.find(b"PK\x05\x06", start)
-    while at >= 0:
-        size, offset = _u32(data, at + 12), _u32(data, at + 16)
-        if at + 22 <= len(data) and start + offset + size == at:
-            return at + 22 + int.from_bytes(data[at + 20 : at + 22], "little") - start
-        at = data.find(b"PK\x05\x06", at + 4)
+class Marks:
+    """End marks of a value, each found once, so that a value full of beginnings is not searched for each."""
+
+    # A cross reference with its place and the end mark; the number of an object.
+    STARTXREF = re.compile(rb"startxref\s+(\d{1,12})\s+%%EOF")
+    OBJECT = re.compile(rb"(?<!\d)(\d++)\s++\d++\s++obj")
+
+    def __init__(self, data: bytes):
+        self.data = data
+
+    def places(self, mark: bytes) -> np.ndarray:
+        return np.array([m.start() for m in re.finditer(re.escape(mark), self.data)], np.int64)
+
+    @cached_property
+    def zip_ends(self) -> dict[int, int]:
+        """End of the first directory that says that its object begins at a place."""
+        ends: dict[int, int] = {}
+        for at in self.places(b"PK\x05\x06").tolist():
+            if at + 22 <= len(self.data):
+                comment = int.from_bytes(self.data[at + 20 : at + 22], "little")
+                ends.setdefault(at - _u32(self.data, at + 12) - _u32(self.data, at + 16), at + 22 + comment)
+        return ends
+
+    @cached_property
+    def jpeg_ends(self) -> np.ndarray:
+        return self.places(b"\xff\xd9")
+
+    @cached_property
+    def pdf(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Places of end marks and of cross reference words; start, end and named place of whole marks;
+        and for each byte whether a cross reference may stand there."""
+        whole = [(m.start(), m.end(), int(m[1])) for m in self.STARTXREF.finditer(self.data)]
+        target = np.zeros(len(self.data) + 1, bool)
+        target[self.places(b"xref")] = True
+        for m in self.OBJECT.finditer(self.data):
+            target[m.start(1) : m.end(1)] = True
+        marks = np.array(whole, np.int64).reshape(-1, 3)
+        return self.places(b"%%EOF"), self.places(b"startxref"), marks, target
+
+    @cached_property
+    def named(self) -> np.ndarray:
+        """Distinct places that cross references name, counted from the object's begin."""
+        return np.unique(self.pdf[2][:, 2])
+
+
+def _from(places: np.ndarray, start: int) -> int:
+    """The first of some places that is not before another; -1 if there is none."""
+    k = int(np.searchsorted(places, start))
+    return int(places[k]) if k < len(places) else -1
+
+
+def jpeg_length(data: bytes, start: int, marks: Marks | None = None) -> int:
+    """Length of a JPEG object: segments up to a scan, then coded data up to the end marker."""
+    marks = marks or Marks(data)
+    at = start + 2
+    while at + 4 <= len(data) and data[at] == 0xFF:
+        kind = data[at + 1]
+        size = int.from_bytes(data[at + 2 : at + 4], "big")
+        if size < 2:
+            return 0
+        at += 2 + size
+        if kind == 0xDA:
+            end = _from(marks.jpeg_ends, at)
+            return end + 2 - start if end >= 0 else 0
     return 0
 
 
-# An end mark with the place of its cross reference, a table or a stream object.
-_STARTXREF = re.compile(rb"startxref\s+(\d{1,12})\s+%%EOF")
-_XREF = re.compile(rb"xref|\d+\s+\d+\s+obj")
+def zip_length(data: bytes, start: int, marks: Marks | None = None) -> int:
+    """Length of a ZIP object whose end record points at its directory."""
+    end = (marks or Marks(data)).zip_ends.get(start)
+    return end - start if end is not None else 0
 
 
-def pdf_length(data: bytes, start: int) -> int:
+def pdf_length(data: bytes, start: int, marks: Marks | None = None) -> int:
     """Length of a PDF object: a version, a cross reference and its last end mark.
 
     The first end mark counts in any case. A later one counts if its cross reference is where it says,
@@ -163,19 +205,25 @@ def pdf_length(data: bytes, start: int) -> int:
     """
     if not data[start + 5 : start + 6].isdigit():
         return 0
-    end = data.find(b"%%EOF", start)
-    if end < 0 or data.find(b"startxref", start, end) < 0:
+    marks = marks or Marks(data)
+    ends, words, whole, target = marks.pdf
+    end, word = _from(ends, start), _from(words, start)
+    if end < 0 or word < 0 or word + 9 > end:
         return 0
-    first = _STARTXREF.search(data, start, end + 5)
-    linear, last, at = first is not None and int(first[1]) == 0, end + 5, end + 5
-    for mark in _STARTXREF.finditer(data, at):
-        place = start + int(mark[1])
-        if _XREF.match(data, place) and (last <= place < mark.start() or (linear and start < place < last)):
-            last, linear = mark.end(), False
+    if not target[np.minimum(start + marks.named, len(data))].any():
+        return end + 5 - start
+    k = int(np.searchsorted(whole[:, 0], start))
+    linear = k < len(whole) and whole[k, 1] <= end + 5 and whole[k, 2] == 0
+    last, rest = end + 5, whole[np.searchsorted(whole[:, 0], end + 5) :]
+    named = start + rest[:, 2]
+    for mark in np.flatnonzero(target[np.minimum(named, len(data))] & (named < rest[:, 0])).tolist():
+        place = int(named[mark])
+        if last <= place or (linear and start < place < last):
+            last, linear = int(rest[mark, 1]), False
     return last - start
 
 
-VALIDATORS: dict[str, Callable[[bytes, int], int]] = {
+VALIDATORS: dict[str, Callable[..., int]] = {
     "audio/wav": wav_length,
     "image/png": png_length,
     "image/gif": gif_length,
@@ -185,6 +233,11 @@ VALIDATORS: dict[str, Callable[[bytes, int], int]] = {
     "application/zip": zip_length,
     "application/pdf": pdf_length,
 }
+MARKED = {"image/jpeg", "application/zip", "application/pdf"}
+
+
+def _length(kind: str, data: bytes, start: int, marks: Marks) -> int:
+    return VALIDATORS[kind](data, start, marks) if kind in MARKED else VALIDATORS[kind](data, start)
 
 
 @cache
@@ -207,12 +260,12 @@ def sniff(data: bytes) -> list[tuple[int, int, str]]:
         (end + 1 - size - offset, kind)
         for end, (kind, size, offset) in _automaton().iter(data.decode("latin-1"))
     ]
-    found, covered = [], 0
+    found, covered, marks = [], 0, Marks(data)
     best: dict[int, tuple[int, str]] = {}
     for start, kind in sorted(hits):
         if start < covered:
             continue
-        length = VALIDATORS[kind](data, start)
+        length = _length(kind, data, start, marks)
         if length > 0 and (start not in best or length > best[start][0]):
             best[start] = (length, kind)
             covered = max(covered, start + length)
@@ -231,7 +284,8 @@ def nested(data: bytes) -> list[tuple[int, int, str, int, int]]:
         (end + 1 - size - offset, kind)
         for end, (kind, size, offset) in _automaton().iter(data.decode("latin-1"))
     }
-    spans = [(start, VALIDATORS[kind](data, start), kind) for start, kind in hits if start >= 0]
+    marks = Marks(data)
+    spans = [(start, _length(kind, data, start, marks), kind) for start, kind in hits if start >= 0]
     found, around = [], []
     for start, length, kind in sorted((s for s in spans if s[1] > 0), key=lambda s: (s[0], -s[1], s[2])):
         # Those that end before this one begins hold nothing that follows.
