@@ -24,15 +24,15 @@ from tokenizers import Tokenizer
 
 from ledgerwise.llm import common
 
-VOCABULARY = "/opt/tokenizers/word_bpe_49k.json"
-# Words remembered by a worker; the memory for them is bounded by this number.
-REMEMBERED = 300_000
+VOCABULARY = "word_bpe_49k.json"
+# Words and tested pairs remembered by a worker; the memory for them is bounded by these numbers.
+REMEMBERED, PAIRS = 150_000, 1_000_000
 # Words up to so many letters are cut and merged many at a time, longer ones one by one.
 LONG, CHUNK = 48, 4096
 NO_RANK = 1 << 40
 # Symbols of the prefix tree: bytes, the word end, and one that no token has.
 WORD_END, NO_SYMBOL, SYMBOLS = 256, 257, 258
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 
 # Characters whose classes are the same in all versions of Unicode: Latin, Greek, Cyrillic and
 # common punctuation. Texts of other characters are split by the tokenizer's own rules.
@@ -88,8 +88,8 @@ class WordEncoder:
         self.spelled = [self._symbols(self.names[i]) if i in self.names else [] for i in range(self.width)]
         made = self._merged_all([self.spelled[i] for i in self.ids.values()])
         self._grow_tree({s: i for (s, i), tokens in zip(self.ids.items(), made) if tokens == [i]})
-        self.pairs, self.apart = np.empty(0, np.int64), np.empty(0, bool)
         self.known: dict[str, tuple[int, ...]] = {}
+        self.forget()
 
     def _symbols(self, token: str) -> list[int]:
         """Ids of single letters; the last one carries the word end if the token does."""
@@ -244,7 +244,7 @@ class WordEncoder:
 
     def _compatible(self, pairs: np.ndarray) -> np.ndarray:
         """Whether the merges keep both tokens of each pair apart; remembers what it has tested."""
-        if len(self.pairs) > 20 * REMEMBERED:
+        if len(self.pairs) > PAIRS:
             self.pairs, self.apart = np.empty(0, np.int64), np.empty(0, bool)
         known = np.zeros(len(pairs), bool)
         if len(self.pairs):
@@ -260,6 +260,10 @@ class WordEncoder:
             self.pairs, self.apart = every[order], np.concatenate((self.apart, apart))[order]
         return self.apart[np.searchsorted(self.pairs, pairs)]
 
+    def forget(self) -> None:
+        self.pairs, self.apart = np.empty(0, np.int64), np.empty(0, bool)
+        self.known = {}
+
     def learn(self, words: list[str]) -> None:
         """Encode new words and remember them."""
         spelled = [w.encode() for w in words]
@@ -339,7 +343,14 @@ def encoder_of(description: str) -> WordEncoder:
 
 
 def load(spark: SparkSession, path: str):
-    """Send a vocabulary file to the executors; it is a few MB whatever the data."""
+    """Send a vocabulary file to the executors; it is a few MB whatever the data.
+
+    A name without a folder is one of the installed public vocabularies.
+    """
+    if "/" not in path:
+        import public_tokenizers
+
+        path = public_tokenizers.path(path)
     with open(path, encoding="utf-8") as file:
         return spark.sparkContext.broadcast(file.read())
 
@@ -370,7 +381,8 @@ def _encode(description, columns: list[str]):
                 made |= zip(DIGESTS, _digests(encoder, ids))
             yield pa.RecordBatch.from_pydict(made)
         # The worker may go on to other work, which needs the memory more.
-        encoder.known.clear()
+        encoder.forget()
+        common.released()
 
     return run
 

@@ -3,6 +3,7 @@
 import re
 from collections import Counter
 
+import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -83,7 +84,7 @@ def test_mix_takes_half_as_much_again(stages):
 
 def test_tokens_are_those_of_the_library(stages):
     before, after = stages["tokens"]
-    library = Tokenizer.from_file(bpe.VOCABULARY)
+    library = Tokenizer.from_file(public_tokenizers.path(bpe.VOCABULARY))
     expected = Counter((r.doc_id, tuple(library.encode(r.text, add_special_tokens=False).ids)) for r in before.collect())
     assert Counter((r.doc_id, tuple(r.ids)) for r in after.collect()) == expected
 

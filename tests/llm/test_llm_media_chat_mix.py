@@ -3,6 +3,7 @@ import hashlib
 import io
 import re
 import struct
+import time
 import zipfile
 import zlib
 from collections import Counter
@@ -54,6 +55,15 @@ def test_objects_are_found_confirmed_and_carved(kind):
     assert media.sniff(data[: len(data) // 2]) == []
 
 
+def test_values_full_of_beginnings_take_little_time():
+    for repeated in (b"%PDF-1 startxref 0 %%EOF ", b"%PDF-1 startxref 5 %%EOF ", b"PK\x03\x04PK\x05\x06", b"1" * 50, b"7 1 " * 9):
+        data = repeated * (1_000_000 // len(repeated))
+        start = time.perf_counter()
+        found = media.nested(data)
+        assert time.perf_counter() - start < 5
+        assert all(kind == "application/pdf" for _, _, kind, *_ in found)
+
+
 def test_embedded_objects_and_false_magic():
     data = b"BM no, RIFF no, PK\x03\x04" + png() + b"..." + media.wav_of(png()) + bmp()
     found = media.sniff(data)

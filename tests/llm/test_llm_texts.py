@@ -2,8 +2,11 @@ import collections
 import hashlib
 import math
 import random
+import time
 
 import numpy as np
+import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -60,7 +63,7 @@ def test_perfect_hash_is_minimal_and_probes_know_strangers():
 
 @pytest.fixture(scope="module")
 def library():
-    return Tokenizer.from_file(bpe.VOCABULARY)
+    return Tokenizer.from_file(public_tokenizers.path(bpe.VOCABULARY))
 
 
 def test_bpe_equals_the_library_on_random_texts(library):
@@ -72,7 +75,7 @@ def test_bpe_equals_the_library_on_random_texts(library):
     texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 20))) for _ in range(1500)]
     texts += ["".join(rng.choice("abcdefghijklmnopqrstuvwxyzéñ'") for _ in range(rng.randint(1, 70))) for _ in range(1500)]
     texts += ["".join(chr(rng.randrange(1, 0x3000)) for _ in range(rng.randint(1, 9))) for _ in range(1500)]
-    encoder = bpe.encoder_of(open(bpe.VOCABULARY, encoding="utf-8").read())
+    encoder = bpe.encoder_of(open(public_tokenizers.path(bpe.VOCABULARY), encoding="utf-8").read())
     for text, ids, own in zip(texts, encoder.encode(texts), library.encode_batch(texts, add_special_tokens=False)):
         assert ids == own.ids, ascii(text)
         assert encoder.decode(ids) == library.decode(ids, skip_special_tokens=False)
@@ -145,6 +148,58 @@ def test_languages_are_learned_from_whole_texts(spark):
     assert all((a == b).all() for a, b in zip(model.edges, again.edges))
 
 
+def test_large_alphabets_take_little_memory(monkeypatch):
+    rng = random.Random(8)
+    texts = {
+        "zh": ["".join(chr(0x4E00 + int(3400 * rng.random() ** 3)) for _ in range(40_000))],
+        "en": ["".join(rng.choice("abcdefghij klm") for _ in range(40_000))],
+    }
+    model = language.LanguageModel.learn(texts)
+    held = sum(part.nbytes for table in model.tables for part in table if isinstance(part, np.ndarray))
+    assert held < 40 << 20
+    ask = [texts["zh"][0][100:400].encode(), b"abc fed klm" * 20, "一丁x".encode()]
+    found = model.predict(ask)
+    assert found[0][:2] == ["zh", "en"]
+    monkeypatch.setattr(language, "FULL_CELLS", 0)
+    assert language.LanguageModel.learn(texts).predict(ask) == found
+
+
+def test_texts_longer_than_the_sample_are_learned_whole(spark):
+    rows = [("aa", "abc " * 40), ("aa", "abcd " * 50), ("bb", "xyz " * 10), ("bb", "xy " * 60)]
+    model = language.learn_languages(spark.createDataFrame(rows, "lang string, text string"), points=100)
+    # Of the first language the shortest text, of the second the only one that fits.
+    assert dict(zip(model.names, model.sizes)) == {"aa": 160, "bb": 40}
+
+
+def test_long_runs_of_unseen_words_take_linear_time():
+    draw = np.random.default_rng(4)
+    moves = draw.random((class_lm.CLASSES, class_lm.CLASSES)) ** 8
+    unseen = draw.random(class_lm.CLASSES) ** 4
+    model = class_lm.ClassModel(10, 5, np.ones(class_lm.CLASSES), unseen, moves / moves.sum(axis=1, keepdims=True))
+
+    class Sent:
+        value = model
+
+    def scores(texts):
+        columns = {"doc_id": range(len(texts)), "held_out": [False] * len(texts), "n_tokens": [1] * len(texts), "n_known": [0] * len(texts), "base_score": [0.0] * len(texts), "emitted": [0.0] * len(texts), "sequence": [bytes(t) for t in texts]}
+        batch = pa.RecordBatch.from_pydict({n: pa.array(list(v)) for n, v in columns.items()})
+        return [x for b in class_lm._scores(7, Sent)(iter([batch])) for x in b.column("score").to_pylist()]
+
+    texts = [[int(x) for x in np.where(draw.random(n) < 0.7, class_lm.NO_CLASS, draw.integers(0, 64, n))] for n in (1, 2, 50, 300)]
+    guess = (model.transitions * unseen).argmax(axis=1)
+    for text, made in zip(texts, scores(texts)):
+        state, total = 7, 0.0
+        for c in text:
+            if c == class_lm.NO_CLASS:
+                total, state = total + math.log10(model.transitions[state] @ unseen), int(guess[state])
+            else:
+                total, state = total + math.log10(model.transitions[state, c]), c
+        assert made == pytest.approx(total)
+    start = time.perf_counter()
+    assert math.isfinite(scores([[class_lm.NO_CLASS] * 1_000_000])[0])
+    assert time.perf_counter() - start < 5
+
+
 def test_class_scores_base_and_probabilities(spark, awkward):
     docs = awkward.withColumn("held_out", F.col("doc_id") == 9)
     got = class_lm.class_scores(docs).collect()
@@ -212,3 +267,44 @@ def test_co_training_separates_and_handles_awkward_rows(spark, awkward):
     assert {round(r.score, 6) for r in cotraining.scored(awkward, flat).collect()} == {1.0}
     one = cotraining.learn_quality(docs, known.where("quality = 1"))
     assert {r.score >= 0.5 for r in cotraining.scored(awkward, one).collect()} == {True}
+
+
+def test_views_teach_each_other_over_the_whole_corpus(spark):
+    """Junk of a kind that no label shows is only known by its source, in a few of many unlabelled documents."""
+    rng = random.Random(9)
+    good, old, new = ([f"{w}{k}" for k in range(60)] for w in ("fine", "junk", "novel"))
+    rows, labels = [], []
+    for k in range(600):
+        fine = k % 2 == 0
+        rows.append((k, " ".join(rng.choices(good if fine else old, k=30)), "en", "site" if fine else "farm"))
+        labels.append((k, int(fine), 0))
+    for k in range(1000, 5000):
+        rows.append((k, " ".join(rng.choices(good, k=30)), "en", "site"))
+    for k in range(5000, 5060):
+        rows.append((k, " ".join(rng.choices(new, k=30)), "en", "farm"))
+    rows += [(k, " ".join(rng.choices(new, k=30)), "en", None) for k in range(6000, 6020)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").repartition(5)
+    known = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+
+    def text_scores(rounds):
+        model = cotraining.learn_quality(docs, known, rounds=rounds)
+        return [r.text_score for r in cotraining.scored(docs.where("doc_id >= 6000"), model).collect()]
+
+    assert np.mean(text_scores(0)) > np.mean(text_scores(3)) + 0.2 and np.mean(text_scores(3)) < 0.3
+
+
+def test_one_document_of_an_id_is_learned_from(spark, monkeypatch):
+    rows = [(1, f"text number {k}", "en", "a") for k in range(3000)] + [(k, "other words", "en", "b") for k in range(2, 40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    known = spark.createDataFrame([(k, k % 2, 0) for k in range(1, 40)], "doc_id long, quality int, toxic int")
+    seen = {}
+
+    def learned(text_rows, page_rows, labels, surest, rounds):
+        seen["rows"] = len(text_rows), len(page_rows), len(labels)
+        return cotraining.View(np.empty(0, np.uint32), np.empty(0), 0.0)
+
+    monkeypatch.setattr(cotraining, "co_train", learned)
+    cotraining.learn_quality(docs, known, sample=10)
+    assert seen["rows"] == (10, 10, 10)
+    cotraining.learn_quality(docs, known)
+    assert seen["rows"] == (39, 39, 39)
