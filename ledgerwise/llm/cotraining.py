@@ -77,8 +77,19 @@ def text_features(texts: list[bytes]) -> list[np.ndarray]:
 
 
 def _distinct(hashes: np.ndarray) -> np.ndarray:
-    """Distinct features in 32 bits, which a sample of bounded size fills thinly."""
-    return np.unique((hashes >> np.uint64(32)).astype(np.uint32))
+    """Distinct features in 24 bits, of which a model knows few."""
+    return np.unique((hashes >> np.uint64(40)).astype(np.uint32))
+
+
+def packed(features: np.ndarray) -> bytes:
+    """Sorted features as the three bytes of their differences, all first bytes first: they pack well."""
+    gaps = np.diff(features, prepend=np.uint32(0)).astype("<u4")
+    return gaps.view(np.uint8).reshape(-1, 4).T[:3].tobytes()
+
+
+def unpacked(planes: bytes) -> np.ndarray:
+    low, middle, high = np.frombuffer(planes, np.uint8).reshape(3, -1).astype(np.uint32)
+    return np.cumsum(low | (middle << 8) | (high << 16), dtype=np.uint32)
 
 
 def page_features(texts: list[bytes], sources: list, langs: list) -> list[np.ndarray]:
@@ -307,8 +318,8 @@ def _feature_rows(batches):
             [
                 part.column("doc_id"),
                 part.column("key"),
-                pa.array([f.tobytes() for f in text], pa.binary()),
-                pa.array([f.tobytes() for f in page], pa.binary()),
+                pa.array([packed(f) for f in text], pa.binary()),
+                pa.array([packed(f) for f in page], pa.binary()),
             ],
             ["doc_id", "key", "text_features", "page_features"],
         )
@@ -324,7 +335,7 @@ def _surest_rows(models, most: int, sure: float, without):
             keys = part.column("key").to_numpy()
             fresh = ~np.isin(keys, without.value)
             for name, view in models.value.items():
-                margins = view.margins(_feature_views(part.column(f"{name}_features")))
+                margins = view.margins([unpacked(f) for f in part.column(f"{name}_features").to_pylist()])
                 for label, sign in ((1, 1.0), (0, -1.0)):
                     own = np.flatnonzero((sign * margins >= odds) & fresh)
                     known = best.get((name, label), (np.empty(0, np.int64), np.empty(0)))
@@ -369,8 +380,8 @@ def surest_of(features: DataFrame, sampled: set[int], sure: float):
         own = {row.key: row for row in found.dropDuplicates(["key"]).collect()}
         return [
             (
-                row.teacher, row.label, row.key, np.frombuffer(own[row.key].text_features, np.uint32),
-                np.frombuffer(own[row.key].page_features, np.uint32),
+                row.teacher, row.label, row.key, unpacked(own[row.key].text_features),
+                unpacked(own[row.key].page_features),
             )
             for row in picked
         ]
@@ -402,7 +413,7 @@ def learn_quality(
     known = labels.where("doc_id is not null and quality is not null and toxic is not null")
     known = known.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min(good.cast("int")).alias("label"))
     keyed = _narrow(docs).withColumn("key", F.xxhash64("text", F.col("text").isNull(), "source", F.lit(0), "lang"))
-    features = written(keyed.mapInArrow(_feature_rows, _FEATURES), "page-features")
+    features = written(keyed.mapInArrow(_feature_rows, _FEATURES), "page-features", compression="zstd")
     # One document of an id, before any row is collected.
     firsts = features.where("doc_id is not null").groupBy("doc_id").agg(F.min("key").alias("key"))
     chosen = known.join(firsts, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
@@ -410,24 +421,13 @@ def learn_quality(
     # At most `sample` rows of three numbers are broadcast, and as many rows of features collected.
     rows = features.join(F.broadcast(chosen), ["doc_id", "key"]).dropDuplicates(["doc_id"])
     got = rows.select("doc_id", "key", "label", "text_features", "page_features").toArrow().combine_chunks()
-    text, page = _feature_views(got.column("text_features")), _feature_views(got.column("page_features"))
+    text, page = ([unpacked(f) for f in got.column(f"{name}_features").to_pylist()] for name in ("text", "page"))
     ids, known_labels = got.column("doc_id").to_pylist(), np.array(got.column("label").to_pylist(), np.int64)
     order = sorted(range(len(ids)), key=lambda k: hash_order(ids[k]))
     surest = surest_of(features, set(got.column("key").to_pylist()), sure)
     return co_train([text[k] for k in order], [page[k] for k in order], known_labels[order], surest, rounds)
 
 
-def _feature_views(column: pa.ChunkedArray | pa.Array) -> list[np.ndarray]:
-    """The features of every row, as views of the column's memory."""
-    if not len(column):
-        return []
-    array = column.chunk(0) if isinstance(column, pa.ChunkedArray) else column
-    _, offsets, data = array.buffers()
-    bounds = np.frombuffer(offsets, np.int32)[array.offset : array.offset + len(array) + 1] // 4
-    flat = np.frombuffer(data, np.uint8)[: 4 * int(bounds[-1])].view(np.uint32)
-    return [flat[a:b] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
-
-
 def hash_order(doc_id: int) -> int:
     return int(common.mix64(np.array([doc_id], np.int64).view(np.uint64))[0])
 
