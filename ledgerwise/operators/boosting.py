@@ -6,9 +6,9 @@ by model, and one best split a node reaches the driver. All models (the folds of
 parts of a calibration) grow in step, so a run takes as many jobs as its deepest model.
 
 The rows live in an RDD of NumPy blocks: the work is imperative within a block, and a job without a query
-plan is cheap enough to be repeated thousands of times. Margins are moved forward and checkpointed every
-few trees; a lost executor repeats at most those. Sums are of integers, so that they do not depend on the
-order of tasks.
+plan is cheap enough to be repeated thousands of times. The first level of a tree moves the margins past the
+tree before it and keeps them, so no tree is walked twice; they are checkpointed every few trees, and a lost
+executor repeats at most those. Sums are of integers, so that they do not depend on the order of tasks.
 """
 
 from __future__ import annotations
@@ -22,16 +22,18 @@ from functools import partial
 import numpy as np
 import pyarrow as pa
 from pyspark import RDD, StorageLevel
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerwise.scale import checkpoint_folder, written
+from ledgerwise.scale import checkpoint_folder
 
 YEAR, ROW, LABEL = "filing_year", "row_id", "label"
 BINS = 256
 BLOCK_ROWS = 1 << 16
 # Trees between two checkpoints of the margins.
 REBASE = 10
+# A task sums up this many blocks at most, and an eighth of one at least; between these, each core has one task.
+TASK_BLOCKS = 16
 # Gradients and hessians are counted in units of 1 / SCALE; a block's sums stay exact in doubles.
 SCALE = float(1 << 30)
 # A split that gains less is numerical noise.
@@ -90,8 +92,9 @@ class Booster:
     def margins(self, values: np.ndarray) -> np.ndarray:
         """Log-odds of rows given by feature values."""
         total = np.full(len(values), self.base)
+        columns = np.ascontiguousarray(values.T)
         for tree in self.trees:
-            total += tree.value[descend(tree, values, tree.threshold)]
+            total += tree.value.take(descend(tree, columns, tree.threshold))
         return total
 
 
@@ -109,16 +112,20 @@ class Fit:
 
 
 def descend(tree: Tree, columns: np.ndarray, cuts: np.ndarray) -> np.ndarray:
-    """The leaf of each row; `columns` holds bins or values, `cuts` the tree's cuts of that kind."""
-    node = np.zeros(len(columns), np.int64)
-    rows = np.arange(len(columns))
-    while True:
-        feature = tree.feature[node]
-        inner = feature >= 0
-        if not inner.any():
-            return node
-        right = columns[rows, np.maximum(feature, 0)] > cuts[node]
-        node = np.where(inner, 2 * node + 1 + right, node)
+    """The leaf of each row; `columns` holds bins or values by feature, `cuts` the tree's cuts of that kind."""
+    n = columns.shape[1]
+    node, rows, flat = np.zeros(n, np.int64), np.arange(n), np.ascontiguousarray(columns).reshape(-1)
+    inner = tree.feature >= 0
+    # A row at a leaf stays there: nothing lies to the right of its cut.
+    heap = np.arange(len(inner))
+    start, following = np.where(inner, tree.feature, 0) * n, np.where(inner, 2 * heap + 1, heap)
+    cuts = np.where(inner, cuts, np.inf if columns.dtype.kind == "f" else np.iinfo(columns.dtype).max)
+    cuts = cuts.astype(columns.dtype)
+    for _ in range(int(np.flatnonzero(inner).max(initial=-1) + 1).bit_length()):
+        right = flat.take(start.take(node) + rows) > cuts.take(node)
+        node = following.take(node)
+        node += right
+    return node
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
@@ -149,22 +156,23 @@ def feature_matrix(batch: pa.RecordBatch, features) -> np.ndarray:
 
 
 def _pack(features, cut_sets: dict):
-    """Arrow batches as rows of packed columns, one set of bins for each training table."""
+    """Arrow batches as rows of packed columns ordered by year, one set of bins for each training table."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start in range(0, batch.num_rows, BLOCK_ROWS):
                 part = batch.slice(start, BLOCK_ROWS)
-                values = feature_matrix(part, features)
-                bins = b"".join(_binned(values, cuts).tobytes() for cuts in cut_sets.values())
-                yield pa.RecordBatch.from_pydict(
-                    {
-                        "label": pa.array([part.column(LABEL).cast(pa.float64()).to_numpy(zero_copy_only=False).tobytes()], pa.binary()),
-                        "year": pa.array([part.column(YEAR).cast(pa.int64()).to_numpy(zero_copy_only=False).tobytes()], pa.binary()),
-                        "hash": pa.array([part.column("_hash").to_numpy(zero_copy_only=False).tobytes()], pa.binary()),
-                        "bins": pa.array([bins], pa.binary()),
-                    }
-                )
+                year = part.column(YEAR).cast(pa.int64()).to_numpy(zero_copy_only=False)
+                order = np.argsort(year, kind="stable")
+                values = feature_matrix(part, features)[order]
+                label = part.column(LABEL).cast(pa.float64()).to_numpy(zero_copy_only=False)
+                row = {
+                    "label": label[order],
+                    "year": year[order],
+                    "hash": part.column("_hash").to_numpy(zero_copy_only=False)[order],
+                    "bins": np.concatenate([_binned(values, cuts).T.reshape(-1) for cuts in cut_sets.values()]),
+                }
+                yield pa.RecordBatch.from_pydict({n: pa.array([x.tobytes()], pa.binary()) for n, x in row.items()})
 
     return run
 
@@ -172,22 +180,21 @@ def _pack(features, cut_sets: dict):
 @dataclass
 class _Block:
     label: np.ndarray
-    year: np.ndarray
     hash: np.ndarray
-    bins: dict  # by training table
-    margin: dict  # by model, of the trees that no longer change
+    bins: dict  # by training table: features, and its rows, which are the first ones of the block
+    margin: dict  # by model, of all trees that are done
 
 
 def _unpack(row, befores: list, width: int, models: list) -> _Block:
     label = np.frombuffer(row["label"], np.float64)
     year = np.frombuffer(row["year"], np.int64)
     n = len(label)
-    bins = np.frombuffer(row["bins"], np.uint8).reshape(len(befores), n, width)
+    bins = np.frombuffer(row["bins"], np.uint8).reshape(len(befores), width, n)
     # Only training rows: others never count.
-    inside = {b: slice(None) if b is None else np.flatnonzero(year < b) for b in befores}
-    own = {b: bins[k][inside[b]] for k, b in enumerate(befores)}
-    margin = {m: np.full(len(own[b]), base) for m, (b, base) in enumerate(models)}
-    return _Block(label, year, np.frombuffer(row["hash"], np.int64), own, margin)
+    rows = {b: n if b is None else int(np.searchsorted(year, b)) for b in befores}
+    own = {b: np.ascontiguousarray(bins[k][:, : rows[b]]) for k, b in enumerate(befores)}
+    margin = {m: np.full(rows[b], base) for m, (b, base) in enumerate(models)}
+    return _Block(label, np.frombuffer(row["hash"], np.int64), own, margin)
 
 
 # Growing
@@ -211,7 +218,6 @@ class _Growing:
     columns: list[int]
     subsample: float
     positive_weight: float
-    pending: list  # trees since the margins were last moved forward
     tree: Tree
     active: list[int]
     widths: list[int]  # bins of each drawn column
@@ -223,28 +229,27 @@ def _level(growing: list[_Growing], blocks) -> Iterator[tuple[int, np.ndarray]]:
     with np.errstate(over="ignore"):
         for block in blocks:
             for g in growing:
-                inside = slice(None) if g.before is None else block.year < g.before
-                label, bins = block.label[inside], block.bins[g.before]
-                if not len(label):
+                bins, margin = block.bins[g.before], block.margin[g.model]
+                n = len(margin)
+                if not n:
                     continue
-                margin = block.margin[g.model].copy()
-                for tree in g.pending:
-                    margin += tree.value[descend(tree, bins, tree.cut)]
-                node = descend(g.tree, bins, g.tree.cut)
                 place = np.full(len(g.tree.feature), -1)
                 place[g.active] = np.arange(len(g.active))
-                at = place[node]
+                at = place.take(descend(g.tree, bins, g.tree.cut))
                 used = at >= 0
                 if g.subsample < 1:
-                    used &= _mixed(block.hash[inside], g.seed) < g.subsample
-                at, bins, p = at[used], bins[used], sigmoid(margin[used])
-                weight = np.where(label[used] == 1, g.positive_weight, 1.0)
-                gradient = np.rint(weight * (p - label[used]) * SCALE)
-                hessian = np.rint(weight * p * (1 - p) * SCALE)
+                    used &= _mixed(block.hash[:n], g.seed) < g.subsample
+                used = np.flatnonzero(used)
                 wide = max(g.widths)
-                out = sums.setdefault(g.model, np.zeros((2, len(g.active), len(g.columns), wide), np.int64))
+                at, positive, p = at.take(used) * wide, block.label[:n].take(used), sigmoid(margin.take(used))
+                weight = np.where(positive == 1, g.positive_weight, 1.0)
+                gradient = np.rint(weight * (p - positive) * SCALE)
+                hessian = np.rint(weight * p * (1 - p) * SCALE)
+                out = sums.get(g.model)
+                if out is None:
+                    out = sums[g.model] = np.zeros((2, len(g.active), len(g.columns), wide), np.int64)
                 for k, column in enumerate(g.columns):
-                    cell = at * wide + bins[:, column]
+                    cell = at + bins[column].take(used)
                     for which, values in enumerate((gradient, hessian)):
                         total = np.bincount(cell, values, len(g.active) * wide)
                         out[which, :, k, :] += total.astype(np.int64).reshape(-1, wide)
@@ -317,16 +322,12 @@ def _histograms(blocks: RDD, growing: list[_Growing], settings: list[dict]) -> d
     return dict(sums.map(lambda item: (item[0], best_splits(item[1], own[item[0]]))).collect())
 
 
-def _advance(blocks: RDD, pending: dict[int, tuple]) -> RDD:
-    """Margins with the pending trees, checkpointed."""
-
-    def moved(block: _Block) -> _Block:
-        margin = dict(block.margin)
-        for model, (before, trees) in pending.items():
-            margin[model] = margin[model] + sum(t.value[descend(t, block.bins[before], t.cut)] for t in trees)
-        return _Block(block.label, block.year, block.hash, block.bins, margin)
-
-    return _kept(blocks.map(moved))
+def _moved(done: dict[int, tuple], block: _Block) -> _Block:
+    """The block with margins moved past one more tree of each model."""
+    margin = dict(block.margin)
+    for model, (before, tree) in done.items():
+        margin[model] = margin[model] + tree.value.take(descend(tree, block.bins[before], tree.cut))
+    return _Block(block.label, block.hash, block.bins, margin)
 
 
 def _kept(blocks: RDD) -> RDD:
@@ -371,6 +372,12 @@ def _grow(blocks: RDD, open_trees: list[_Growing], settings: list[dict], thresho
         finish(g.tree, gradients[g.model], settings[g.model])
 
 
+def task_number(spark: SparkSession, rows: int) -> int:
+    """Tasks of a pass over the rows: one a core, unless they are too few or too many for that."""
+    cores = spark.sparkContext.defaultParallelism
+    return max(1, min(cores, -(-8 * rows // BLOCK_ROWS)), -(-rows // (TASK_BLOCKS * BLOCK_ROWS)))
+
+
 def fit_boosters(table: DataFrame, features, fits: list[Fit]) -> list[Booster]:
     """Fit several boosters to one table (row_id, filing_year, label, features) in step.
 
@@ -393,17 +400,14 @@ def fit_boosters(table: DataFrame, features, fits: list[Fit]) -> list[Booster]:
         share = min(max(pos / (pos + neg) if n else 0.5, 1e-6), 1 - 1e-6)
         bases.append(math.log(share / (1 - share)))
         trainable.append(pos > 0 and neg > 0)
-    parts = max(1, -(-sum(r.n for r in years) // BLOCK_ROWS))
+    parts = task_number(table.sparkSession, sum(r.n for r in years))
     rows = table.select(LABEL, YEAR, F.xxhash64(ROW).alias("_hash"), *features).repartition(parts, "_hash")
-    packed = written(
-        rows.mapInArrow(_pack(features, cut_sets), "label binary, year binary, hash binary, bins binary"),
-        "binned-rows",
-    )
+    packed = rows.mapInArrow(_pack(features, cut_sets), "label binary, year binary, hash binary, bins binary")
     checkpoint_folder(table.sparkSession)
     models = [(fit.before, base) for fit, base in zip(fits, bases)]
     blocks = _kept(packed.rdd.map(partial(_unpack, befores=befores, width=len(features), models=models)))
     trees: list[list[Tree]] = [[] for _ in fits]
-    pending: list[list[Tree]] = [[] for _ in fits]
+    done: dict[int, tuple] = {}
     try:
         for number in range(max((int(s["n_estimators"]) for s in settings), default=0)):
             open_trees = []
@@ -417,18 +421,21 @@ def fit_boosters(table: DataFrame, features, fits: list[Fit]) -> list[Booster]:
                 open_trees.append(
                     _Growing(
                         m, fit.before, draw.getrandbits(60), columns, float(own["subsample"]),
-                        float(own["scale_pos_weight"]), pending[m], _empty_tree(int(own["max_depth"])), [0], widths,
+                        float(own["scale_pos_weight"]), _empty_tree(int(own["max_depth"])), [0], widths,
                     )
                 )
+            before = blocks
+            if done:
+                # Computed and kept by the first level's job.
+                blocks = before.map(partial(_moved, done)).persist(StorageLevel.MEMORY_AND_DISK)
+                if number % REBASE == 0:
+                    blocks.checkpoint()
             _grow(blocks, open_trees, settings, [cut_sets[f.before] for f in fits])
+            if done:
+                before.unpersist()
+            done = {g.model: (g.before, g.tree) for g in open_trees}
             for g in open_trees:
                 trees[g.model].append(g.tree)
-                pending[g.model].append(g.tree)
-            if (number + 1) % REBASE == 0:
-                before = blocks
-                blocks = _advance(before, {g.model: (g.before, pending[g.model]) for g in open_trees})
-                before.unpersist()
-                pending = [[] for _ in fits]
     finally:
         blocks.unpersist()
     return [
@@ -492,7 +499,7 @@ def _reached(tree: Tree) -> list[int]:
 
 
 def _leaf_tables(tree: Tree) -> list[tuple[list[int], list[list[tuple[int, bool]]], np.ndarray]]:
-    """Per leaf: its features, the tests of each feature on the path, and contributions by outcome.
+    """Per leaf: its features, the tests of each feature on the path, and contributions by feature and outcome.
 
     An outcome says, bit by bit, for which features of the path a row passes all tests. With the outcome
     o and the share z of cover that follows the path at each feature, a set S of known features sends the
@@ -515,26 +522,34 @@ def _leaf_tables(tree: Tree) -> list[tuple[list[int], list[list[tuple[int, bool]
     for value, path in leaves:
         features = list(dict.fromkeys(f for f, *_ in path))
         tests = [[(node, right) for f, node, right, _ in path if f == own] for own in features]
-        shares = [math.prod(s for f, _, _, s in path if f == own) for own in features]
-        m = len(features)
-        weights = [math.factorial(s) * math.factorial(m - 1 - s) / math.factorial(m) for s in range(m)]
-        table = np.zeros((1 << m, m))
-        for outcome in range(1 << m):
-            passed = [(outcome >> k) & 1 for k in range(m)]
-            for j in range(m):
-                # Coefficients by the number of known features among the others.
-                known = [1.0]
-                for k in range(m):
-                    if k != j:
-                        longer = [0.0] * (len(known) + 1)
-                        for s, x in enumerate(known):
-                            longer[s] += x * shares[k]
-                            longer[s + 1] += x * passed[k]
-                        known = longer
-                mean = sum(w * x for w, x in zip(weights, known))
-                table[outcome, j] = value * (passed[j] - shares[j]) * mean
-        out.append((features, tests, table))
-    return out
+        out.append((features, tests, value, [math.prod(s for f, _, _, s in path if f == own) for own in features]))
+    # Leaves with equally many features are worked on together.
+    tables: dict[int, np.ndarray] = {}
+    for m in {len(features) for features, *_ in out}:
+        same = [k for k, leaf in enumerate(out) if len(leaf[0]) == m]
+        made = _outcome_tables(np.array([out[k][2] for k in same]), np.array([out[k][3] for k in same]).reshape(len(same), m))
+        tables |= dict(zip(same, made))
+    return [(features, tests, tables[k]) for k, (features, tests, *_) in enumerate(out)]
+
+
+def _outcome_tables(values: np.ndarray, shares: np.ndarray) -> np.ndarray:
+    """Contributions by leaf, feature of its path and outcome, for leaves of m features each."""
+    m = shares.shape[1]
+    passed = ((np.arange(1 << m)[:, None] >> np.arange(m)) & 1).astype(np.float64)
+    weights = [math.factorial(s) * math.factorial(m - 1 - s) / math.factorial(m) for s in range(m)]
+    table = np.zeros((len(values), m, 1 << m))
+    for j in range(m):
+        # Coefficients by the number of known features among the others.
+        known = np.ones((1, len(values), 1 << m))
+        for k in range(m):
+            if k != j:
+                longer = np.zeros((len(known) + 1, *known.shape[1:]))
+                longer[:-1] += known * shares[:, k, None]
+                longer[1:] += known * passed[:, k]
+                known = longer
+        mean = np.tensordot(weights, known, 1)
+        table[:, j] = values[:, None] * (passed[:, j] - shares[:, j, None]) * mean
+    return table
 
 
 def expected_margin(booster: Booster) -> float:
@@ -554,22 +569,25 @@ def expected_margin(booster: Booster) -> float:
 
 def shapley_values(booster: Booster, tables: list, values: np.ndarray) -> np.ndarray:
     """Contribution of each feature to each row's margin; `tables` are those of the booster's trees."""
-    out = np.zeros((len(values), len(booster.features)))
+    columns = np.ascontiguousarray(values.T)
+    out = np.zeros(columns.shape)
     for tree, leaves in zip(booster.trees, tables):
-        goes_right = {
-            int(n): values[:, tree.feature[n]] > tree.threshold[n] for n in _reached(tree) if tree.feature[n] >= 0
-        }
+        goes = {}
+        for n in _reached(tree):
+            if tree.feature[n] >= 0:
+                right = columns[tree.feature[n]] > tree.threshold[n]
+                goes[n, True], goes[n, False] = right, ~right
         for features, tests, table in leaves:
-            if not features:
-                continue
-            outcome = np.zeros(len(values), np.int64)
+            # A path may be longer than eight features.
+            outcome = np.zeros(len(values), np.uint8 if len(features) <= 8 else np.int64)
             for k, own in enumerate(tests):
-                passed = np.ones(len(values), bool)
-                for node, right in own:
-                    passed &= goes_right[node] == right
-                outcome |= passed.astype(np.int64) << k
-            out[:, features] += table[outcome]
-    return out
+                passed = goes[own[0]]
+                for test in own[1:]:
+                    passed = passed & goes[test]
+                outcome |= passed.astype(outcome.dtype) << outcome.dtype.type(k)
+            for j, feature in enumerate(features):
+                out[feature] += table[j].take(outcome)
+    return out.T
 
 
 def _contributed(booster: Booster, base: float):

@@ -226,3 +226,44 @@ def test_walk_forward_with_trees(table):
         models.walk_forward(table, estimator, 5, calibration="cross_validation")
     predictions, summary = models.score_holdout(table.where("filing_year < 2004"), table, estimator, (2004, 2004))
     assert predictions.count() == 100 and summary.first().test_n == 100
+
+
+def test_a_tree_is_walked_once_and_margins_are_carried_on(table, monkeypatch):
+    monkeypatch.setattr(boosting, "REBASE", 3)
+    own = {"n_estimators": 8, "max_depth": 3, "min_child_weight": 1, "learning_rate": 0.3}
+    booster = boosting.fit_boosters(table, FEATURES, [boosting.Fit(None, own)])[0]
+    rows = np.array([r[3:] for r in data()])
+    bins = np.ascontiguousarray(boosting._binned(rows, list(booster.cuts)).T)
+    block = boosting._Block(np.zeros(len(rows)), np.arange(len(rows)), {None: bins}, {0: np.full(len(rows), booster.base)})
+    for tree in booster.trees:
+        block = boosting._moved({0: (None, tree)}, block)
+    assert block.margin[0] == pytest.approx(booster.margins(rows), abs=1e-12)
+    walked = []
+    monkeypatch.setattr(boosting, "descend", lambda *a, walk=boosting.descend: walked.append(a) or walk(*a))
+    growing = boosting._Growing(0, None, 1, [0, 1, 2], 1.0, 1.0, boosting._empty_tree(3), [0], [len(c) + 1 for c in booster.cuts])
+    assert len(dict(boosting._level([growing], [block]))) == 1 and len(walked) == 1
+
+
+def test_rows_use_all_cores_before_tasks_grow(spark):
+    cores = spark.sparkContext.defaultParallelism
+    assert boosting.task_number(spark, 100) == 1
+    assert boosting.task_number(spark, cores * boosting.BLOCK_ROWS) == cores
+    assert boosting.task_number(spark, 2 * cores * boosting.TASK_BLOCKS * boosting.BLOCK_ROWS) == 2 * cores
+
+
+def test_tables_of_a_leaf_follow_the_definition():
+    shares = np.array([[0.3, 0.6, 0.9], [0.5, 0.2, 0.4]])
+    tables = boosting._outcome_tables(np.array([2.0, -1.0]), shares)
+    for leaf, value in enumerate((2.0, -1.0)):
+        for outcome in range(8):
+            passed = [(outcome >> k) & 1 for k in range(3)]
+
+            def weight(known):
+                return value * math.prod(passed[k] if k in known else shares[leaf, k] for k in range(3))
+
+            for j in range(3):
+                gains = [
+                    weight(order[: order.index(j) + 1]) - weight(order[: order.index(j)])
+                    for order in itertools.permutations(range(3))
+                ]
+                assert tables[leaf, j, outcome] == pytest.approx(sum(gains) / 6)
