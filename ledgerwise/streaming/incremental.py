@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import io
 import uuid
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -14,6 +17,9 @@ from pyspark.sql.streaming.state import GroupStateTimeout
 from ledgerwise.operators import quality
 from ledgerwise.scale import shared_folder
 
+# Buckets of keys that share one piece of state.
+BUCKETS = 4096
+
 
 def file_stream(
     spark: SparkSession, folder: str, schema: T.StructType, name_glob: str = "*.parquet"
@@ -40,35 +46,77 @@ def first_seen(stream: DataFrame, keys: list[str]) -> DataFrame:
     return stream.dropDuplicates(keys)
 
 
-def first_by_sequence(stream: DataFrame, keys: list[str], seq: str) -> DataFrame:
+def first_by_sequence(stream: DataFrame, keys: list[str], seq: str, buckets: int = BUCKETS) -> DataFrame:
     """A log of the smallest sequence number of each key: keys, `seq`, and the number it replaces or null.
 
     Records may arrive late: an earlier one that comes in a later batch or run gives a correction. Tasks first
     keep the smallest number of each key of a piece of their input, so a hot key reaches its state as a few
-    rows a task. The state holds one number for every key for ever. Null keys are equal; records without a
-    number are left out. `current_firsts` reads the log.
+    rows a task. Keys are dealt to buckets by their hash; the state holds one number for every key for ever, as
+    one Arrow table a bucket, so that Python works on tables, not on keys. A batch writes the buckets again in
+    which a key is new or corrected. A run that goes on from an earlier one must keep its number of buckets.
+    Null keys are equal; records without a number are left out. `current_firsts` reads the log.
     """
     kinds = dict(stream.dtypes)
-    slim = stream.select(*keys, seq).where(F.col(seq).isNotNull())
-    schema = ", ".join(f"`{n}` {kinds[n]}" for n in [*keys, seq])
+    bucket = F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int").alias("_bucket")
+    slim = stream.select(bucket, *keys, seq).where(F.col(seq).isNotNull())
+    fields = ", ".join(f"`{n}` {kinds[n]}" for n in [*keys, seq])
+    by = ["_bucket", *keys]
 
     def smallest(batches):
         for batch in batches:
-            least = pa.Table.from_batches([batch]).group_by(keys).aggregate([(seq, "min")])
-            yield from least.rename_columns([*keys, seq]).select([*keys, seq]).cast(batch.schema).to_batches()
-
-    def corrected(key, pieces, state):
-        known = state.get[0] if state.exists else None
-        least = min(int(piece[seq].min()) for piece in pieces)
-        if known is None or least < known:
-            state.update((least,))
-            yield pd.DataFrame({**{n: [v] for n, v in zip(keys, key)}, seq: [least], "replaces": pd.array([known], "Int64")})
-
-    return slim.mapInArrow(smallest, schema).groupBy(*keys).applyInPandasWithState(
-        corrected, f"{schema}, replaces long", f"`{seq}` long", "update", GroupStateTimeout.NoTimeout
+            least = pa.Table.from_batches([batch]).group_by(by).aggregate([(seq, "min")])
+            yield from least.rename_columns([*by, seq]).select([*by, seq]).cast(batch.schema).to_batches()
+
+    # Keys travel as rows of one Arrow stream a piece: pandas would change their types.
+    def packed(batches):
+        for batch in smallest(batches):
+            order = pc.sort_indices(batch, sort_keys=[("_bucket", "ascending")])
+            batch = batch.take(order)
+            numbers = batch.column("_bucket").to_numpy()
+            starts = np.flatnonzero(np.diff(numbers, prepend=-1))
+            ends = [*starts[1:].tolist(), len(numbers)]
+            pieces = [_to_bytes(batch.slice(a, b - a).drop_columns(["_bucket"])) for a, b in zip(starts.tolist(), ends)]
+            yield pa.RecordBatch.from_pydict({"_bucket": pa.array(numbers[starts], pa.int32()), "rows": pa.array(pieces, pa.binary())})
+
+    def corrected(_, pieces, state):
+        fresh = pa.concat_tables(_from_bytes(rows) for piece in pieces for rows in piece["rows"])
+        known = _from_bytes(state.get[0]) if state.exists else fresh.slice(0, 0)
+        ages = [known.append_column("_new", pa.array(np.zeros(len(known), bool))), fresh.append_column("_new", pa.array(np.ones(len(fresh), bool)))]
+        both = pa.concat_tables(ages)
+        old = pc.if_else(both["_new"], pa.scalar(None, both.schema.field(seq).type), both[seq])
+        least = both.append_column("_old", old).group_by(keys).aggregate([(seq, "min"), ("_old", "min")])
+        least = least.rename_columns([*keys, seq, "replaces"])
+        changed = least.filter(pc.fill_null(pc.less(least[seq], least["replaces"]), True))
+        if len(changed):
+            state.update((_to_bytes(least.select([*keys, seq]).cast(fresh.schema)),))
+            yield pd.DataFrame({"rows": [_to_bytes(changed)]})
+
+    def unpacked(batches):
+        for batch in batches:
+            for rows in batch.column("rows"):
+                table = _from_bytes(rows.as_py())
+                columns = [table[n].combine_chunks() for n in [*keys, seq]] + [table["replaces"].cast(pa.int64()).combine_chunks()]
+                yield pa.RecordBatch.from_arrays(columns, [*keys, seq, "replaces"])
+
+    return (
+        slim.mapInArrow(packed, "_bucket int, rows binary")
+        .groupBy("_bucket")
+        .applyInPandasWithState(corrected, "rows binary", "rows binary", "update", GroupStateTimeout.NoTimeout)
+        .mapInArrow(unpacked, f"{fields}, replaces long")
     )
 
 
+def _to_bytes(rows: pa.Table | pa.RecordBatch) -> bytes:
+    out = io.BytesIO()
+    with pa.ipc.new_stream(out, rows.schema) as writer:
+        writer.write(rows)
+    return out.getvalue()
+
+
+def _from_bytes(rows: bytes) -> pa.Table:
+    return pa.ipc.open_stream(rows).read_all()
+
+
 def current_firsts(log: DataFrame, keys: list[str], seq: str) -> DataFrame:
     """The smallest sequence number of each key, after all corrections."""
     return log.groupBy(*keys).agg(F.min(seq).alias(seq))

@@ -332,3 +332,32 @@ def test_stream_keeps_the_smallest_number_of_a_key(spark, tmp_path):
             expected[key, day] = min(seq, expected.get((key, day), seq))
     assert found == expected
     assert {(r.key, r.seq, r.replaces) for r in log.where("replaces is not null").collect()} == {("hot", 1, 50), (None, 3, 7)}
+
+
+@pytest.mark.parametrize("buckets", [1, 7])
+def test_smallest_numbers_are_kept_for_many_keys_of_a_bucket(spark, tmp_path, buckets):
+    schema = "seq long, key string, day date"
+
+    def run():
+        stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in" / "*"))
+        firsts = incremental.first_by_sequence(stream, ["key", "day"], "seq", buckets)
+        return incremental.run_log(firsts, "x", str(tmp_path / "out"))
+
+    def file(name, rows):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / "in" / name))
+
+    day = dt.date(2001, 2, 3)
+    late = [(k, f"k{k % 300}", day if k % 300 else None) for k in range(1000, 2000)]
+    file("b", late)
+    assert run().count() == 300
+    early = [(k, f"k{k}", day if k else None) for k in range(0, 20)] + [(5000, "k40", day), (900, "new", day)]
+    file("a", early)
+    log = run()
+    assert log.count() == 300 + 21
+    least = {k % 300: k for k in reversed(range(1000, 2000))}
+    replaced = {(r.key, r.seq): r.replaces for r in log.where("batch = 1").collect()}
+    assert replaced == {**{(f"k{k}", k): least[k] for k in range(20)}, ("new", 900): None}
+    expected = {}
+    for seq, key, when in late + early:
+        expected[key, when] = min(seq, expected.get((key, when), seq))
+    assert {(r.key, r.day): r.seq for r in incremental.current_firsts(log, ["key", "day"], "seq").collect()} == expected
