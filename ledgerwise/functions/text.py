@@ -1,7 +1,7 @@
 """Text functions. Every function takes and returns Columns.
 
-Only HTML-entity decoding and NFKC have no Spark builtin; both live in one Arrow-batched
-pandas UDF each, and only the rows that need them travel to Python.
+Only HTML-entity decoding and NFKC have no Spark builtin; both live in one Arrow UDF each,
+only the rows that need them travel to Python, and there they are changed one by one.
 """
 
 from __future__ import annotations
@@ -9,8 +9,9 @@ from __future__ import annotations
 import html
 import re
 import unicodedata
+from collections.abc import Callable
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
@@ -35,24 +36,29 @@ def strip_tags(text: Column) -> Column:
     return F.regexp_replace(text, "<[^>]+>", " ")
 
 
-@F.pandas_udf(StringType())
-def _unescape(texts: pd.Series) -> pd.Series:
-    return texts.map(html.unescape, na_action="ignore")
+def _one_by_one(change: Callable[[str], str], texts: pa.Array) -> pa.Array:
+    """Apply a function to the texts of a batch. Only one text at a time is a Python string."""
+    return pa.array((None if text is None else change(text) for text in (t.as_py() for t in texts)), pa.string())
 
 
-@F.pandas_udf(StringType())
-def _nfkc(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda text: unicodedata.normalize("NFKC", text), na_action="ignore")
+@F.arrow_udf(StringType())
+def _unescape(texts: pa.Array) -> pa.Array:
+    return _one_by_one(html.unescape, texts)
 
 
-@F.pandas_udf(StringType())
-def _decode_markup(texts: pd.Series) -> pd.Series:
+@F.arrow_udf(StringType())
+def _nfkc(texts: pa.Array) -> pa.Array:
+    return _one_by_one(lambda text: unicodedata.normalize("NFKC", text), texts)
+
+
+@F.arrow_udf(StringType())
+def _decode_markup(texts: pa.Array) -> pa.Array:
     tag = re.compile("<[^>]+>")
 
     def decode(text: str) -> str:
         return unicodedata.normalize("NFKC", tag.sub(" ", html.unescape(text)))
 
-    return texts.map(decode, na_action="ignore")
+    return _one_by_one(decode, texts)
 
 
 def _through_python(text: Column, needed: Column, udf, otherwise: Column) -> Column:

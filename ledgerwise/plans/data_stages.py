@@ -22,7 +22,7 @@ from ledgerwise.operators import (
     split,
     validation,
 )
-from ledgerwise.scale import union_all, written
+from ledgerwise.scale import bound_python_batches, union_all, written
 from ledgerwise.sources.writers import exclusive_marker
 
 Tables = dict[str, DataFrame]
@@ -182,6 +182,8 @@ def run_stages(
     selected = names[: names.index(through) + 1]
     if "split" in selected and not acknowledge_holdout:
         raise RuntimeError("stages from 'split' on write hold-out rows and must be acknowledged")
+    # The setting is read when a result is computed, so it stays with the session.
+    bound_python_batches(next(t for t in tables.values() if isinstance(t, DataFrame)).sparkSession)
     marks = {}
     if store is not None:
         read = {n for name in selected for n in READS[name]}

@@ -23,6 +23,8 @@ HOT_SHARE = 0.002
 SALTS = 64
 # Files of one partition of a partitioned table.
 PARTS = 16
+# Bytes of a batch of texts that a Python worker gets at once.
+PYTHON_BATCH = 2 << 20
 # Slices per group for distributed running totals; grows with the cluster between these.
 MIN_SLICES, MAX_SLICES = 64, 4096
 
@@ -38,6 +40,16 @@ def spread(df: DataFrame, key: str, bytes_per_core: int = 16 << 20) -> DataFrame
     return df.repartition(2 * cores, key) if size < cores * bytes_per_core else df
 
 
+def bound_python_batches(spark: SparkSession) -> None:
+    """Texts go to Python in batches of PYTHON_BATCH bytes, where the session does not name its own size.
+
+    A batch is held several times over by each worker, and Spark's 64 MB hold thousands of filings.
+    """
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name).rstrip("b") == str(64 << 20):
+        spark.conf.set(name, PYTHON_BATCH)
+
+
 def fits_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
     """Check the size before broadcasting. Stops reading once the limit is passed."""
     return df.limit(max_rows + 1).count() <= max_rows

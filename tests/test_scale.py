@@ -139,3 +139,13 @@ def test_bracketed_quantiles_are_exact(spark, probability, accuracy):
         assert found[g]["none"] is None
     whole = scale.bracketed_quantiles(df, [], ["a"], probability, accuracy).first()
     assert tuple(whole) == pytest.approx((np.quantile([r[1] for r in rows], probability),), abs=1e-12)
+
+
+def test_python_gets_small_batches_unless_the_session_names_a_size(spark):
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    other = spark.newSession()
+    scale.bound_python_batches(other)
+    assert other.conf.get(name).rstrip("b") == str(scale.PYTHON_BATCH)
+    other.conf.set(name, 123_456)
+    scale.bound_python_batches(other)
+    assert other.conf.get(name).rstrip("b") == "123456"
