@@ -266,7 +266,7 @@ def fit_logistics(table: DataFrame, features, fits: list[LinearFit], tolerance:
     if empty:
         raise ValueError(f"no rows of both classes before {empty}")
     width = len(features)
-    parts = max(1, -(-sum(known[max(befores)][:1]) // boosting.BLOCK_ROWS))
+    parts = boosting.task_number(table.sparkSession, known[max(befores)][0])
     packed = table.select(ROW, LABEL, YEAR, *features).repartition(parts, ROW).mapInArrow(
         _row_blocks(features), "values binary, label binary, year binary"
     )

@@ -94,3 +94,12 @@ def test_trees_are_searched_too(table):
     space = {**search.TREE_SPACE, "n_estimators": search.Whole(4, 8, 2), "min_child_weight": search.Real(0.5, 1.0)}
     rows = search.search(table, ("a", "b"), space, search.tree_models, 3, 5).collect()
     assert len(rows) == 3 and all(0 < r.value <= 1 and r.folds == 4 for r in rows)
+
+
+def test_linear_fits_use_the_tasks_of_all_cores(spark, monkeypatch):
+    asked = []
+    monkeypatch.setattr(search.boosting, "task_number", lambda session, rows: asked.append(rows) or 3)
+    rows = [(k, 2000 + k % 2, float(k % 3 == 0), float(k % 7)) for k in range(90)]
+    frame = spark.createDataFrame(rows, "row_id long, filing_year int, label double, a double")
+    early, whole = search.fit_logistics(frame, ["a"], [search.LinearFit(2001), search.LinearFit(2002)])
+    assert asked == [90] and len(early.weights) == len(whole.weights) == 2
