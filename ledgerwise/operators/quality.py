@@ -11,7 +11,7 @@ from ledgerwise.operators.contracts import enforce
 
 
 def has_enough_words(mda: Column, min_words: int = fv.MIN_WORDS) -> Column:
-    return text.word_count(mda) >= min_words
+    return text.has_words(mda, min_words)
 
 
 def is_amended(filing_type: Column) -> Column:

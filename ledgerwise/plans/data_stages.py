@@ -60,10 +60,10 @@ def _normalize(t: Tables) -> Tables:
 
 
 def _quality(t: Tables) -> Tables:
-    # Rules on type and date read no text, so Spark applies them before the text work. What they leave is
-    # written once: words are counted on the stored text, and the next stage reads only its keys.
-    kept = written(quality.metadata_filter(t["normalized"]), "checked")
-    return {"checked": kept.where(quality.has_enough_words(F.col("mda")))}
+    # What the rules on type and date leave is written once. Words are looked for in that same pass; later
+    # stages read the answer and keys, not the text.
+    kept = quality.metadata_filter(t["normalized"]).withColumn("_enough", quality.has_enough_words(F.col("mda")))
+    return {"checked": written(kept, "checked").where("_enough").drop("_enough")}
 
 
 def _deduplicate(t: Tables) -> Tables:

@@ -124,6 +124,13 @@ def test_stages_resume(spark, tmp_path, monkeypatch):
     assert ran == ["split", "ingest-labels", "merge-labels"]
 
 
+def test_words_are_looked_for_once(spark):
+    made = data_stages.run_stages(stage_tables(spark), "split", True)
+    for name in ("checked", "development", "holdout"):
+        plan = made[name].drop("mda")._jdf.queryExecution().optimizedPlan().toString()
+        assert "RLIKE" not in plan and "regexp" not in plan
+
+
 def test_a_replaced_table_is_used(spark):
     labelled = data_stages.run_stages(stage_tables(spark), "normalize")
     other = labelled["normalized"].withColumn("mda", F.lit("one word " * 300))

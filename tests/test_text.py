@@ -90,3 +90,12 @@ def test_digit_ratio_counts_other_digits(one):
 
 def test_strip_uses_the_full_whitespace_set(one):
     assert one(text.strip(C("s")), s=fv.WHITESPACE + "x y" + fv.WHITESPACE) == "x y"
+
+
+@pytest.mark.parametrize("least", [0, 1, 3, 200, 5000])
+def test_has_words_equals_the_count(spark, least):
+    values = [None, "", " .", "one", "a b", "á_1, ß-中文 x", "w " * 199, "w " * 200, "w, " * 4999, "\n" + "é. " * 5000]
+    rows = spark.createDataFrame([(v,) for v in values], "v string").select(
+        text.has_words(F.col("v"), least).alias("found"), (text.word_count(F.col("v")) >= least).alias("counted")
+    )
+    assert all(r.found is r.counted for r in rows.collect())
