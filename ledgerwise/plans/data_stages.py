@@ -80,7 +80,9 @@ def with_lexicon(filings: DataFrame, raw_lexicon: DataFrame, needed: list[DataFr
     lookup = lexicon.build_lookup(
         lexicon.prepare_lexicon(raw_lexicon), lexicon.required_keys(needed)
     )
-    return features.add_text_features(lexicon.attach_lexicon(filings, lookup))
+    # Features come first: where the caller does not ask for the text, the join then moves numbers only.
+    measured = lexicon.attach_lexicon(features.add_text_features(filings), lookup)
+    return measured.select(*[c for c in measured.columns if c not in fv.TEXT_FEATURES], *fv.TEXT_FEATURES)
 
 
 def keyed(filings: DataFrame) -> DataFrame:

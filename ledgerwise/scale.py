@@ -101,7 +101,8 @@ def join_unique(
     """
     if small:
         return left.join(right, keys, how)
-    hot = F.broadcast(hot_keys(left, keys).withColumn("_hot", F.lit(True)))
+    # Both sides use the hot keys, which are few; each would scan the left table for them.
+    hot = F.broadcast(cut_lineage(hot_keys(left, keys).withColumn("_hot", F.lit(True))))
     # Rows with a NULL key match nothing, so they may lie anywhere.
     anywhere = reduce(lambda a, b: a | b, [F.col(k).isNull() for k in keys], F.coalesce("_hot", F.lit(False)))
     salt = F.when(anywhere, F.pmod(F.xxhash64(row_id), F.lit(salts))).otherwise(F.lit(0))

@@ -131,6 +131,16 @@ def test_words_are_looked_for_once(spark):
         assert "RLIKE" not in plan and "regexp" not in plan
 
 
+def test_the_lexicon_join_moves_no_text(spark):
+    tables = {k: t for k, t in stage_tables(spark).items() if k != "cutoff"}
+    filings = tables["filings"].withColumn("reporting_date", F.to_date("reporting_date", "dd-MM-yyyy"))
+    full = data_stages.full_features(filings.where("seq < 6"), filings.where("seq = 6"), tables["lexicon"])
+    assert full.columns[-len(fv.TEXT_FEATURES):] == list(fv.TEXT_FEATURES)
+    plan = full.select("seq", "lexicon_matched", "mda_word_count")._jdf.queryExecution().optimizedPlan().toString()
+    # Above the join, which is written first, nothing is left to do on texts.
+    assert "Join" in plan and "regexp" not in plan[: plan.index("Join")]
+
+
 def test_a_replaced_table_is_used(spark):
     labelled = data_stages.run_stages(stage_tables(spark), "normalize")
     other = labelled["normalized"].withColumn("mda", F.lit("one word " * 300))
