@@ -7,6 +7,7 @@ only the rows that need them travel to Python, and there they are changed one by
 from __future__ import annotations
 
 import html
+import math
 import re
 import unicodedata
 from collections.abc import Callable
@@ -227,18 +228,24 @@ def count_characters(text: Column, char_class: str) -> Column:
     return F.length(text) - F.length(F.regexp_replace(text, f"[{char_class}]+", ""))
 
 
+def _per_character(count: Column, text: Column) -> Column:
+    """A count over the length of the text; NaN for the empty text, which has no share, and NULL for NULL."""
+    share = count / F.nullif(F.length(text), F.lit(0))
+    return F.coalesce(share, F.when(text.isNotNull(), F.lit(math.nan)))
+
+
 def digit_ratio(text: Column) -> Column:
     """Share of digits. ASCII other than digits is skipped before the long class is tried."""
     others = rf"(?:[\x00-/:-\x7f]++|[^{fv.DIGIT_CHARS}])++"
-    return F.length(F.regexp_replace(text, others, "")) / F.length(text)
+    return _per_character(F.length(F.regexp_replace(text, others, "")), text)
 
 
 def punctuation_ratio(text: Column) -> Column:
-    return count_characters(text, fv.PUNCTUATION_CHARS) / F.length(text)
+    return _per_character(count_characters(text, fv.PUNCTUATION_CHARS), text)
 
 
 def uppercase_ratio(text: Column) -> Column:
-    """Uppercase share of the letters; 0 when there are no letters."""
+    """Uppercase share of the letters; 0 when there are no letters, as in an empty text or NULL."""
     letters = count_characters(text, r"\p{L}")
     share = count_characters(text, r"\p{Lu}") / F.nullif(letters, F.lit(0))
-    return F.coalesce(share, F.when(text.isNotNull(), F.lit(0.0)))
+    return F.coalesce(share, F.lit(0.0))

@@ -1,10 +1,14 @@
 import html
+import math
 import re
 import unicodedata
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+import check_queries
+from __spark_entry__ import oracle_sql, queries
 from ledgerwise import fixed_values as fv
 from ledgerwise.functions import text
 
@@ -88,6 +92,18 @@ def test_digit_ratio_counts_other_digits(one):
     assert one(text.digit_ratio(C("s")), s=sample) == sum(map(str.isdigit, sample)) / len(sample)
 
 
+def test_character_ratios_of_texts_without_characters(spark, tmp_path):
+    samples = ["", None, "", " \n", "12", "!", "Ab1.", "É²"]
+    documents = spark.createDataFrame(list(enumerate(samples)), "doc_id long, text string")
+    documents.coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    name, connection = "character_ratios_p21", duckdb.connect()
+    connection.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    found = queries()[name](spark, str(tmp_path))
+    assert check_queries.compare(found, oracle_sql()[name], connection) == []
+    empty = [(r.digit_ratio, r.punctuation_ratio, r.uppercase_ratio) for r in found.where("seq IN (0, 2)").collect()]
+    assert len(empty) == 2 and all(math.isnan(d) and math.isnan(p) and u == 0 for d, p, u in empty)
+
+
 def test_strip_uses_the_full_whitespace_set(one):
     assert one(text.strip(C("s")), s=fv.WHITESPACE + "x y" + fv.WHITESPACE) == "x y"
 
